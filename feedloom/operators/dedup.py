@@ -14,14 +14,16 @@ import sys
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Observation, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F, types as T
 
 from feedloom.clock import instant
 from feedloom.functions import similarity
 from feedloom.functions.similarity import duplicate_verdict, ratio_bound, similarity_ratio
 from feedloom.functions.text import content_words, process_text, strip, text_or_empty
 from feedloom.functions.urls import netloc, normalise_url
+from feedloom.schema import with_published_ts
 from feedloom.session import stage
+from feedloom.sources.storage import load_items
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -305,3 +307,11 @@ def dedup_report(items: DataFrame, dropped: DataFrame) -> DataFrame:
     return flagged.agg(
         total.alias("input_count"), (total - gone).alias("output_count"), gone.alias("dropped_count")
     )
+
+
+def dedup_job(spark: SparkSession, source: str, target: str, as_of, multi_line: bool = False, **options) -> DataFrame:
+    """Read JSON items, deduplicate, write JSON to ``target``; returns the report."""
+    items = with_published_ts(load_items(spark, source, multi_line))
+    dropped = stage(dropped_rows(items, as_of, **options), "dropped")
+    items.join(dropped.select("ord"), "ord", "left_anti").write.mode("overwrite").json(target)
+    return dedup_report(items, dropped)
