@@ -1,6 +1,13 @@
 """feedloom: feed curation operators for Spark DataFrames."""
 
-from feedloom.clock import instant
-from feedloom.session import configure, scratch_folder, stage
+import sys
+
+from pyspark import cloudpickle
+
+# Python workers receive the package's functions with the plan, so executors need no installed copy.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+from feedloom.clock import instant  # noqa: E402
+from feedloom.session import configure, scratch_folder, stage  # noqa: E402
 
 __all__ = ["configure", "instant", "scratch_folder", "stage"]

@@ -19,7 +19,12 @@ FINGERPRINT = (
     f"CASE WHEN title <> '' THEN array_to_string({words_sql('title')}, ' ') END, "
     f"CASE WHEN summary <> '' THEN array_to_string(list_slice({words_sql('summary')}, 1, 100), ' ') END))"
 )
-KEYED = f"keyed AS (SELECT *, {norm_url_sql('link')} AS norm_url, {FINGERPRINT} AS fp FROM items)"
+
+
+def keyed_sql(source: str = "items") -> str:
+    return f"keyed AS (SELECT *, {norm_url_sql('link')} AS norm_url, {FINGERPRINT} AS fp FROM {source})"
+
+
 # The two-window form: first per URL, then first per fingerprint. Equal to the greedy rule on these tables
 # at the scale the SQL check uses.
 TWO_WINDOWS = (
@@ -28,10 +33,17 @@ TWO_WINDOWS = (
     f"by_fp AS (SELECT *, row_number() OVER (PARTITION BY fp ORDER BY {DEDUP_ORDER}) AS rn_fp, "
     f"first_value(ord) OVER (PARTITION BY fp ORDER BY {DEDUP_ORDER}) AS fp_head FROM by_url WHERE rn_url = 1)",
 )
-SURVIVORS = (
-    KEYED, *TWO_WINDOWS,
-    "survivors AS (SELECT ord FROM by_fp WHERE rn_fp = 1 UNION ALL SELECT ord FROM keyed WHERE link = '')",
-)
+
+
+def survivors_sql(source: str = "items") -> tuple[str, ...]:
+    """CTEs up to ``survivors(ord)``."""
+    kept = "survivors AS (SELECT ord FROM by_fp WHERE rn_fp = 1 UNION ALL SELECT ord FROM keyed WHERE link = '')"
+    return keyed_sql(source), *TWO_WINDOWS, kept
+
+
+REPORT_SQL = with_items(
+    """SELECT (SELECT count(*) FROM items) AS input_count, (SELECT count(*) FROM survivors) AS output_count,
+       (SELECT count(*) FROM items) - (SELECT count(*) FROM survivors) AS dropped_count""", *survivors_sql())
 
 
 @add("d01_sort_for_dedup", with_items(
@@ -84,21 +96,19 @@ def _(spark, sf):
     return dedup.with_similarity(pairs, "later_title", "kept_title").select("later_ord", "kept_ord", "similarity")
 
 
-@add("d07_deduplicate", with_items("SELECT ord FROM survivors", *SURVIVORS))
+@add("d07_deduplicate", with_items("SELECT ord FROM survivors", *survivors_sql()))
 def _(spark, sf):
     return dedup.deduplicate(dated_items(spark, sf), AS_OF).select("ord")
 
 
-@add("d08_dedup_report", with_items(
-    """SELECT (SELECT count(*) FROM items) AS input_count, (SELECT count(*) FROM survivors) AS output_count,
-       (SELECT count(*) FROM items) - (SELECT count(*) FROM survivors) AS dropped_count""", *SURVIVORS))
+@add("d08_dedup_report", REPORT_SQL)
 def _(spark, sf):
     items = dated_items(spark, sf)
     return dedup.dedup_report(items, dedup.dropped_rows(items, AS_OF))
 
 
 @add("j06_content_duplicates", with_items(
-    "SELECT ord, fp_head AS matched FROM by_fp WHERE rn_fp > 1", KEYED, *TWO_WINDOWS))
+    "SELECT ord, fp_head AS matched FROM by_fp WHERE rn_fp > 1", keyed_sql(), *TWO_WINDOWS))
 def _(spark, sf):
     dropped = dedup.dropped_rows(dated_items(spark, sf), AS_OF)
     return dropped.filter("reason = 'content'").select("ord", "matched")

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from feedloom.catalog.base import (
     AS_OF, AS_OF_SQL, Registry, dated_items, documents, instant_sql, instant_text, items, table, with_items,
 )
+from feedloom.catalog.duplicates import REPORT_SQL
 from feedloom.catalog.scalars import pages, strip_sql
 from feedloom.functions.dates import iso_utc
 from feedloom.functions.html import PostSelectors
-from feedloom.operators import dedup, digest
+from feedloom.operators import dedup
 from feedloom.operators.filters import recent
 from feedloom.operators.joins import enrich_with_source
 from feedloom.schema import conform
@@ -307,15 +308,8 @@ def _(spark, sf):
     return stored(storage.retrieve_stage(spark, uri))
 
 
-@add("s16_dedup_job", None)
+@add("s16_dedup_job", REPORT_SQL)
 def _(spark, sf):
     source, target = stage_path(spark, "dedup-in"), stage_path(spark, "dedup-out")
     conform(dated_items(spark, sf)).write.json(source)
     return dedup.dedup_job(spark, source, target, AS_OF)
-
-
-@add("s17_save_digest", None)
-def _(spark, sf):
-    path = stage_path(spark, "digest")
-    storage.save_digest(digest.text_digest(dated_items(spark, sf), AS_OF), path)
-    return spark.read.text(path)

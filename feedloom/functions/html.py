@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import sys
 from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F, types as T
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 SKIPPED = ("script", "style")
 
 

@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-import sys
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F, types as T
 
-# Python workers receive this module with the plan, so executors need no installed package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 
 def ratio(later: str | None, kept: str | None) -> float:
     """Matching-block ratio; not symmetric, zero when a side is empty."""

@@ -13,20 +13,16 @@ from __future__ import annotations
 import sys
 
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F, types as T
 
 from feedloom.clock import instant
-from feedloom.functions import similarity
-from feedloom.functions.similarity import duplicate_verdict, ratio_bound, similarity_ratio
+from feedloom.functions.similarity import duplicate_verdict, is_duplicate, ratio_bound, similarity_ratio
 from feedloom.functions.text import content_words, process_text, strip, text_or_empty
 from feedloom.functions.urls import netloc, normalise_url
 from feedloom.schema import with_published_ts
 from feedloom.session import stage
 from feedloom.sources.storage import load_items
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 THRESHOLD = 0.85
 ALONE = 0.95
 WINDOW_HOURS = 24
@@ -189,7 +185,7 @@ def _lead(batch: pd.DataFrame, threshold: float, alone: float, window_micros: in
     kept: list[dict] = []
     for row in rows:
         if not any(
-            similarity.is_duplicate(
+            is_duplicate(
                 row["title"], row["summary"], k["title"], k["summary"],
                 abs(row["at"] - k["at"]) <= window_micros, row["site"] != "" and row["site"] == k["site"],
                 threshold, alone,

@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from feedloom.functions.text import content_hash, fallback_summary, prepare_for_summary, strip, text_or_empty
 from feedloom.operators.filters import batch_gate, needs_summary, summary_route
 from feedloom.session import stage
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 Summariser = Callable[[list[str]], list[str]]
 
 

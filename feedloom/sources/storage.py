@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from feedloom.schema import ITEM
+from feedloom.session import path_exists
 
 
 def load_items(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
@@ -14,11 +14,9 @@ def load_items(spark: SparkSession, path: str, multi_line: bool = True) -> DataF
     ``multi_line`` reads documents that are one array each, a file per task; line-delimited files
     (``multi_line=False``), as ``save_items`` writes them, are split between tasks.
     """
-    try:
-        raw = spark.read.schema(ITEM).option("multiLine", multi_line).option("mode", "DROPMALFORMED").json(path)
-    except AnalysisException:
+    if not path_exists(spark, path):
         return spark.createDataFrame([], ITEM)
-    return raw
+    return spark.read.schema(ITEM).option("multiLine", multi_line).option("mode", "DROPMALFORMED").json(path)
 
 
 def save_items(items: DataFrame, root: str, run_ts: str, fmt: str = "json") -> str:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -12,7 +11,7 @@ from feedloom.functions.text import text_or_empty
 from feedloom.functions.urls import normalise_url
 from feedloom.operators.dedup import deduplicate, fingerprint
 from feedloom.schema import ITEM
-from feedloom.session import stage
+from feedloom.session import path_exists, stage
 
 # Batches up to this many keys may be broadcast to the history scan.
 BROADCAST_KEYS = 1_000_000
@@ -28,10 +27,9 @@ def item_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) ->
 
 def _known_keys(spark: SparkSession, folder: str, batch_id: int) -> DataFrame:
     """Keys kept by earlier batches. A replayed batch does not see its own first attempt."""
-    try:
-        keys = spark.read.schema(KEYS_BY_BATCH).parquet(folder)
-    except AnalysisException:
+    if not path_exists(spark, folder):
         return spark.createDataFrame([], KEYS)
+    keys = spark.read.schema(KEYS_BY_BATCH).parquet(folder)
     return keys.filter(F.col("batch_id") < batch_id).select("url", "fp")
 
 
