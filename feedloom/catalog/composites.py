@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from feedloom.catalog.base import (
-    AS_OF, AS_OF_SQL, Registry, dated_items, instant_sql, instant_text, table, with_items,
+    AS_OF, AS_OF_SQL, Registry, dated_items, instant_sql, instant_text, with_items,
 )
 from feedloom.catalog.duplicates import survivors_sql
 from feedloom.catalog.rows import NEEDS, NEWEST, UNSUMMARISED, unsummarised
 from feedloom.catalog.scalars import (
-    clean_sql, digest_date_sql, escape_sql, mentions_sql, norm_url_sql, score_sql, strip_sql, template_sql,
+    clean_sql, digest_date_sql, escape_sql, mentions_sql, norm_url_sql, pages, score_sql, strip_sql, template_sql,
     title_case_sql, truncate_html_sql,
 )
 from feedloom.functions import scoring
+from feedloom.functions.text import html_to_text
 from feedloom.operators import digest, summaries
 from feedloom.plans import curation
 from feedloom.schema import conform, with_published_ts
@@ -155,9 +156,7 @@ def _(spark, sf):
 @add("c03_summarise_pages")
 def _(spark, sf):
     """Items without content take the text of their page, by link."""
-    from feedloom.functions.text import html_to_text
-
-    landed = table(spark, sf, "pages")
+    landed = pages(spark, sf)
     items = landed.select(
         F.col("page_id").alias("ord"), F.col("url").alias("link"), F.lit("").alias("summary"),
         F.lit("d" * 60).alias("description"), F.lit(None).cast("string").alias("ai_summary"),

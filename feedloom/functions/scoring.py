@@ -8,6 +8,7 @@ from operator import add
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from feedloom.functions.binding import let
 from feedloom.functions.text import text_or_empty
 
 
@@ -50,8 +51,11 @@ def score_lowered(title: Column, summary: Column, preset=WORKFLOW_PRESET) -> Col
 
 
 def relevance_score(title, summary, preset=WORKFLOW_PRESET) -> Column:
-    """Relevance from 0 to 100."""
-    return score_lowered(F.lower(text_or_empty(title)), F.lower(text_or_empty(summary)), preset)
+    """Relevance from 0 to 100. Each text is lower-cased once, also where a filter repeats the expression."""
+    return let(
+        F.struct(F.lower(text_or_empty(title)).alias("t"), F.lower(text_or_empty(summary)).alias("s")),
+        lambda texts: score_lowered(texts["t"], texts["s"], preset),
+    )
 
 
 def with_lowered(df: DataFrame) -> DataFrame:
@@ -63,10 +67,7 @@ def with_lowered(df: DataFrame) -> DataFrame:
 
 def with_relevance(df: DataFrame, preset=WORKFLOW_PRESET) -> DataFrame:
     """Add ``relevance_score``."""
-    scored = with_lowered(df).withColumn(
-        "relevance_score", score_lowered(F.col("title_lc"), F.col("summary_lc"), preset)
-    )
-    return scored.drop("title_lc", "summary_lc")
+    return df.withColumn("relevance_score", relevance_score("title", "summary", preset))
 
 
 def is_on_topic(title, summary, phrases=TOPIC_PHRASES) -> Column:
