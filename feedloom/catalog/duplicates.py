@@ -80,7 +80,7 @@ def url_pairs(spark, sf):
     """Every linked item that is not the first of its normalised URL, beside the first."""
     linked = dated_items(spark, sf).filter("link <> ''").withColumn("url", dedup.normalise_url("link"))
     fields = ["ord", "title", "summary", "link", "published_ts"]
-    first = dedup._first_per(linked, "url", AS_OF).select("url", *[F.col(c).alias(f"kept_{c}") for c in fields])
+    first = dedup.first_per_normalised_url(linked, AS_OF).select("url", *[F.col(c).alias(f"kept_{c}") for c in fields])
     later = linked.select("url", *[F.col(c).alias(f"later_{c}") for c in fields])
     return later.join(first, "url").filter("later_ord <> kept_ord")
 

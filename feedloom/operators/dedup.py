@@ -10,7 +10,8 @@ number of leaders per round, and rows are compared with leaders only, never with
 
 from __future__ import annotations
 
-import sys
+import functools
+import itertools
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F, types as T
@@ -51,25 +52,29 @@ def fingerprint(domains: bool = True, titles: bool = True, content: bool = True)
     return F.md5(F.concat_ws(" ", *parts).cast("binary"))
 
 
-def _first_per(df: DataFrame, key: str, as_of) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(*dedup_order(as_of))
-    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
-
-
 def _linked() -> Column:
     return text_or_empty("link") != ""
 
 
+def _own_key() -> Column:
+    """Key of a row that has no key: unique, so such rows neither meet nor pile up under one value."""
+    return F.concat(F.lit("row-"), F.col("ord").cast("string"))
+
+
+def _first_per(df: DataFrame, key: Column, as_of) -> DataFrame:
+    w = Window.partitionBy("_key").orderBy(*dedup_order(as_of))
+    keyed = df.withColumn("_key", F.when(_linked(), key).otherwise(_own_key()))
+    return keyed.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn", "_key")
+
+
 def first_per_url(df: DataFrame, as_of) -> DataFrame:
     """Newest row of every trimmed link; rows without a link are all kept."""
-    linked = df.filter(_linked()).withColumn("_url", strip("link"))
-    return df.filter(~_linked()).unionByName(_first_per(linked, "_url", as_of).drop("_url"))
+    return _first_per(df, strip("link"), as_of)
 
 
 def first_per_normalised_url(df: DataFrame, as_of) -> DataFrame:
     """Newest row of every normalised URL; rows without a link are all kept."""
-    linked = df.filter(_linked()).withColumn("_url", normalise_url("link"))
-    return df.filter(~_linked()).unionByName(_first_per(linked, "_url", as_of).drop("_url"))
+    return _first_per(df, normalise_url("link"), as_of)
 
 
 def duplicate_pairs(
@@ -112,7 +117,7 @@ def _keys(items: DataFrame, as_of, **parts: bool) -> DataFrame:
         # A row with neither title nor summary resembles nothing: it forms a group of its own, which also
         # keeps such rows from meeting under one key.
         F.when((title != "") | (summary != ""), fingerprint(**parts))
-        .otherwise(F.concat(F.lit("row-"), F.col("ord").cast("string"))).alias("fp"),
+        .otherwise(_own_key()).alias("fp"),
         digest(title).alias("title_md5"),
         digest(summary).alias("summary_md5"),
         F.length(title).alias("title_len"),
@@ -126,23 +131,14 @@ def _earliest(df: DataFrame, key: str, n: int = 1) -> DataFrame:
     return df.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n)
 
 
-def _contested_texts(items: DataFrame, keys: DataFrame) -> DataFrame | None:
-    """Lower-cased texts of the rows whose group the hashes alone cannot settle; None when there are none.
-
-    A group whose titles are all equal and not empty is settled: equal titles are always duplicates.
-    """
-    title = F.coalesce("title_md5", F.lit(""))
-    groups = keys.groupBy("fp").agg(
-        F.count("*").alias("n"), F.min(title).alias("lo"), F.max(title).alias("hi")
-    )
-    open_groups = groups.filter((F.col("n") > 1) & ((F.col("lo") != F.col("hi")) | (F.col("lo") == "")))
-    members = stage(keys.join(open_groups.select("fp"), "fp", "left_semi").select("ord"), "contested")
-    if members.isEmpty():
-        return None
-    texts = items.join(members, "ord", "left_semi").select(
+def _texts(items: DataFrame, settled: DataFrame) -> DataFrame:
+    """Lower-cased texts of the open rows and of the leaders they wait for; the items are read once for it."""
+    waiting = settled.filter(F.col("status").isin("open", "unsure"))
+    wanted = waiting.select("ord").unionByName(waiting.select(F.explode("pending").alias("l")).select("l.ord"))
+    texts = items.join(wanted.distinct(), "ord", "left_semi").select(
         "ord", F.lower(text_or_empty("title")).alias("title"), F.lower(text_or_empty("summary")).alias("summary")
     )
-    return stage(texts, "contested-texts")
+    return stage(texts, "texts")
 
 
 _LEADER = ("ord", "at", "site", "title_md5", "summary_md5", "title_len", "summary_len")
@@ -196,56 +192,60 @@ def _lead(batch: pd.DataFrame, threshold: float, alone: float, window_micros: in
     return pd.DataFrame({"ord": [k["ord"] for k in kept]}, dtype="int64")
 
 
-def _leaders(open_rows: DataFrame, url_heads: DataFrame, texts: DataFrame | None, n: int, rule) -> DataFrame:
+def _leaders(open_rows: DataFrame, texts: DataFrame | None, n: int, rule) -> DataFrame:
     """Rows certain to be kept in each fingerprint group.
 
     With n = 1, the first row of the group if it also leads its URL. With more, the first n rows are cut
     at the first one whose URL is still open, and the sequential rule runs on that batch of at most n.
     """
-    if n == 1 or texts is None:
-        return _earliest(open_rows, "fp").drop("rn").join(url_heads.select("ord"), "ord", "left_semi")
+    url_heads = _earliest(open_rows, "url").select("ord")
     first = _earliest(open_rows, "fp", n)
-    free = first.join(url_heads.select("ord", F.lit(True).alias("free")), "ord", "left")
+    if n == 1:
+        return first.drop("rn").join(url_heads, "ord", "left_semi")
+    free = first.join(url_heads.withColumn("free", F.lit(True)), "ord", "left")
     upto = Window.partitionBy("fp").orderBy("rn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     prefix = free.withColumn("blocked", F.count_if(F.col("free").isNull()).over(upto)).filter("blocked = 0")
-    with_texts = prefix.select("fp", "ord", "at", "site").join(texts, "ord", "left").fillna("", ["title", "summary"])
+    with_texts = prefix.select("fp", "ord", "at", "site").join(texts, "ord")
     schema = T.StructType([T.StructField("ord", T.LongType())])
     kept = with_texts.groupBy("fp").applyInPandas(lambda batch: _lead(batch, *rule), schema)
     return first.drop("rn").join(kept, "ord", "left_semi")
 
 
 def _round(open_rows: DataFrame, texts: DataFrame | None, n: int, rule) -> DataFrame:
-    """Settle what is certain now; adds ``status`` (kept, url, content, open) and ``matched``."""
+    """Settle what the key columns decide; adds ``status``, ``matched`` and ``pending``.
+
+    kept: a leader. url, content: dropped because of the leader ``matched``. unsure: the texts of the
+    leaders in ``pending`` must be looked at. open: depends on a row that is itself open.
+    """
     threshold, alone, window_micros = rule
-    url_heads = _earliest(open_rows, "url").drop("rn")
-    leaders = _leaders(open_rows, url_heads, texts, n, rule)
+    leaders = _leaders(open_rows, texts, n, rule)
     by_url = leaders.select("url", F.col("ord").alias("url_ord"))
+    # At most n leaders per group, so the list is bounded and every row is compared with at most n others.
     by_fp = leaders.groupBy("fp").agg(F.collect_list(F.struct(*_LEADER)).alias("leaders"))
     seen = open_rows.join(by_url, "url", "left").join(by_fp, "fp", "left")
-    known = F.filter("leaders", lambda k: _earlier(k) & _surely(k, threshold))
+    sure = F.filter("leaders", lambda k: _earlier(k) & _surely(k, threshold))
     unsure = F.filter("leaders", lambda k: _earlier(k) & _possibly(k, threshold, alone, window_micros))
-    judged = seen.withColumn("sure", F.array_min(F.transform(known, lambda k: k["ord"])))
-    undecided = F.col("url_ord").isNull() & F.col("sure").isNull()
-    if texts is not None:
-        judged = judged.join(_compared(judged.filter(undecided), unsure, texts, rule), "ord", "left")
-    else:
-        judged = judged.withColumn("alike", F.lit(None).cast("long"))
-    by_content = F.coalesce("sure", "alike")
+    judged = seen.withColumns({"sure": F.array_min(F.transform(sure, lambda k: k["ord"])), "unsure": unsure})
     status = (
         F.when(F.col("url_ord") == F.col("ord"), "kept")
         .when(F.col("url_ord").isNotNull(), "url")
-        .when(by_content.isNotNull(), "content")
+        .when(F.col("sure").isNotNull(), "content")
+        .when(F.size("unsure") > 0, "unsure")
         .otherwise("open")
     )
     return judged.select(
-        *open_rows.columns, status.alias("status"), F.coalesce("url_ord", by_content).alias("matched")
+        *open_rows.columns,
+        status.alias("status"),
+        F.coalesce("url_ord", "sure").alias("matched"),
+        F.when(status == "unsure", F.col("unsure")).alias("pending"),
     )
 
 
-def _compared(rows: DataFrame, unsure: Column, texts: DataFrame, rule) -> DataFrame:
-    """Look at the texts of the (row, leader) pairs the key columns leave unsure."""
+def _compared(settled: DataFrame, texts: DataFrame, rule) -> DataFrame:
+    """Unsure rows after looking at the texts: ``matched`` is set on those that repeat a leader."""
     threshold, alone, window_micros = rule
-    pairs = rows.select("ord", "at", "site", F.explode(unsure).alias("leader")).select(
+    waiting = settled.filter(F.col("status") == "unsure")
+    pairs = waiting.select("ord", "at", "site", F.explode("pending").alias("leader")).select(
         "ord",
         F.col("leader.ord").alias("leader_ord"),
         _close(F.col("leader"), window_micros).alias("close"),
@@ -255,10 +255,11 @@ def _compared(rows: DataFrame, unsure: Column, texts: DataFrame, rule) -> DataFr
         F.col("ord").alias(key), F.col("title").alias(f"{s}_title"), F.col("summary").alias(f"{s}_summary")
     )
     compared = pairs.join(side("later", "ord"), "ord").join(side("kept", "leader_ord"), "leader_ord")
-    return (
+    alike = (
         compared.filter(duplicate_verdict({}, threshold, alone))
         .groupBy("ord").agg(F.min("leader_ord").alias("alike"))
     )
+    return waiting.join(alike, "ord", "left").withColumn("matched", F.col("alike")).drop("alike")
 
 
 def dropped_rows(
@@ -268,27 +269,34 @@ def dropped_rows(
     """``ord`` of every dropped row with the reason (url, content) and the kept row it repeats.
 
     A similar kept row is looked for inside the fingerprint group that raised the suspicion. The rounds
-    end when no row is open; each keeps at least the newest open row, and two or three are usual.
+    end when no row is open; each keeps at least the newest open row, and two or three are usual. The
+    texts are read again only when rows remain that the key columns cannot settle, and only once.
     """
     rule = (threshold, alone, int(window_hours * 3_600_000_000))
-    keys = stage(_keys(items, as_of, **parts), "keys")
-    texts = _contested_texts(items, keys)
-    open_rows, dropped = keys, []
-    for number in range(sys.maxsize):
-        left = Observation()
-        settled = _round(open_rows, texts, 1 if number < 2 else leaders, rule)
-        settled = settled.observe(left, F.count_if(F.col("status") == "open").alias("open"))
-        settled = stage(settled, f"round-{number}")
-        dropped.append(settled.filter(F.col("status").isin("url", "content")).select(
-            "ord", F.col("status").alias("reason"), "matched"
-        ))
-        open_rows = settled.filter(F.col("status") == "open").drop("status", "matched")
-        if not left.get["open"]:
+    open_rows, texts, dropped = stage(_keys(items, as_of, **parts), "keys"), None, []
+    columns = open_rows.columns
+
+    def drop(rows: DataFrame) -> None:
+        reason = F.when(F.col("status") == "url", "url").otherwise("content")
+        dropped.append(rows.select("ord", reason.alias("reason"), "matched"))
+
+    for number in itertools.count():
+        counts = Observation()
+        is_status = lambda s: F.count_if(F.col("status") == s).alias(s)
+        settled = _round(open_rows, texts, 1 if texts is None else leaders, rule)
+        settled = stage(settled.observe(counts, is_status("open"), is_status("unsure")), f"round-{number}")
+        unsure, waiting = counts.get["unsure"], counts.get["open"] + counts.get["unsure"]
+        drop(settled.filter(F.col("status").isin("url", "content")))
+        if not waiting:
             break
-    out = dropped[0]
-    for more in dropped[1:]:
-        out = out.unionByName(more)
-    return out
+        if texts is None and (unsure or number > 0):
+            texts = _texts(items, settled)
+        open_rows = settled.filter(F.col("status") == "open").select(*columns)
+        if unsure:
+            compared = stage(_compared(settled, texts, rule), f"compared-{number}")
+            drop(compared.filter(F.col("matched").isNotNull()))
+            open_rows = open_rows.unionByName(compared.filter(F.col("matched").isNull()).select(*columns))
+    return functools.reduce(DataFrame.unionByName, dropped)
 
 
 def deduplicate(items: DataFrame, as_of, **options) -> DataFrame:

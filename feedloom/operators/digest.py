@@ -7,7 +7,7 @@ sections times rows per section, whatever the size of the input. Texts are short
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from feedloom.clock import instant
 from feedloom.functions.dates import format_digest_date, long_date
@@ -59,8 +59,9 @@ def digest_rows(items: DataFrame, n: int = 10, lexical: bool = False) -> DataFra
     ranked = top_per_group(
         tagged, ["category", "role"], [first.asc(), newest.desc_nulls_last(), F.col("ord").asc()], n
     ).filter((F.col("role") == "item") | (F.col("rn") == 1))
-    firsts = ranked.filter(F.col("role") == "first").select("category", F.col("ord").alias("first_ord"))
-    return ranked.filter(F.col("role") == "item").drop("role").join(firsts, "category")
+    # The ranked rows are few by now; the marker hands its position to its category and goes.
+    position = F.min(F.when(F.col("role") == "first", F.col("ord"))).over(Window.partitionBy("category"))
+    return ranked.withColumn("first_ord", position).filter(F.col("role") == "item").drop("role")
 
 
 def html_item(row_byline: Column) -> Column:
