@@ -182,7 +182,7 @@ def frames(spark, sf):
 
 
 RANK = "CASE WHEN content_type = 'rss' THEN 0 WHEN content_type = 'linkedin' THEN 2 ELSE 1 END"
-GATHERED = f"gathered AS (SELECT * REPLACE (ord + {RANK} * 281474976710656 AS ord) FROM items)"
+GATHERED = f"gathered AS (SELECT * REPLACE (ord + {RANK} * 1152921504606846976 AS ord) FROM items)"
 KEPT = (GATHERED, *survivors_sql("gathered"), "kept AS (SELECT * FROM gathered WHERE ord IN (SELECT ord FROM survivors))")
 
 

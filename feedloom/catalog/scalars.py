@@ -66,7 +66,7 @@ def page_text_sql(c: str) -> str:
         out = f"regexp_replace({out}, '(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>', chr(10), 'g')"
     out = f"regexp_replace({out}, '(?s)<!--.*?-->|<[/A-Za-z!?][^>]*>', chr(10), 'g')"
     for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("copy", "©"), ("middot", "·"), ("amp", "&")):
-        out = f"replace({out}, '&{name};', '{char}')"
+        out = f"regexp_replace({out}, '&{name};?', '{char}', 'g')"
     return strip_sql(f"regexp_replace({out}, '{SPACE}*(?:{BREAK}|  ){SPACE}*', ' ', 'g')")
 
 

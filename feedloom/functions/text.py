@@ -122,30 +122,44 @@ def truncate_text(c, length: int = 200) -> Column:
     return F.when(F.length(c) <= length, c).otherwise(F.concat(strip(_head(c, length)), F.lit("...")))
 
 
+# Fixed value: the entities of ENTITIES that count even without their semicolon.
+BARE_ENTITIES = ("lt", "gt", "quot", "nbsp", "copy", "reg", "middot", "amp")
+
+
 def _decode_numeric(c: Column) -> Column:
+    reference = r"^([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});?"
+
     def decode(part: Column) -> Column:
-        digits = F.regexp_extract(part, r"^([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});", 1)
+        digits = F.regexp_extract(part, reference, 1)
         code = F.when(
             F.lower(_head(digits, 1)) == "x", F.conv(F.substring(digits, 2, 6), 16, 10)
         ).otherwise(digits).try_cast("bigint")
         char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-        rest = F.regexp_replace(part, "^[^;]*;", "")
         known = (digits != "") & code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-        return F.when(known, F.concat(char, rest)).otherwise(F.concat(F.lit("&#"), part))
+        return F.when(known, F.concat(char, F.regexp_replace(part, reference, ""))).otherwise(
+            F.concat(F.lit("&#"), part)
+        )
 
-    parts = F.split(c, "&#")
-    decoded = F.concat(
-        F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), decode), "")
-    )
-    return F.when(F.contains(c, F.lit("&#")), decoded).otherwise(c)
+    def joined(parts: Column) -> Column:
+        rest = F.transform(F.slice(parts, 2, F.size(parts)), decode)
+        return F.concat(F.element_at(parts, 1), F.array_join(rest, ""))
+
+    return F.when(F.contains(c, F.lit("&#")), let(F.split(c, "&#"), joined)).otherwise(c)
 
 
 def decode_entities(c) -> Column:
     """Decode numeric references and the named entities of ``ENTITIES``."""
-    out = _decode_numeric(_col(c))
-    for name, char in ENTITIES.items():
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
-    return out
+
+    def named(out: Column) -> Column:
+        for name, char in ENTITIES.items():
+            if name in BARE_ENTITIES:
+                out = F.regexp_replace(out, f"&{name};?", char)
+            else:
+                out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
+        return out
+
+    c = _col(c)
+    return F.when(F.contains(c, F.lit("&")), named(_decode_numeric(c))).otherwise(c)
 
 
 def collapse_breaks(c) -> Column:
@@ -163,7 +177,7 @@ def html_to_text(c) -> Column:
     for tag in ("script", "style"):
         out = F.regexp_replace(out, rf"(?is)<{tag}\b[^>]*>.*?(?:</{tag}\s*>|\z)", "\n")
     out = F.regexp_replace(out, r"(?s)<!--.*?-->|<[/A-Za-z!?][^>]*>", "\n")
-    return collapse_breaks(decode_entities(out))
+    return collapse_breaks(let(out, decode_entities))
 
 
 def looks_like_html(c) -> Column:

@@ -23,6 +23,9 @@ def union_sources(frames: dict[str, DataFrame], selected=None) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
 
 
-def rank_order(df: DataFrame, width: int = 48) -> DataFrame:
-    """Fold ``source_rank`` and ``ord`` into one unique ``ord`` that keeps the union's order."""
-    return df.withColumn("ord", F.shiftleft(F.col("source_rank").cast("long"), width) + F.col("ord"))
+def rank_order(df: DataFrame) -> DataFrame:
+    """Fold ``source_rank`` into the top bits of ``ord``: unique, and in the union's order.
+
+    Room for eight origins and for any ``ord`` below 2**60.
+    """
+    return df.withColumn("ord", F.shiftleft(F.col("source_rank").cast("long"), 60) + F.col("ord"))

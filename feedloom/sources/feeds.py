@@ -59,7 +59,8 @@ def normalise_entries(entries: DataFrame, as_of) -> DataFrame:
 def read_rss(spark: SparkSession, path: str, row_tag: str = "item") -> DataFrame:
     """Landed RSS documents as parsed entries, with the file they came from.
 
-    ``ord`` is unique and increases within a file; the reader splits large documents between tasks.
+    ``ord`` is unique and increases within a file; the reader splits large documents between tasks. It
+    depends on how the files are split, so stage the result before a job that reads it more than once.
     """
     raw = spark.read.format("xml").option("rowTag", row_tag).schema(RSS_ENTRY).load(path)
     parsed = parse_published("pubDate")

@@ -152,7 +152,7 @@ def test_clean_and_escape(evaluate):
 PAGES = [
     "<p>a <b>b</b>c</p><script>x</script>d", "x  y\t z\n q", "&lt;b&gt; &#169; &#x1F600; &amp;lt; &bogus; &nbsp;",
     "<!-- c -->t<style>p</style>", "a < b and c > d", "<p>one<br>two<p>three   four", "<a href='x'>&copy; me</a>", "",
-    "<div>unclosed <b>bold", "<script>never closed",
+    "<div>unclosed <b>bold", "<script>never closed", "a&amp b&ampc &ampamp; &amp;amp &#65 &#x41;&#66;", "&lt", "x &#; &#xzz;",
 ]
 
 
