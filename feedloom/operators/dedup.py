@@ -27,7 +27,9 @@ from feedloom.sources.storage import load_items
 THRESHOLD = 0.85
 ALONE = 0.95
 WINDOW_HOURS = 24
+# Leaders a fingerprint group may offer per round, and open rows that one task may settle at the end.
 LEADERS = 64
+FINISH = 1000
 
 
 def dedup_order(as_of) -> list[Column]:
@@ -175,21 +177,45 @@ def _possibly(leader: Column, threshold: float, alone: float, window_micros: int
     )
 
 
-def _lead(batch: pd.DataFrame, threshold: float, alone: float, window_micros: int) -> pd.DataFrame:
-    """Sequential rule inside one bounded batch of a fingerprint group: the rows that are kept."""
-    rows = batch.sort_values(["at", "ord"], ascending=[False, True]).to_dict("records")
-    kept: list[dict] = []
-    for row in rows:
-        if not any(
-            is_duplicate(
-                row["title"], row["summary"], k["title"], k["summary"],
-                abs(row["at"] - k["at"]) <= window_micros, row["site"] != "" and row["site"] == k["site"],
-                threshold, alone,
-            )
-            for k in kept
-        ):
-            kept.append(row)
-    return pd.DataFrame({"ord": [k["ord"] for k in kept]}, dtype="int64")
+DROPPED = T.StructType(
+    [T.StructField("ord", T.LongType()), T.StructField("status", T.StringType()), T.StructField("matched", T.LongType())]
+)
+
+
+def _sequential(batch: pd.DataFrame, threshold: float, alone: float, window_micros: int) -> pd.DataFrame:
+    """The rule itself on a bounded batch of rows with texts: the rows it drops."""
+    urls: dict[str, int] = {}
+    groups: dict[str, list[dict]] = {}
+    dropped = []
+    for row in batch.sort_values(["at", "ord"], ascending=[False, True]).to_dict("records"):
+        group = groups.setdefault(row["fp"], [])
+        if row["url"] in urls:
+            dropped.append((row["ord"], "url", urls[row["url"]]))
+            continue
+        match = next(
+            (
+                k["ord"]
+                for k in group
+                if is_duplicate(
+                    row["title"], row["summary"], k["title"], k["summary"],
+                    abs(row["at"] - k["at"]) <= window_micros, row["site"] != "" and row["site"] == k["site"],
+                    threshold, alone,
+                )
+            ),
+            None,
+        )
+        if match is not None:
+            dropped.append((row["ord"], "content", match))
+            continue
+        urls[row["url"]] = row["ord"]
+        group.append(row)
+    return pd.DataFrame(dropped, columns=DROPPED.names)
+
+
+def _run_rule(rows: DataFrame, texts: DataFrame, group: Column, rule) -> DataFrame:
+    """Dropped rows of each group; the caller has bounded the groups."""
+    batch = rows.select("ord", "at", "site", "url", "fp", group.alias("_group")).join(texts, "ord")
+    return batch.groupBy("_group").applyInPandas(lambda pdf: _sequential(pdf, *rule), DROPPED)
 
 
 def _leaders(open_rows: DataFrame, texts: DataFrame | None, n: int, rule) -> DataFrame:
@@ -205,10 +231,8 @@ def _leaders(open_rows: DataFrame, texts: DataFrame | None, n: int, rule) -> Dat
     free = first.join(url_heads.withColumn("free", F.lit(True)), "ord", "left")
     upto = Window.partitionBy("fp").orderBy("rn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     prefix = free.withColumn("blocked", F.count_if(F.col("free").isNull()).over(upto)).filter("blocked = 0")
-    with_texts = prefix.select("fp", "ord", "at", "site").join(texts, "ord")
-    schema = T.StructType([T.StructField("ord", T.LongType())])
-    kept = with_texts.groupBy("fp").applyInPandas(lambda batch: _lead(batch, *rule), schema)
-    return first.drop("rn").join(kept, "ord", "left_semi")
+    dropped = _run_rule(prefix, texts, F.col("fp"), rule)
+    return prefix.drop("rn", "free", "blocked").join(dropped, "ord", "left_anti").select(*open_rows.columns)
 
 
 def _round(open_rows: DataFrame, texts: DataFrame | None, n: int, rule) -> DataFrame:
@@ -264,13 +288,13 @@ def _compared(settled: DataFrame, texts: DataFrame, rule) -> DataFrame:
 
 def dropped_rows(
     items: DataFrame, as_of, threshold: float = THRESHOLD, window_hours: float = WINDOW_HOURS,
-    alone: float = ALONE, leaders: int = LEADERS, **parts: bool,
+    alone: float = ALONE, leaders: int = LEADERS, finish: int = FINISH, **parts: bool,
 ) -> DataFrame:
     """``ord`` of every dropped row with the reason (url, content) and the kept row it repeats.
 
     A similar kept row is looked for inside the fingerprint group that raised the suspicion. The rounds
-    end when no row is open; each keeps at least the newest open row, and two or three are usual. The
-    texts are read again only when rows remain that the key columns cannot settle, and only once.
+    end when no row is open, or when at most ``finish`` rows are, which one small task settles. The texts
+    are read again only for rows that outlast the rounds on key columns, and once.
     """
     rule = (threshold, alone, int(window_hours * 3_600_000_000))
     open_rows, texts, dropped = stage(_keys(items, as_of, **parts), "keys"), None, []
@@ -289,13 +313,17 @@ def dropped_rows(
         drop(settled.filter(F.col("status").isin("url", "content")))
         if not waiting:
             break
-        if texts is None and (unsure or number > 0):
+        few = waiting <= finish
+        if texts is None and (unsure or number > 0 or few):
             texts = _texts(items, settled)
         open_rows = settled.filter(F.col("status") == "open").select(*columns)
         if unsure:
             compared = stage(_compared(settled, texts, rule), f"compared-{number}")
             drop(compared.filter(F.col("matched").isNotNull()))
             open_rows = open_rows.unionByName(compared.filter(F.col("matched").isNull()).select(*columns))
+        if few:
+            drop(stage(_run_rule(open_rows, texts, F.lit(0), rule), "finished"))
+            break
     return functools.reduce(DataFrame.unionByName, dropped)
 
 
