@@ -8,6 +8,6 @@ from pyspark import cloudpickle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 from feedloom.clock import instant  # noqa: E402
-from feedloom.session import configure, scratch_folder, stage  # noqa: E402
+from feedloom.session import configure, drop_stages, scratch_folder, stage  # noqa: E402
 
-__all__ = ["configure", "instant", "scratch_folder", "stage"]
+__all__ = ["configure", "drop_stages", "instant", "scratch_folder", "stage"]

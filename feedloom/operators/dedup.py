@@ -245,7 +245,11 @@ def _round(open_rows: DataFrame, texts: DataFrame | None, n: int, rule) -> DataF
     leaders = _leaders(open_rows, texts, n, rule)
     by_url = leaders.select("url", F.col("ord").alias("url_ord"))
     # At most n leaders per group, so the list is bounded and every row is compared with at most n others.
-    by_fp = leaders.groupBy("fp").agg(F.collect_list(F.struct(*_LEADER)).alias("leaders"))
+    leader = F.struct(*_LEADER)
+    if n == 1:
+        by_fp = leaders.select("fp", F.array(leader).alias("leaders"))
+    else:
+        by_fp = leaders.groupBy("fp").agg(F.collect_list(leader).alias("leaders"))
     seen = open_rows.join(by_url, "url", "left").join(by_fp, "fp", "left")
     sure = F.filter("leaders", lambda k: _earlier(k) & _surely(k, threshold))
     unsure = F.filter("leaders", lambda k: _earlier(k) & _possibly(k, threshold, alone, window_micros))

@@ -34,9 +34,13 @@ def scratch_folder(spark: SparkSession) -> str:
     return folder
 
 
+def _stage_folder(spark: SparkSession) -> str:
+    return f"{scratch_folder(spark)}/feedloom/{spark.sparkContext.applicationId}"
+
+
 def stage_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no earlier stage has used."""
-    return f"{scratch_folder(spark)}/feedloom/{name}-{uuid.uuid4().hex}"
+    return f"{_stage_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -46,10 +50,21 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a file or folder exists on whatever file system the path names."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    files, target = _file_system(spark, path)
+    return files.exists(target)
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Delete this application's stage tables. Call it when no frame that reads them is needed any more."""
+    files, target = _file_system(spark, _stage_folder(spark))
+    files.delete(target, True)
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:

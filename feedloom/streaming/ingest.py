@@ -14,7 +14,7 @@ from feedloom.schema import ITEM
 from feedloom.session import path_exists, stage
 
 # Batches up to this many keys may be broadcast to the history scan.
-BROADCAST_KEYS = 1_000_000
+BROADCAST_KEYS = 200_000
 
 KEYS = T.StructType([T.StructField(n, T.StringType()) for n in ("url", "fp")])
 KEYS_BY_BATCH = T.StructType([*KEYS.fields, T.StructField("batch_id", T.LongType())])
