@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from feedloom.catalog.base import (
     AS_OF, AS_OF_SQL, Registry, dated_items, instant_sql, instant_text, with_items,
 )
-from feedloom.catalog.duplicates import survivors_sql
+from feedloom.catalog.duplicates import FINGERPRINT, survivors_sql
 from feedloom.catalog.rows import NEEDS, NEWEST, UNSUMMARISED, unsummarised
 from feedloom.catalog.scalars import (
-    clean_sql, digest_date_sql, escape_sql, mentions_sql, norm_url_sql, pages, score_sql, strip_sql, template_sql,
+    clean_sql, digest_date_sql, escape_sql, mentions_sql, norm_url_sql, page_text_sql, pages, score_sql, strip_sql, template_sql,
     title_case_sql, truncate_html_sql,
 )
 from feedloom.functions import scoring
@@ -153,7 +153,12 @@ def _(spark, sf):
     return done.select("ord", "generated_summary")
 
 
-@add("c03_summarise_pages")
+@add("c03_summarise_pages", f"""
+WITH texts AS (SELECT page_id, url, {page_text_sql('html')} AS body FROM pages),
+landed AS (SELECT url, min(body) AS body FROM texts GROUP BY url)
+SELECT t.page_id AS ord, CASE WHEN length(l.body) < 100 THEN l.body
+  ELSE array_to_string(list_slice(string_split(l.body, ' '), 1, 5), ' ') END AS generated_summary
+FROM texts t JOIN landed l ON l.url = t.url""")
 def _(spark, sf):
     """Items without content take the text of their page, by link."""
     landed = pages(spark, sf)
@@ -248,3 +253,12 @@ def _(spark, sf):
     stream = with_published_ts(ingest.item_stream(spark, landed_items(spark, sf)))
     ingest.run_to_folder(ingest.dedup_stream(stream), root).awaitTermination()
     return spark.read.parquet(f"{root}/rows").select("norm_url")
+
+
+@add("t02_dedup_stream_fingerprint", with_items(
+    f"SELECT DISTINCT {FINGERPRINT} AS fp FROM items WHERE link <> '' AND published_ts IS NOT NULL"))
+def _(spark, sf):
+    root = stage_path(spark, "dedup-stream-fp")
+    stream = with_published_ts(ingest.item_stream(spark, landed_items(spark, sf)))
+    ingest.run_to_folder(ingest.dedup_stream_by_fingerprint(stream), root).awaitTermination()
+    return spark.read.parquet(f"{root}/rows").select("fp")

@@ -86,6 +86,24 @@ def _(spark, sf):
     return entries(spark, sf).select("ord", feeds.entry_date(AS_OF).alias("published"))
 
 
+@add("s01_read_rss", with_items(
+    f"""SELECT id, {strip_sql('title')} AS title, link,
+        coalesce(strftime(published_ts, '%Y-%m-%dT%H:%M:%S'), published) AS published, 'Feed' AS source,
+        coalesce(author, 'Unknown') AS author
+        FROM items WHERE link <> '' AND {strip_sql('title')} <> '' AND published <> ''"""))
+def _(spark, sf):
+    folder = stage_path(spark, "rss")
+    shaped = items(spark, sf).filter("published <> ''").select(
+        F.col("id").alias("guid"), "title", "link", "author", F.col("published").alias("pubDate")
+    )
+    shaped.write.format("xml").option("rowTag", "item").option("rootTag", "channel").save(folder)
+    found = feeds.read_rss(spark, folder).withColumns(
+        {"source_name": F.lit("Feed"), "source_category": F.lit(None).cast("string")}
+    )
+    read = feeds.normalise_entries(found, AS_OF)
+    return read.select("id", "title", "link", "published", "source", "author")
+
+
 # --- repository events -------------------------------------------------------------------------------
 
 

@@ -55,8 +55,9 @@ def batch_summarise(
     gated = batch_gate(items, needs_summary(), gate)
     routed = gated.withColumn("route", F.when(F.col("eligible"), summary_route(content, link)))
     if pages is not None:
-        landed = pages.select(F.col(link), F.col("text").alias("_page"))
-        routed = routed.join(landed.dropDuplicates([link]), link, "left")
+        # A page landed more than once counts once, whichever order the copies are read in.
+        landed = pages.groupBy(link).agg(F.min("text").alias("_page"))
+        routed = routed.join(landed, link, "left")
     else:
         routed = routed.withColumn("_page", F.lit(None).cast("string"))
     source = F.when(F.col("route") == "content", F.col(content)).when(F.col("route") == "url", F.col("_page"))
