@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import math
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F, types as T
@@ -290,19 +291,10 @@ def _compared(settled: DataFrame, texts: DataFrame, rule) -> DataFrame:
     return waiting.join(alike, "ord", "left").withColumn("matched", F.col("alike")).drop("alike")
 
 
-def dropped_rows(
-    items: DataFrame, as_of, threshold: float = THRESHOLD, window_hours: float = WINDOW_HOURS,
-    alone: float = ALONE, leaders: int = LEADERS, finish: int = FINISH, **parts: bool,
-) -> DataFrame:
-    """``ord`` of every dropped row with the reason (url, content) and the kept row it repeats.
-
-    A similar kept row is looked for inside the fingerprint group that raised the suspicion. The rounds
-    end when no row is open, or when at most ``finish`` rows are, which one small task settles. The texts
-    are read again only for rows that outlast the rounds on key columns, and once.
-    """
-    rule = (threshold, alone, int(window_hours * 3_600_000_000))
-    open_rows, texts, dropped = stage(_keys(items, as_of, **parts), "keys"), None, []
-    columns = open_rows.columns
+def _settle(items: DataFrame, keys: DataFrame, rule, leaders: int, finish: int) -> DataFrame:
+    """Dropped rows when a similar kept row is looked for inside the row's fingerprint group."""
+    open_rows, texts, dropped = keys, None, []
+    columns = keys.columns
 
     def drop(rows: DataFrame) -> None:
         reason = F.when(F.col("status") == "url", "url").otherwise("content")
@@ -331,6 +323,125 @@ def dropped_rows(
     return functools.reduce(DataFrame.unionByName, dropped)
 
 
+def _length_bucket(length: Column, threshold: float) -> Column:
+    """Bucket such that two lengths whose ratio bound reaches the threshold are at most one apart.
+
+    The base leaves a margin for rounding.
+    """
+    return F.floor(F.log(length) / math.log(max((2 - threshold) / threshold, 1.01) * 1.001))
+
+
+def _around(bucket: Column) -> Column:
+    return F.sequence(bucket - 1, bucket + 1)
+
+
+def _meeting_keys(rule, near: bool) -> Column:
+    """Keys under which every similar pair meets: site and summary length, time and title length, title length.
+
+    ``near`` also lists the neighbouring buckets; one side of a join lists them, the other does not.
+    """
+    threshold, alone, window_micros = rule
+    width = max(window_micros, 3_600_000_000)
+    spots = (lambda b: _around(b)) if near else (lambda b: F.array(b))
+    time = F.floor(F.col("at") / width)
+
+    def tagged(tag: str, first: Column, buckets: Column) -> Column:
+        return F.transform(buckets, lambda b: F.concat_ws(":", F.lit(tag), first.cast("string"), b.cast("string")))
+
+    nothing = F.array().cast("array<string>")
+    title, summary = F.length("title"), F.length("summary")
+    by_site = tagged("site", F.col("site"), spots(_length_bucket(summary, threshold)))
+    by_time = F.flatten(
+        F.transform(spots(time), lambda t: tagged("time", t, spots(_length_bucket(title, threshold))))
+    )
+    by_title = tagged("title", F.lit(""), spots(_length_bucket(title, alone)))
+    return F.concat(
+        F.when((F.col("site") != "") & (summary > 0), by_site).otherwise(nothing),
+        F.when(title > 0, F.concat(by_time, by_title)).otherwise(nothing),
+    )
+
+
+def _outside_matches(items: DataFrame, keys: DataFrame, dropped: DataFrame, as_of, rule) -> DataFrame | None:
+    """Kept rows that the rule drops because of a kept row outside their fingerprint group; None when none.
+
+    Only a row that shares its fingerprint with an earlier kept row is ever compared, and it has been kept
+    although it resembles no kept row of its group. Such rows are rare; all other rows pass them once.
+    """
+    threshold, alone, window_micros = rule
+    kept = keys.join(dropped.select("ord"), "ord", "left_anti")
+    shared = kept.groupBy("fp").agg(
+        F.count("*").alias("n"), F.max(F.struct("at", (-F.col("ord")).alias("back"))).alias("head")
+    ).filter("n > 1")
+    suspects = stage(kept.join(shared, "fp").filter(F.col("ord") != -F.col("head.back")).select("ord"), "suspects")
+    if suspects.isEmpty():
+        return None
+    texts = items.join(dropped.select("ord"), "ord", "left_anti").select(
+        "ord",
+        F.unix_micros(F.coalesce("published_ts", instant(as_of))).alias("at"),
+        netloc("link").alias("site"),
+        F.lower(text_or_empty("title")).alias("title"),
+        F.lower(text_or_empty("summary")).alias("summary"),
+    )
+    fields = ("ord", "at", "site", "title", "summary")
+    side = lambda df, s, near: df.select(
+        *[F.col(c).alias(f"{s}_{c}") for c in fields], F.explode(_meeting_keys(rule, near)).alias("key")
+    )
+    later = side(stage(texts.join(suspects, "ord", "left_semi"), "suspect-texts"), "later", True)
+    pairs = side(texts, "kept", False).join(later, "key").filter(
+        (F.col("kept_at") > F.col("later_at"))
+        | ((F.col("kept_at") == F.col("later_at")) & (F.col("kept_ord") < F.col("later_ord")))
+    )
+    judged = pairs.withColumns(
+        {
+            "close": F.abs(F.col("kept_at") - F.col("later_at")) <= window_micros,
+            "same_site": (F.col("later_site") != "") & (F.col("later_site") == F.col("kept_site")),
+        }
+    ).filter(duplicate_verdict({}, threshold, alone))
+    hits = stage(
+        judged.groupBy("later_ord", "later_at").agg(
+            F.max(F.struct(F.col("kept_at").alias("at"), (-F.col("kept_ord")).alias("back"))).alias("by")
+        ),
+        "outside",
+    )
+    earliest = hits.orderBy(F.col("later_at").desc(), "later_ord").first()
+    if earliest is None:
+        return None
+    # Everything before the earliest hit is final, so a hit is certain when its partner is among that.
+    at, back = F.lit(earliest.later_at), F.lit(-earliest.later_ord)
+    certain = (F.col("by.at") > at) | ((F.col("by.at") == at) & (F.col("by.back") > back))
+    return hits.filter(certain).select(
+        F.col("later_ord").alias("ord"), F.lit("content").alias("reason"), (-F.col("by.back")).alias("matched")
+    )
+
+
+def dropped_rows(
+    items: DataFrame, as_of, threshold: float = THRESHOLD, window_hours: float = WINDOW_HOURS,
+    alone: float = ALONE, scope: str = "all", leaders: int = LEADERS, finish: int = FINISH, **parts: bool,
+) -> DataFrame:
+    """``ord`` of every dropped row with the reason (url, content) and the kept row it repeats.
+
+    With ``scope="all"`` the similar kept row may be any, as the rule says; with ``"block"`` it must share the
+    fingerprint, which spares a check. The rounds end when no row is open, or when at most ``finish`` rows are,
+    which one small task settles. The texts are read again only for rows that outlast the key columns.
+
+    The check finds rows that fall to a kept row outside their group. They are taken out and the rounds are
+    repeated without them, until the check finds none: usually it finds none at once.
+    """
+    if scope not in ("all", "block") or not 0 < threshold <= 1 or not 0 < alone <= 1:
+        raise ValueError("scope is all or block; thresholds lie above 0 and at most at 1")
+    rule = (threshold, alone, int(window_hours * 3_600_000_000))
+    keys = stage(_keys(items, as_of, **parts), "keys")
+    forced = None
+    while True:
+        remaining = keys if forced is None else keys.join(forced.select("ord"), "ord", "left_anti")
+        dropped = _settle(items, remaining, rule, leaders, finish)
+        dropped = dropped if forced is None else dropped.unionByName(forced)
+        more = None if scope == "block" else _outside_matches(items, keys, dropped, as_of, rule)
+        if more is None:
+            return dropped
+        forced = stage(more if forced is None else forced.unionByName(more), "forced")
+
+
 def deduplicate(items: DataFrame, as_of, **options) -> DataFrame:
     """Items that survive the greedy pass; rows without a link always do. See ``dropped_rows``."""
     return items.join(dropped_rows(items, as_of, **options).select("ord"), "ord", "left_anti")

@@ -44,9 +44,8 @@ def frame(spark, rows):
 
 def test_same_rows_as_sequential_pass(spark):
     items = dated_items(spark, SF_DIR)
-    got = kept(items)
-    assert got == kept(items, finish=0) == survivors(restated(items))
-    assert got == survivors(restated(items), scope="all")
+    assert kept(items) == survivors(restated(items), scope="all")
+    assert kept(items, scope="block", finish=0) == survivors(restated(items))
 
 
 RULES = [
@@ -74,7 +73,7 @@ RULES = [
 @pytest.mark.parametrize("rows,expected", RULES)
 def test_rules(spark, rows, expected):
     items = frame(spark, rows)
-    assert survivors(restated(items)) == expected
+    assert survivors(restated(items), scope="all") == expected
     assert kept(items) == expected
 
 
@@ -94,16 +93,34 @@ def mixed(seed: int, n: int):
 @pytest.mark.parametrize("seed", range(4))
 def test_random_chains(spark, seed):
     items = frame(spark, mixed(seed, 60))
-    want = survivors(restated(items))
-    assert kept(items) == want
-    assert kept(items, leaders=2 + seed % 3, finish=0) == want
+    rows = restated(items)
+    want = survivors(rows)
+    assert kept(items, scope="block") == want
+    assert kept(items, scope="block", leaders=2 + seed % 3, finish=0) == want
+    assert kept(items) == survivors(rows, scope="all")
+
+
+def test_match_outside_the_group_cascades(spark):
+    """Row 1 falls to row 0, which has another fingerprint; so row 3, which row 1 would block, stays."""
+    rows = [
+        ("<kkkkkkkkkkkkkkkkkkkkkkkkkkkkkkkkkkkk>go", "", "http://other/1", 9),
+        ("<kkkkkkkkkkkkkkkkkkkkkkkkkkkkkkkkkkkk>go", "", "http://h/1", 8),
+        ("go", "", "http://h/2", 9),
+        ("something else", "", "http://h/1#again", 1),
+    ]
+    items = frame(spark, rows)
+    assert kept(items, scope="block") == survivors(restated(items)) == {0, 1, 2}
+    assert kept(items) == survivors(restated(items), scope="all") == {0, 2, 3}
+    matched = {r.ord: r.matched for r in dedup.dropped_rows(items, AS_OF).collect()}
+    assert matched == {1: 0}
 
 
 def test_hot_group_of_distinct_rows(spark):
     """One fingerprint holds every row and no two rows are alike: many leaders, several rounds."""
     rows = [("", f"<{chr(97 + i % 26) * (20 + 3 * i)}>text", f"http://h/{i}", 0) for i in range(40)]
     items = frame(spark, rows)
-    assert kept(items, leaders=8, finish=10) == survivors(restated(items))
+    assert kept(items, scope="block", leaders=8, finish=10) == survivors(restated(items))
+    assert kept(items) == survivors(restated(items), scope="all")
 
 
 def test_idempotent_and_unique(spark):
@@ -122,7 +139,7 @@ def test_same_result_for_any_partitioning(spark, partitions):
     spark.conf.set("spark.sql.shuffle.partitions", partitions)
     try:
         items = frame(spark, mixed(99, 80))
-        assert kept(items, finish=0) == survivors(restated(items))
+        assert kept(items, scope="block", finish=0) == survivors(restated(items))
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
