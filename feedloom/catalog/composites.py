@@ -228,6 +228,19 @@ def _(spark, sf):
     return done.select("ord", "title", instant_text("published_ts", "at"))
 
 
+SHORTENED = f"""CASE WHEN opened AND length({strip_sql("coalesce(summary, '')")}) >= 100
+  THEN concat(substr(summary, 1, 150), '...') END"""
+OPENED = """opened AS (SELECT *, (SELECT bool_or(coalesce(summary, '') = '' AND length(coalesce(description, '')) >= 50)
+  FROM kept) AS opened FROM kept)"""
+
+
+@add("c07_aggregate_all_summaries", with_items(
+    f"SELECT ord, {SHORTENED} AS generated_summary FROM opened", *KEPT, OPENED))
+def _(spark, sf):
+    done = curation.aggregate_all(frames(spark, sf), AS_OF, summaries=True)
+    return done.select("ord", "generated_summary")
+
+
 # --- streams -----------------------------------------------------------------------------------------
 
 

@@ -208,6 +208,13 @@ def _(spark, sf):
     return ranking.assign_batches(recent, 10).select("ord", "pos", "batch_index")
 
 
+@add("w06_assign_sub_batches", with_items(
+    "SELECT ord, ord // 10 AS batch_index, (ord // 10) * 4 + (ord % 10) // 3 AS sub_batch FROM items"))
+def _(spark, sf):
+    batched = ranking.assign_batches(documents(spark, sf), 10, dense=True)
+    return ranking.assign_sub_batches(batched, 10, 3).select("ord", "batch_index", "sub_batch")
+
+
 @add("o01_sort_newest", with_items(
     f"SELECT ord, {instant_sql('published_ts')} AS at, row_number() OVER (ORDER BY {NEWEST}) - 1 AS pos FROM items"))
 def _(spark, sf):

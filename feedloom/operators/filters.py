@@ -72,14 +72,17 @@ def needs_summary_strict() -> Column:
     return (F.length(text_or_empty("description")) >= 200) & _blank("summary") & (score >= 0.3)
 
 
-def batch_gate(df: DataFrame, needs: Column, gate: str = "any") -> DataFrame:
-    """Add ``eligible``: with ``any``, one needy member opens its whole batch; with ``row``, each row decides.
+def batch_gate(df: DataFrame, needs: Column, gate: str = "any", batch: str = "batch_index") -> DataFrame:
+    """Add ``eligible``: with ``any``, one needy member opens its whole batch; with ``whole``, it opens the whole
+    input; with ``row``, each row decides.
 
-    The window is bounded by the batch size, so no key can grow hot.
+    The window is bounded by the batch size, so no key can grow hot; the whole input is a scalar aggregate.
     """
     if gate == "row":
         return df.withColumn("eligible", needs)
-    return df.withColumn("eligible", F.bool_or(needs).over(Window.partitionBy("batch_index")))
+    if gate == "whole":
+        return df.withColumn("eligible", df.agg(F.coalesce(F.bool_or(needs), F.lit(False))).scalar())
+    return df.withColumn("eligible", F.bool_or(needs).over(Window.partitionBy(batch)))
 
 
 def summary_route(content: str = "summary", link: str = "link") -> Column:

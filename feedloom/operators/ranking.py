@@ -117,3 +117,10 @@ def assign_batches(df: DataFrame, size: int = 10, dense: bool = False) -> DataFr
     """
     df = df.withColumn("pos", F.col("ord")) if dense else dense_positions(df)
     return df.withColumn("batch_index", F.floor(F.col("pos") / size).cast("long"))
+
+
+def assign_sub_batches(batched: DataFrame, size: int = 10, sub_size: int = 3) -> DataFrame:
+    """Add ``sub_batch``: chunks of ``sub_size`` rows that start anew with every batch."""
+    per_batch = -(-size // sub_size)
+    within = F.floor(F.pmod(F.col("pos"), F.lit(size)) / sub_size)
+    return batched.withColumn("sub_batch", (F.col("batch_index") * per_batch + within).cast("long"))

@@ -41,10 +41,11 @@ def batch_summarise(
     content: str = "summary",
     link: str = "link",
     gate: str = "any",
+    batch: str = "batch_index",
     rows_per_call: int = 3,
     max_length: int = 150,
 ) -> DataFrame:
-    """Add ``generated_summary`` to the eligible rows of each ``batch_index``.
+    """Add ``generated_summary`` to the eligible rows of each batch (see ``batch_gate``).
 
     Long content is summarised itself; for short content with a link, the text of the link's page is taken
     from ``pages(link, text)`` when given. A text that occurs many times is summarised once: distinct hashes
@@ -52,7 +53,7 @@ def batch_summarise(
     prefix form of ``fallback_summary``, computed natively. Other rows pass through unchanged; a failed call
     leaves its rows without a summary and says why in ``summary_error``.
     """
-    gated = batch_gate(items, needs_summary(), gate)
+    gated = batch_gate(items, needs_summary(), gate, batch)
     routed = gated.withColumn("route", F.when(F.col("eligible"), summary_route(content, link)))
     if pages is not None:
         # A page landed more than once counts once, whichever order the copies are read in.

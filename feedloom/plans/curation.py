@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from feedloom.functions.scoring import WORKFLOW_PRESET, with_relevance
 from feedloom.operators.dedup import deduplicate
 from feedloom.operators.digest import html_digest
 from feedloom.operators.filters import by_category, maybe_recent, recent, search
-from feedloom.operators.ranking import assign_batches, preview, sort_newest, sort_relevant
+from feedloom.operators.ranking import preview, sort_newest, sort_relevant
 from feedloom.operators.summaries import batch_summarise, publish_summaries
 from feedloom.operators.unions import rank_order, union_sources
 from feedloom.sources.storage import load_items, save_digest, save_items
@@ -50,6 +50,12 @@ def _category(df: DataFrame, category: str | None) -> DataFrame:
     return by_category(df, category) if category else df
 
 
+def _summarisable(df: DataFrame) -> DataFrame:
+    """Add the summary columns that the sources do not fill."""
+    absent = {"description": "string", "relevance_score": "int", "generated_summary": "string", "ai_summary": "string"}
+    return df.withColumns({n: F.lit(None).cast(t) for n, t in absent.items() if n not in df.columns})
+
+
 def curate(frames: dict[str, DataFrame], as_of, options: Options = Options(), preset=WORKFLOW_PRESET) -> DataFrame:
     """Workflow run: union, deduplicate, category, at most two days, score, highest score first."""
     days = min(options.days, 2)
@@ -80,8 +86,7 @@ def digest_run(
     """Digest run: union, optional summaries, deduplicate, category, recency, HTML digest, save."""
     gathered = _gather(frames, options.sources)
     if summaries:
-        batched = assign_batches(gathered, options.batch_size)
-        gathered = publish_summaries(batch_summarise(batched, summarise)).drop("pos", "batch_index")
+        gathered = publish_summaries(batch_summarise(_summarisable(gathered), summarise, gate="whole"))
     gathered = maybe_recent(gathered, as_of, options.days)
     kept = recent(_category(deduplicate(gathered, as_of), options.category), as_of, options.days)
     digest = html_digest(kept, as_of, options.max_items)
@@ -98,6 +103,5 @@ def aggregate_all(
     gathered = _gather(frames, options.sources or ("rss", "github", "linkedin"))
     kept = deduplicate(gathered, as_of) if dedup else gathered
     if summaries:
-        batched = assign_batches(kept, options.batch_size)
-        kept = batch_summarise(batched, summarise).drop("pos", "batch_index")
+        kept = batch_summarise(_summarisable(kept), summarise, gate="whole")
     return sort_newest(kept)

@@ -35,6 +35,14 @@ def test_default_summary_and_gate(items):
     assert got == [LONG[:150] + "...", None, "done", None, None, None]
 
 
+def test_whole_gate(items):
+    """One needy row opens everything; without it nothing is touched."""
+    got = results(summaries.batch_summarise(items, gate="whole"))
+    assert got == [LONG[:150] + "...", None, "done"] + [LONG[:150] + "..."] * 3
+    closed = results(summaries.batch_summarise(items.filter("ord <> 1"), gate="whole"))
+    assert closed == [None, "done", None, None, None]
+
+
 def test_callable_sees_each_text_once(spark, items, tmp_path):
     log = str(tmp_path / "calls")
 
