@@ -74,8 +74,7 @@ def parse_published(c) -> Column:
 
     ISO text with an impossible time falls back to midnight of its date.
     """
-    c = _col(c)
-    return F.coalesce(_instant(_iso_text(c)), _midnight(c))
+    return let(_col(c), lambda text: F.coalesce(_instant(_iso_text(text)), _midnight(text)))
 
 
 def iso_utc(ts) -> Column:
