@@ -8,8 +8,9 @@ import compare
 from conftest import SF_DIR
 
 import __spark_entry__ as entry_point
+from feedloom.catalog.registry import load
 
-QUERIES, ORACLES = entry_point.queries(), entry_point.oracle_sql()
+QUERIES, ORACLES = load()
 
 
 @pytest.fixture(scope="module")
