@@ -8,6 +8,8 @@ a better priority, or the same and is longer or comes from an earlier rule.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from feedloom.llm.common import text_or_empty
@@ -35,21 +37,27 @@ def _anchors(ordered: list[Rule]) -> list[str]:
     return sorted({max(r.keyword.split(), key=len) for r in ordered})
 
 
+def _constant(value: list, kind: str) -> Column:
+    """A list as one literal of the given type: the plan holds the rules as data, not as an expression for each."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
 def _found(t: Column, ordered: list[Rule]) -> Column:
     """For each rule that matches: its number, and the words of the pieces between its matches and of the matches."""
-    groups: dict[str, list[Rule]] = {}
+    groups: dict[str, list[dict]] = {}
     for r in ordered:
-        groups.setdefault(r.keyword, []).append(r)
-
-    def one(r: Rule) -> Column:
-        pattern = spaced(r.pattern)
-        pieces, hits = F.split(t, pattern, -1), F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
-        return F.when(t.rlike(pattern), F.struct(F.lit(r.rule_id).alias("rule_id"), F.transform(pieces, _words).alias("between"), F.transform(hits, _words).alias("long")))
-
-    by_keyword = [F.when(F.contains(t, F.lit(spaced(k))), F.array(*[one(r) for r in members])) for k, members in groups.items()]
-    every = F.flatten(F.filter(F.array(*by_keyword), lambda x: x.isNotNull()))
+        groups.setdefault(spaced(r.keyword), []).append({"rule_id": r.rule_id, "pattern": spaced(r.pattern)})
+    by_keyword = _constant(
+        [{"keyword": k, "rules": v} for k, v in groups.items()], "array<struct<keyword: string, rules: array<struct<rule_id: int, pattern: string>>>>"
+    )
     some = F.arrays_overlap(F.split(F.trim(t), "  ", -1), F.array(*[F.lit(a) for a in _anchors(ordered)]))
-    return F.when(some, F.filter(every, lambda x: x.isNotNull()))
+    possible = F.flatten(F.transform(F.filter(by_keyword, lambda g: F.contains(t, g["keyword"])), lambda g: g["rules"]))
+    matching = F.filter(possible, lambda r: F.rlike(t, r["pattern"]))
+    return F.when(some, F.transform(matching, lambda r: F.struct(
+        r["rule_id"].alias("rule_id"),
+        F.transform(F.split(t, r["pattern"], -1), _words).alias("between"),
+        F.transform(F.regexp_extract_all(t, r["pattern"], F.lit(0)), _words).alias("long"),
+    )))
 
 
 def _base(df: DataFrame, phrases: dict[str, str]) -> DataFrame:
@@ -94,7 +102,7 @@ def detections(rows: DataFrame, ordered: list[Rule] | None = None) -> DataFrame:
     )
     upto = F.sum(F.col("x.between") + F.col("x.long")).over(Window.partitionBy("row", "rule_id").orderBy("pos"))
     spans = hits.repartition("row").withColumn("end_word", upto).withColumn("start_word", F.col("end_word") - F.col("x.long")).drop("pos", "x")
-    facts = F.array(*[F.struct(F.lit(r.priority).alias("priority"), F.lit(r.label).alias("label"), F.lit(r.kind).alias("kind")) for r in ordered])
+    facts = _constant([{"priority": r.priority, "label": r.label, "kind": r.kind} for r in ordered], "array<struct<priority: int, label: string, kind: string>>")
     spans = spans.select("*", F.element_at(facts, F.col("rule_id") + 1).alias("r")).select("row", "key", "start_word", "end_word", "rule_id", "r.*")
     ahead = Window.partitionBy("row").orderBy("start_word", F.desc("end_word"), "priority", "rule_id").rowsBetween(Window.unboundedPreceding, -1)
     reach = [F.max(F.when(F.col("priority") <= p, F.col("end_word"))).over(ahead) for p in range(len(KINDS))]
