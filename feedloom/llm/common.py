@@ -25,3 +25,29 @@ def fold(doc_id: str, folds: int) -> Column:
 def word_count(text: Column) -> Column:
     """Number of words between ASCII white space."""
     return F.regexp_count(text, F.lit(WORD)).cast("long")
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of few rows, so that long texts don't add up to a large batch."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
+def slices(batch, column: str, most_bytes: int = 4 << 20):
+    """Parts of an Arrow batch whose texts together have about ``most_bytes``; a longer text is a part of its own."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = np.cumsum(lengths) // most_bytes
+    cuts = np.flatnonzero(np.diff(part)) + 1
+    for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+        if end > start:
+            yield batch.slice(start, end - start)
+
+
+def output_schema(df: DataFrame, **added: str):
+    """Schema of ``df`` with columns added, or replaced where the name is taken."""
+    from pyspark.sql.types import StructField, StructType, _parse_datatype_string
+
+    kept = [f for f in df.schema.fields if f.name not in added]
+    return StructType([*kept, *[StructField(name, _parse_datatype_string(kind)) for name, kind in added.items()]])

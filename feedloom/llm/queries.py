@@ -5,14 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from feedloom.catalog.base import Registry
-from feedloom.llm import licenses, mixing, warc
-from feedloom.llm.common import table
+from feedloom.llm import bpe, licenses, mixing, warc
+from feedloom.llm.common import bounded_batches, table
 from feedloom.llm.oracles import MIXING_SQL, WARC_SQL
 from feedloom.session import stage_path
 
 REGISTRY = Registry()
 
 
+def word_bpe_path() -> str:
+    """The public word BPE tokenizer file that the queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@REGISTRY.add("op2_bpe_round_trip")
+def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    path = word_bpe_path()
+    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).select(
+        "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256")
+    )
+    return bpe.decode(encoded, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @REGISTRY.add("op6_license_scan", licenses.scan_sql())
 def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents"))
