@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from feedloom.catalog.base import Registry
-from feedloom.llm import bpe, licenses, mixing, warc
+from feedloom.llm import bpe, licenses, mixing, simhash, warc
 from feedloom.llm.common import bounded_batches, table
 from feedloom.llm.oracles import MIXING_SQL, WARC_SQL
 from feedloom.session import stage_path
@@ -30,6 +30,12 @@ def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(encoded, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@REGISTRY.add("op5_simhash_near_dedup")
+def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @REGISTRY.add("op6_license_scan", licenses.scan_sql())
 def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents"))
