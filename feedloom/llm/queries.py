@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from feedloom.catalog.base import Registry
-from feedloom.llm import bpe, licenses, mixing, simhash, warc
+from feedloom.llm import bpe, licenses, lm, mixing, simhash, warc
 from feedloom.llm.common import bounded_batches, table
 from feedloom.llm.oracles import MIXING_SQL, WARC_SQL
 from feedloom.session import stage_path
@@ -20,6 +20,12 @@ def word_bpe_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@REGISTRY.add("op1_lm_scores")
+def lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    return lm.fit_and_score(table(spark, sf_dir, "documents"))
+
+
 @REGISTRY.add("op2_bpe_round_trip")
 def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
