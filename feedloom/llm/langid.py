@@ -22,7 +22,7 @@ DIMENSIONS = 1 << HASH_BITS
 #: Texts of each language to learn from, at most, centroids for each, and rounds of clustering.
 SAMPLE, CENTROIDS, ROUNDS = 1000, 4, 12
 #: A text is rejected if its similarity is below this share of the least one seen among sampled texts of its length.
-SLACK = 0.8
+SLACK = 0.5
 #: Length classes of the rejection bound: powers of four of the number of letters.
 CLASSES = 12
 UNDETERMINED = "und"
@@ -144,7 +144,6 @@ def fit(labelled: DataFrame, *, most: int = SAMPLE, centroids: int = CENTROIDS)
     if found:
         for r in rows.mapInArrow(nearest, "class long, best double").groupBy("class").agg(F.min("best").alias("least")).collect():
             least[r["class"]] = SLACK * r.least
-    # a longer text must not be held to less than a shorter one lets through, nor to more than was seen
     return Centroids([r.lang for r in found], unit, idf, least)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from feedloom.catalog.base import Registry
-from feedloom.llm import bpe, licenses, lm, mixing, simhash, toxicity, warc
+from feedloom.llm import bpe, langid, licenses, lm, mixing, simhash, toxicity, warc
 from feedloom.llm.common import bounded_batches, table
 from feedloom.llm.oracles import MIXING_SQL, WARC_SQL
 from feedloom.session import stage_path
@@ -70,3 +70,9 @@ def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = mixing.stage(mixing.sized(table(spark, sf_dir, "documents")), "mix-sizes")
     mixed = mixing.apply_plan(sizes, mixing.stage(mixing.mixing_plan(sizes), "mix-plan"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+@REGISTRY.add("op10_language_id")
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    return langid.fit_and_predict(table(spark, sf_dir, "documents"))
