@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from feedloom.catalog.base import Registry
-from feedloom.llm import bpe, langid, licenses, lm, mixing, simhash, toxicity, warc
+from feedloom.llm import bpe, embed_dedup, langid, licenses, lm, mixing, simhash, toxicity, warc
 from feedloom.llm.common import bounded_batches, table
 from feedloom.llm.oracles import MIXING_SQL, WARC_SQL
 from feedloom.session import stage_path
@@ -36,6 +36,11 @@ def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(encoded, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@REGISTRY.add("op3_embedding_near_dedup")
+def embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @REGISTRY.add("op4_toxicity")
 def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
