@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from feedloom.catalog.base import Registry
-from feedloom.llm import bpe, embed_dedup, langid, licenses, lm, mixing, simhash, toxicity, warc
+from feedloom.llm import ann, bpe, embed_dedup, langid, licenses, lm, mixing, simhash, toxicity, warc
 from feedloom.llm.common import bounded_batches, table
 from feedloom.llm.oracles import MIXING_SQL, WARC_SQL
 from feedloom.session import stage_path
@@ -70,6 +70,11 @@ def warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@REGISTRY.add("op8_nearest_neighbours")
+def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 @REGISTRY.add("op9_mix_sources", MIXING_SQL)
 def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = mixing.stage(mixing.sized(table(spark, sf_dir, "documents")), "mix-sizes")

@@ -134,23 +134,26 @@ def near_links(prints: DataFrame, radius: int = 4) -> DataFrame:
     return dealt.repartition("mask", "bucket").sortWithinPartitions("mask", "bucket").mapInArrow(links, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", radius: int = 4, shingle: int = SHINGLE) -> DataFrame:
-    """``key, fingerprint, component_id, kept`` for every document.
+def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", row: str | None = None, radius: int = 4, shingle: int = SHINGLE) -> DataFrame:
+    """``key, fingerprint, component_id, kept`` for every document, and the column ``row`` if one is named.
 
     Documents whose fingerprints differ in at most ``radius`` bits are linked; ``component_id`` is the smallest key
     reachable, itself included. A null or empty text has the fingerprint zero and is linked like any other. Rows without
-    a key take part and get their component's smallest key, null if no row has one. ``kept`` marks the rows whose key is
-    the component's smallest.
+    a key take part and get their component's smallest key, null if no row has one. ``kept`` marks one row of each
+    component, of those with its smallest key the one with the smallest ``row``; rows are numbered if it isn't given.
 
     Texts are read once and never shuffled. Documents with equal fingerprints are one node, however many they are.
     """
-    prints = stage(with_fingerprint(docs.select(F.col(key).alias("key"), text), text=text, shingle=shingle), "simhash")
-    distinct = stage(prints.groupBy("fp").agg(F.min("key").alias("first_key")), "simhash-distinct")
+    number = F.monotonically_increasing_id() if row is None else F.col(row)
+    prints = stage(with_fingerprint(docs.select(F.col(key).alias("key"), number.alias("row"), F.col(text).alias("text")), shingle=shingle), "simhash")
+    first = F.min(F.struct(F.col("key").isNull().alias("no_key"), "key", "row"))
+    distinct = stage(prints.groupBy("fp").agg(first.alias("first")), "simhash-distinct")
     groups = components(near_links(distinct.select("fp"), radius), "simhash")
-    nodes = distinct.join(groups, distinct.fp == groups.node, "left").select("fp", "first_key", F.coalesce("component", "fp").alias("group"))
+    nodes = distinct.join(groups, distinct.fp == groups.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("group"))
     nodes = stage(nodes, "simhash-nodes")
-    smallest = stage(nodes.groupBy("group").agg(F.min("first_key").alias("component_id")), "simhash-smallest")
-    found = stage(nodes.select("fp", "group").join(smallest, "group").select("fp", "component_id"), "simhash-found")
+    smallest = stage(nodes.groupBy("group").agg(F.min("first").alias("first")), "simhash-smallest")
+    found = stage(nodes.select("fp", "group").join(smallest, "group").select("fp", "first"), "simhash-found")
     return prints.join(found, "fp").select(
-        F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.col("key").eqNullSafe(F.col("component_id")).alias("kept")
+        F.col("key").alias(key), *([] if row is None else [F.col("row").alias(row)]), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        F.col("first.key").alias("component_id"), (F.col("row") == F.col("first.row")).alias("kept"),
     )
