@@ -21,6 +21,8 @@ ORDERS, HASH_BITS = (3, 4, 5, 6), 21
 SAMPLE, FEATURES = 16_000, 2048
 LEAST_TEXTS, SMOOTHING, PENALTY, STEPS = 4, 1.0, 1.0, 200
 THRESHOLD = 0.3
+#: Bytes of text worked on at once; n-grams of all orders take some hundred times as much.
+SLICE_BYTES = 1 << 20
 
 
 class Classifier(NamedTuple):
@@ -45,7 +47,7 @@ def _gram_counts(labelled: DataFrame) -> DataFrame:
     def run(batches):
         is_letter, seen = letter_table(), np.zeros((2, 1 << HASH_BITS), np.int32)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 owner, gram = _present(part.column("text").to_pylist(), is_letter)
                 toxic = part.column("label").to_numpy()[owner] == 1
                 for k, chosen in enumerate((gram[~toxic], gram[toxic])):
@@ -78,7 +80,7 @@ def _features(labelled: DataFrame, slot: np.ndarray):
     def run(batches):
         is_letter, slots = letter_table(), shared.value
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 owner, gram = _present(part.column("text").to_pylist(), is_letter)
                 kept = slots[gram] >= 0
                 owner, gram = owner[kept], gram[kept]
@@ -142,7 +144,7 @@ def score(docs: DataFrame, model: Classifier, *, text: str = "text", output: str
     def run(batches):
         is_letter, (slot, weights, bias) = letter_table(), shared.value
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, SLICE_BYTES):
                 codes, owner, _ = letters(part.column(text).to_pylist(), is_letter)
                 found = []
                 for o, g in grams(codes, owner, ORDERS, HASH_BITS):
