@@ -175,7 +175,7 @@ def search(embeddings: DataFrame, is_query, *, k: int = 10, key: str = "vec_id",
     be among the nearest, no other is kept with it.
     """
     rows = embeddings.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vec"), is_query.alias("is_query"))
-    dim = dimension(rows, "vec")
+    dim = dimension(rows, "vec") or 1
     rows = rows.where(usable(F.col("vec"), dim) & F.col("id").isNotNull())
     smallest = Window.partitionBy("vec").orderBy("id")
     ids = rows.select("id", "vec").withColumn("place", F.row_number().over(smallest)).where(F.col("place") <= k + 1)

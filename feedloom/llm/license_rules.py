@@ -208,7 +208,7 @@ HAND_WRITTEN = [
     ("sspl-1", "mention", "sspl", r"sspl( v1| 1 0)?"),
     ("busl-1.1", "name", "business source", r"business source license( v| version)?( 1 1)?"),
     ("elastic-2", "name", "elastic license", r"elastic license( v2| version 2| 2 0)?"),
-    ("commons-clause", "text", "commons clause", r"the license does not grant to you the right to sell the software"),
+    ("commons-clause", "text", "right to sell", r"the license does not grant to you the right to sell the software"),
     ("commons-clause", "name", "commons clause", r"commons clause( license)?( condition)?( v1 0)?"),
     ("polyform-nc", "name", "polyform", r"polyform noncommercial license( 1 0 0)?"),
     ("polyform", "mention", "polyform", r"polyform"),
