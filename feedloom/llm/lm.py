@@ -30,7 +30,9 @@ SHARD_BYTES = 256 << 20
 WORD_FILTER_BYTES = 256 << 20
 #: Pair counts that a task holds before it passes them on, and bytes of counts for each block.
 FLUSH, BLOCK_BYTES = 4 << 20, 16 << 20
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
+#: Bytes of text worked on at once.
+SLICE_BYTES = 2 << 20
 MIX = np.array([0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93], np.uint64)
 BLOCKS_SCHEMA = "n int, bucket int, entries long, size long, bits binary"
 
@@ -110,7 +112,7 @@ def word_counts(texts: DataFrame, text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"word": pa.array(words.names[at:at + 50_000], pa.binary()), "count": pa.array(counts[at:at + 50_000])})
 
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, SLICE_BYTES):
                 numbers = words.numbers(tokens(part.column(text).cast(pa.binary()).to_pylist())[0])
                 more = np.bincount(numbers, minlength=len(words.names))
                 more[:len(counts)] += counts
@@ -132,7 +134,7 @@ def _pair_blobs(texts: DataFrame, bits: int, text: str) -> DataFrame:
             return _blob_rows(2, keys, counts, bits)
 
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, SLICE_BYTES):
                 flat, _ = tokens(part.column(text).cast(pa.binary()).to_pylist())
                 numbers = words.numbers(flat)
                 held.append(_pair_keys(words.hashes[numbers]))
@@ -205,13 +207,16 @@ class Filter(NamedTuple):
 
 def gather(blocks: DataFrame, n: int, key_bits: int, first: int, count: int) -> Filter:
     """The blocks of a range of buckets as one filter. The caller bounds their size."""
-    rows = blocks.where((F.col("n") == n) & F.col("bucket").between(first, first + count - 1)).select("bucket", "size", "bits").toLocalIterator()
-    sizes, starts, pieces, total = np.zeros(count, np.uint64), np.zeros(count, np.int64), [], 0
-    for r in rows:
+    own = blocks.where((F.col("n") == n) & F.col("bucket").between(first, first + count - 1))
+    sizes, starts, total = np.zeros(count, np.uint64), np.zeros(count, np.int64), 0
+    for r in own.select("bucket", "size").collect():
         sizes[r.bucket - first], starts[r.bucket - first] = r.size, total
-        pieces.append(np.frombuffer(bytes(r.bits), np.uint8))
         total += r.size
-    return Filter(key_bits, first, count, starts, sizes, np.concatenate(pieces) if pieces else np.zeros(1, np.uint8))
+    data = np.zeros(max(1, total // 8), np.uint8)
+    for r in own.select("bucket", "bits").toLocalIterator():
+        at = starts[r.bucket - first] // 8
+        data[at:at + len(r.bits)] = np.frombuffer(r.bits, np.uint8)
+    return Filter(key_bits, first, count, starts, sizes, data)
 
 
 def levels(held, keys: np.ndarray) -> np.ndarray:
@@ -298,7 +303,7 @@ def _pass(rows: DataFrame, text: str, model: Model, shared, with_base: bool, wei
         words, known = _Words(), np.empty(0)
         counts, chance = np.empty(0), np.empty(0)
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, SLICE_BYTES):
                 if len(words.names) > CACHE_WORDS:
                     words, known, counts, chance = _Words(), np.empty(0), np.empty(0), np.empty(0)
                 flat, begins = tokens(part.column(text).cast(pa.binary()).to_pylist())
