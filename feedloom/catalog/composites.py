@@ -253,14 +253,21 @@ def landed_items(spark, sf) -> str:
 
 @add("t01_ingest", with_items("SELECT ord FROM survivors", *survivors_sql()))
 def _(spark, sf):
-    root = stage_path(spark, "ingest")
-    stream = with_published_ts(ingest.item_stream(spark, landed_items(spark, sf)))
-    ingest.ingest(stream, root, AS_OF).awaitTermination()
+    """Three micro-batches, newest items first, undated ones in the first; the history blocks the later batches."""
+    root, folder = stage_path(spark, "ingest"), stage_path(spark, "landed")
+    everything = conform(dated_items(spark, sf))
+    for days in ((0, 5), (5, 10), (10, 10_000)):
+        age = F.coalesce(F.datediff(F.lit(AS_OF), "published_ts"), F.lit(0))
+        part = everything.filter((F.greatest(age, F.lit(0)) >= days[0]) & (F.greatest(age, F.lit(0)) < days[1]))
+        part.write.mode("append").json(folder)
+        stream = with_published_ts(ingest.item_stream(spark, folder))
+        ingest.ingest(stream, root, AS_OF).awaitTermination()
     return ingest.ingested(spark, root).select("ord")
 
 
 @add("t02_dedup_stream", with_items(
-    f"SELECT DISTINCT {norm_url_sql('link')} AS norm_url FROM items WHERE link <> '' AND published_ts IS NOT NULL"))
+    f"""SELECT DISTINCT {norm_url_sql('link')} AS norm_url FROM items WHERE link <> '' AND published_ts IS NOT NULL
+       UNION ALL SELECT NULL FROM items WHERE link = '' OR published_ts IS NULL"""))
 def _(spark, sf):
     root = stage_path(spark, "dedup-stream")
     stream = with_published_ts(ingest.item_stream(spark, landed_items(spark, sf)))
@@ -269,7 +276,8 @@ def _(spark, sf):
 
 
 @add("t02_dedup_stream_fingerprint", with_items(
-    f"SELECT DISTINCT {FINGERPRINT} AS fp FROM items WHERE link <> '' AND published_ts IS NOT NULL"))
+    f"""SELECT DISTINCT {FINGERPRINT} AS fp FROM items WHERE link <> '' AND published_ts IS NOT NULL
+       UNION ALL SELECT NULL FROM items WHERE link = '' OR published_ts IS NULL"""))
 def _(spark, sf):
     root = stage_path(spark, "dedup-stream-fp")
     stream = with_published_ts(ingest.item_stream(spark, landed_items(spark, sf)))

@@ -301,7 +301,21 @@ def stored(df):
 def _(spark, sf):
     folder = stage_path(spark, "load")
     conform(dated_items(spark, sf)).write.json(folder)
-    return stored(storage.load_items(spark, folder, multi_line=False))
+    return stored(storage.load_items(spark, folder))
+
+
+@add("s12_roundtrip", with_items(STORED_SQL))
+def _(spark, sf):
+    """What one run saves, the default settings load."""
+    return stored(storage.load_items(spark, storage.save_items(conform(dated_items(spark, sf)), stage_path(spark, "round"), "20240116_000000")))
+
+
+@add("s12_load_without_ord", with_items("SELECT row_number() OVER (ORDER BY ord) - 1 AS ord, id FROM items"))
+def _(spark, sf):
+    """Items as crawlers leave them, in one ordered file without positions."""
+    folder = stage_path(spark, "plain")
+    conform(dated_items(spark, sf)).orderBy("ord").drop("ord", "published_ts").coalesce(1).write.json(folder)
+    return storage.load_ordered_items(spark, folder).select("ord", "id")
 
 
 @add("s13_save_items", with_items(STORED_SQL))
@@ -331,3 +345,11 @@ def _(spark, sf):
     source, target = stage_path(spark, "dedup-in"), stage_path(spark, "dedup-out")
     conform(dated_items(spark, sf)).write.json(source)
     return dedup.dedup_job(spark, source, target, AS_OF)
+
+
+@add("s16_dedup_job_plain", REPORT_SQL)
+def _(spark, sf):
+    """The job over items that carry neither a position nor a parsed time."""
+    source, target = stage_path(spark, "plain-in"), stage_path(spark, "plain-out")
+    conform(dated_items(spark, sf)).orderBy("ord").drop("ord", "published_ts").coalesce(1).write.json(source)
+    return dedup.dedup_job(spark, source, target, AS_OF)

@@ -22,15 +22,14 @@ from feedloom.functions.similarity import duplicate_verdict, is_duplicate, ratio
 from feedloom.functions.text import content_words, process_text, strip, text_or_empty
 from feedloom.functions.urls import netloc, normalise_url
 from feedloom.schema import with_published_ts
-from feedloom.session import stage
-from feedloom.sources.storage import load_items
+from feedloom.session import absolute_path, stage
+from feedloom.sources.storage import load_ordered_items
 
 THRESHOLD = 0.85
 ALONE = 0.95
 WINDOW_HOURS = 24
-# Leaders a fingerprint group may offer per round, and open rows that one task may settle at the end.
+# Leaders a fingerprint group may offer per round.
 LEADERS = 64
-FINISH = 1000
 
 
 def dedup_order(as_of) -> list[Column]:
@@ -291,7 +290,7 @@ def _compared(settled: DataFrame, texts: DataFrame, rule) -> DataFrame:
     return waiting.join(alike, "ord", "left").withColumn("matched", F.col("alike")).drop("alike")
 
 
-def _settle(items: DataFrame, keys: DataFrame, rule, leaders: int, finish: int) -> DataFrame:
+def _settle(items: DataFrame, keys: DataFrame, rule, leaders: int) -> DataFrame:
     """Dropped rows when a similar kept row is looked for inside the row's fingerprint group."""
     open_rows, texts, dropped = keys, None, []
     columns = keys.columns
@@ -309,17 +308,13 @@ def _settle(items: DataFrame, keys: DataFrame, rule, leaders: int, finish: int)
         drop(settled.filter(F.col("status").isin("url", "content")))
         if not waiting:
             break
-        few = waiting <= finish
-        if texts is None and (unsure or number > 0 or few):
+        if texts is None and (unsure or number > 0):
             texts = _texts(items, settled)
         open_rows = settled.filter(F.col("status") == "open").select(*columns)
         if unsure:
             compared = stage(_compared(settled, texts, rule), f"compared-{number}")
             drop(compared.filter(F.col("matched").isNotNull()))
             open_rows = open_rows.unionByName(compared.filter(F.col("matched").isNull()).select(*columns))
-        if few:
-            drop(stage(_run_rule(open_rows, texts, F.lit(0), rule), "finished"))
-            break
     return functools.reduce(DataFrame.unionByName, dropped)
 
 
@@ -416,13 +411,13 @@ def _outside_matches(items: DataFrame, keys: DataFrame, dropped: DataFrame, as_o
 
 def dropped_rows(
     items: DataFrame, as_of, threshold: float = THRESHOLD, window_hours: float = WINDOW_HOURS,
-    alone: float = ALONE, scope: str = "all", leaders: int = LEADERS, finish: int = FINISH, **parts: bool,
+    alone: float = ALONE, scope: str = "all", leaders: int = LEADERS, **parts: bool,
 ) -> DataFrame:
     """``ord`` of every dropped row with the reason (url, content) and the kept row it repeats.
 
     With ``scope="all"`` the similar kept row may be any, as the rule says; with ``"block"`` it must share the
-    fingerprint, which spares a check. The rounds end when no row is open, or when at most ``finish`` rows are,
-    which one small task settles. The texts are read again only for rows that outlast the key columns.
+    fingerprint, which spares a check. The rounds end when no row is open. The texts are read again only for rows that
+    outlast the key columns. Every item needs an ``ord`` of its own.
 
     The check finds rows that fall to a kept row outside their group. They are taken out and the rounds are
     repeated without them, until the check finds none: usually it finds none at once.
@@ -431,10 +426,12 @@ def dropped_rows(
         raise ValueError("scope is all or block; thresholds lie above 0 and at most at 1")
     rule = (threshold, alone, int(window_hours * 3_600_000_000))
     keys = stage(_keys(items, as_of, **parts), "keys")
+    if (n := keys.agg(F.count("*").alias("rows"), F.countDistinct("ord").alias("ords")).first()).rows != n.ords:
+        raise ValueError("every item needs an ord of its own")
     forced = None
     while True:
         remaining = keys if forced is None else keys.join(forced.select("ord"), "ord", "left_anti")
-        dropped = _settle(items, remaining, rule, leaders, finish)
+        dropped = _settle(items, remaining, rule, leaders)
         dropped = dropped if forced is None else dropped.unionByName(forced)
         more = None if scope == "block" else _outside_matches(items, keys, dropped, as_of, rule)
         if more is None:
@@ -456,9 +453,15 @@ def dedup_report(items: DataFrame, dropped: DataFrame) -> DataFrame:
     )
 
 
-def dedup_job(spark: SparkSession, source: str, target: str, as_of, multi_line: bool = False, **options) -> DataFrame:
-    """Read JSON items, deduplicate, write JSON to ``target``; returns the report."""
-    items = with_published_ts(load_items(spark, source, multi_line))
+def dedup_job(spark: SparkSession, source: str, target: str, as_of, multi_line: bool | None = None, **options) -> DataFrame:
+    """Read JSON items, deduplicate, write JSON to ``target``; returns the report.
+
+    Items need no ``ord`` and no ``published_ts``. The target must lie outside the source, which is never changed.
+    """
+    inside = (absolute_path(spark, source) + "/", absolute_path(spark, target) + "/")
+    if inside[0].startswith(inside[1]) or inside[1].startswith(inside[0]):
+        raise ValueError(f"source and target are the same or nested: {source}, {target}")
+    items = stage(with_published_ts(load_ordered_items(spark, source, multi_line)), "dedup-items")
     dropped = stage(dropped_rows(items, as_of, **options), "dropped")
     items.join(dropped.select("ord"), "ord", "left_anti").write.mode("overwrite").json(target)
     return dedup_report(items, dropped)

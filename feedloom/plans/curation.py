@@ -18,7 +18,8 @@ from feedloom.operators.filters import by_category, maybe_recent, recent, search
 from feedloom.operators.ranking import preview, sort_newest, sort_relevant
 from feedloom.operators.summaries import batch_summarise, publish_summaries
 from feedloom.operators.unions import rank_order, union_sources
-from feedloom.sources.storage import load_items, save_digest, save_items
+from feedloom.schema import with_published_ts
+from feedloom.sources.storage import load_ordered_items, save_digest, save_items
 
 
 @dataclass(frozen=True)
@@ -68,7 +69,7 @@ def ad_hoc(
     spark: SparkSession, frames: dict[str, DataFrame], as_of, options: Options = Options()
 ) -> dict[str, DataFrame]:
     """Query run: union or load, category, recency, search, save, digest, preview; no deduplication."""
-    found = load_items(spark, options.load) if options.load else _gather(frames, options.sources)
+    found = with_published_ts(load_ordered_items(spark, options.load)) if options.load else _gather(frames, options.sources)
     found = recent(_category(found, options.category), as_of, options.days)
     if options.search:
         found = search(found, options.search)

@@ -61,6 +61,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return files.exists(target)
 
 
+def absolute_path(spark: SparkSession, path: str) -> str:
+    """The path with its file system and without relative parts."""
+    files, target = _file_system(spark, path)
+    return files.makeQualified(target).toString().rstrip("/")
+
+
 def drop_stages(spark: SparkSession) -> None:
     """Delete this application's stage tables. Call it when no frame that reads them is needed any more."""
     files, target = _file_system(spark, _stage_folder(spark))

@@ -2,21 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+import json
 
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
+
+from feedloom.operators.ranking import dense_positions
 from feedloom.schema import ITEM
 from feedloom.session import path_exists
 
 
-def load_items(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """JSON items; a missing path gives no rows, unreadable records are dropped.
+def _line_delimited(spark: SparkSession, path: str) -> bool:
+    """Whether the first line with text is a JSON object of its own; arrays and indented objects are not."""
+    line = spark.read.text(path).filter(F.trim("value") != "").select("value").first()
+    if line is None:
+        return True
+    try:
+        return isinstance(json.loads(line.value), dict)
+    except ValueError:
+        return False
+
 
-    ``multi_line`` reads documents that are one array each, a file per task; line-delimited files
-    (``multi_line=False``), as ``save_items`` writes them, are split between tasks.
+def load_items(spark: SparkSession, path: str, multi_line: bool | None = None, bad: Observation | None = None) -> DataFrame:
+    """JSON items; a missing path gives no rows.
+
+    Unless ``multi_line`` says so, the layout is found from the first line: files of one array or one indented object
+    each are read by a task each, line-delimited files, as ``save_items`` writes them, are split between tasks. Records
+    that can't be read are left out and, with ``bad``, counted as ``bad_records`` while the rows are used.
     """
     if not path_exists(spark, path):
         return spark.createDataFrame([], ITEM)
-    return spark.read.schema(ITEM).option("multiLine", multi_line).option("mode", "DROPMALFORMED").json(path)
+    whole = not _line_delimited(spark, path) if multi_line is None else multi_line
+    schema = T.StructType([*ITEM.fields, T.StructField("_bad", T.StringType())])
+    rows = spark.read.schema(schema).option("multiLine", whole).option("columnNameOfCorruptRecord", "_bad").json(path)
+    if bad is not None:
+        rows = rows.observe(bad, F.count_if(F.col("_bad").isNotNull()).alias("bad_records"))
+    # Spark refuses a query that needs no column but the one of bad records, so the test names another one too.
+    readable = F.when(F.col("_bad").isNotNull(), False).otherwise(F.col("ord").isNull() | (F.col("ord") >= -(1 << 62)) | (F.col("ord") < 0))
+    return rows.filter(readable).drop("_bad")
+
+
+def load_ordered_items(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
+    """``load_items`` with an ``ord`` for every row: 0, 1, 2, … by the ``ord`` they have, then by file and position."""
+    items = load_items(spark, path, multi_line)
+    if not path_exists(spark, path):
+        return items
+    placed = items.withColumns(
+        {
+            "_no_ord": F.col("ord").isNull(), "_file": F.col("_metadata.file_path"),
+            "_start": F.col("_metadata.file_block_start"), "_place": F.monotonically_increasing_id(),
+        }
+    )
+    numbered = dense_positions(placed, ["_no_ord", "ord", "_file", "_start", "_place"], "_pos")
+    return numbered.withColumn("ord", F.col("_pos")).select(*ITEM.fieldNames())
 
 
 def save_items(items: DataFrame, root: str, run_ts: str, fmt: str = "json") -> str:

@@ -9,15 +9,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 from feedloom.functions.text import text_or_empty
 from feedloom.functions.urls import normalise_url
-from feedloom.operators.dedup import deduplicate, fingerprint
+from feedloom.clock import instant
+from feedloom.operators.dedup import deduplicate, duplicate_pairs, fingerprint
 from feedloom.schema import ITEM
 from feedloom.session import path_exists, stage
 
-# Batches up to this many keys may be broadcast to the history scan.
-BROADCAST_KEYS = 200_000
-
-KEYS = T.StructType([T.StructField(n, T.StringType()) for n in ("url", "fp")])
-KEYS_BY_BATCH = T.StructType([*KEYS.fields, T.StructField("batch_id", T.LongType())])
+# Folders that the history is dealt out to by hash; a batch reads those of its own keys only.
+BUCKETS = 64
 
 
 def item_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
@@ -25,65 +23,77 @@ def item_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) ->
     return spark.readStream.schema(ITEM).option("maxFilesPerTrigger", files_per_batch).json(path)
 
 
-def _known_keys(spark: SparkSession, folder: str, batch_id: int) -> DataFrame:
-    """Keys kept by earlier batches. A replayed batch does not see its own first attempt."""
-    if not path_exists(spark, folder):
-        return spark.createDataFrame([], KEYS)
-    keys = spark.read.schema(KEYS_BY_BATCH).parquet(folder)
-    return keys.filter(F.col("batch_id") < batch_id).select("url", "fp")
+def _bucket(key: str):
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
 
 
-def _seen(batch: DataFrame, known: DataFrame, key: str, small: bool) -> DataFrame:
-    """Distinct keys of the batch that history holds.
+def _history(spark: SparkSession, folder: str, batch_id: int, batch: DataFrame, key: str, schema: T.StructType) -> DataFrame:
+    """Rows that earlier batches have kept, from the folders of the batch's keys. A replayed batch does not see its own
+    first attempt."""
+    if not path_exists(spark, folder):
+        return spark.createDataFrame([], schema)
+    named = [r.b for r in batch.select(_bucket(key).alias("b")).distinct().collect()]
+    stored = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType()), T.StructField("bucket", T.IntegerType())])
+    rows = spark.read.schema(stored).parquet(folder)
+    return rows.filter((F.col("batch_id") < batch_id) & F.col("bucket").isin(named)).select(*schema.fieldNames())
 
-    History only grows, so it is not shuffled for a small batch: the batch's keys, whose count has been
-    checked, go to the history scan. A large batch is joined by shuffle.
-    """
-    wanted = batch.select(key).distinct()
-    return known.select(key).join(F.broadcast(wanted) if small else wanted, key, "left_semi").distinct()
 
+def unseen(batch: DataFrame, urls: DataFrame, kept: DataFrame, as_of, **limits) -> DataFrame:
+    """Rows of the batch that no row of the history blocks.
 
-def keep_new(batch: DataFrame, known: DataFrame, small: bool) -> DataFrame:
-    """Rows whose URL and fingerprint no earlier batch has kept; rows without a link always pass."""
-    by_url = _seen(batch, known, "url", small).withColumn("old_url", F.lit(True))
-    by_fp = _seen(batch, known, "fp", small).withColumn("old_fp", F.lit(True))
-    checked = batch.join(by_url, "url", "left").join(by_fp, "fp", "left")
-    return checked.filter(F.col("old_url").isNull() & F.col("old_fp").isNull()).drop("old_url", "old_fp")
+    A row falls to a kept row with its URL, or to one with its fingerprint that it resembles (see ``duplicate_pairs``);
+    a shared fingerprint alone does not drop it. Both sides have ``url`` and ``fp``; ``batch_row`` tells the batch's rows apart.
+    """
+    left = batch.join(urls.select("url").distinct(), "url", "left_anti")
+    fields = ("title", "summary", "link", "published_ts")
+    side = lambda df, name, *more: df.select(
+        "fp", *more, *[F.col(c).alias(f"{name}_{c}") for c in fields[:3]],
+        F.coalesce("published_ts", instant(as_of)).alias(f"{name}_published_ts"),
+    )
+    pairs = side(left, "later", "batch_row").join(side(kept, "kept"), "fp")
+    blocked = duplicate_pairs(pairs, **limits).filter("is_duplicate").select("batch_row").distinct()
+    return left.join(blocked, "batch_row", "left_anti")
 
 
 def _with_keys(items: DataFrame) -> DataFrame:
-    """URL and fingerprint; a linkless row gets keys of its own, which match nothing and cluster nowhere."""
+    """URL and fingerprint; a row without link, or without any text, gets keys of its own, which match nothing."""
     own = F.concat(F.lit("row-"), F.expr("uuid()"))
     linked = text_or_empty("link") != ""
+    worded = (text_or_empty("title") != "") | (text_or_empty("summary") != "")
     return items.withColumns(
         {
             "url": F.when(linked, normalise_url("link")).otherwise(own),
-            "fp": F.when(linked, fingerprint()).otherwise(own),
+            "fp": F.when(linked & worded, fingerprint()).otherwise(own),
+            "batch_row": F.monotonically_increasing_id(),
         }
     )
 
 
 def ingest(
-    stream: DataFrame, root: str, as_of, curate: Callable[[DataFrame], DataFrame] | None = None
+    stream: DataFrame, root: str, as_of, curate: Callable[[DataFrame], DataFrame] | None = None, **limits
 ) -> StreamingQuery:
-    """Start the incremental job: deduplicate each batch, drop what history holds, append the rest.
+    """Start the incremental job: drop what the history blocks, deduplicate the rest, append it.
 
-    Output is ``root/items/batch_id=…`` and ``root/keys/batch_id=…``. A replayed batch overwrites its own
-    folders, so results are exactly-once. ``curate`` may filter or score the rows before they are compared.
+    The rule is that of a pass over the batches in turn, each newest first: only kept rows block others, so rows that
+    the history blocks go before the batch is deduplicated. Where the cut between batches falls makes no difference to
+    items that arrive newest first. A row is compared with kept rows of earlier batches under its own fingerprint.
+
+    Output is ``root/items/batch_id=…`` and ``root/urls/batch_id=…``, in folders by hash of fingerprint and of URL. A
+    replayed batch overwrites its own folders, so results are exactly-once. ``curate`` may filter or score the rows
+    before they are compared; ``limits`` go to ``duplicate_pairs`` and ``deduplicate``.
     """
-    items_root, keys_root = f"{root}/items", f"{root}/keys"
+    items_root, urls_root = f"{root}/items", f"{root}/urls"
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        kept = deduplicate(curate(batch) if curate else batch, as_of)
-        keyed = stage(_with_keys(kept), "batch-keys")
-        known = _known_keys(spark, keys_root, batch_id)
-        small = keyed.count() <= BROADCAST_KEYS
-        fresh = keep_new(keyed, known, small)
+        keyed = stage(_with_keys(curate(batch) if curate else batch), "batch-keys")
+        urls = _history(spark, urls_root, batch_id, keyed, "url", T.StructType([T.StructField("url", T.StringType())]))
+        kept = _history(spark, items_root, batch_id, keyed, "fp", keyed.drop("batch_row").schema)
+        fresh = deduplicate(stage(unseen(keyed, urls, kept, as_of, **limits), "batch-unseen"), as_of, **limits)
         path = f"batch_id={batch_id}"
-        fresh.write.mode("overwrite").parquet(f"{items_root}/{path}")
-        written = spark.read.parquet(f"{items_root}/{path}")
-        written.select("url", "fp").write.mode("overwrite").parquet(f"{keys_root}/{path}")
+        fresh.drop("batch_row").withColumn("bucket", _bucket("fp")).write.mode("overwrite").partitionBy("bucket").parquet(f"{items_root}/{path}")
+        written = spark.read.schema(keyed.drop("batch_row").schema).parquet(f"{items_root}/{path}")
+        written.select("url", _bucket("url").alias("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(f"{urls_root}/{path}")
 
     return (
         stream.writeStream.foreachBatch(write)
@@ -95,31 +105,31 @@ def ingest(
 
 def ingested(spark: SparkSession, root: str) -> DataFrame:
     """Everything the incremental job has kept."""
-    return spark.read.parquet(f"{root}/items").drop("url", "fp")
+    return spark.read.parquet(f"{root}/items").drop("url", "fp", "bucket")
+
+
+def _first_arrivals(stream: DataFrame, name: str, key, window: str) -> DataFrame:
+    """First arrival of every key within the watermark, and every row that has no link or no time.
+
+    Such rows have nothing to compare, or no time that would bound the state: they pass, with a null key.
+    """
+    bounded = F.coalesce((text_or_empty("link") != "") & F.col("published_ts").isNotNull(), F.lit(False))
+    keyed = stream.filter(bounded).withColumn(name, key).withWatermark("published_ts", window)
+    return keyed.dropDuplicatesWithinWatermark([name]).union(stream.filter(~bounded).withColumn(name, F.lit(None).cast("string")))
 
 
 def dedup_stream(stream: DataFrame, window: str = "24 hours") -> DataFrame:
-    """First arrival of every normalised URL within the watermark; state expires with it.
+    """First arrival of every normalised URL (``norm_url``) within the watermark; state expires with it.
 
-    Key-only and first-arrival, unlike the batch rule, which compares texts and keeps the newest.
-    Undated and linkless rows are dropped: neither has the key or the time that bounds the state.
+    Key-only and first-arrival, unlike the batch rule, which compares texts and keeps the newest. Rows without a link or
+    a time pass.
     """
-    keyed = stream.filter((text_or_empty("link") != "") & F.col("published_ts").isNotNull())
-    return (
-        keyed.withColumn("norm_url", normalise_url("link"))
-        .withWatermark("published_ts", window)
-        .dropDuplicatesWithinWatermark(["norm_url"])
-    )
+    return _first_arrivals(stream, "norm_url", normalise_url("link"), window)
 
 
 def dedup_stream_by_fingerprint(stream: DataFrame, window: str = "24 hours") -> DataFrame:
-    """First arrival of every fingerprint within the watermark."""
-    keyed = stream.filter((text_or_empty("link") != "") & F.col("published_ts").isNotNull())
-    return (
-        keyed.withColumn("fp", fingerprint())
-        .withWatermark("published_ts", window)
-        .dropDuplicatesWithinWatermark(["fp"])
-    )
+    """First arrival of every fingerprint (``fp``) within the watermark; rows without a link or a time pass."""
+    return _first_arrivals(stream, "fp", fingerprint(), window)
 
 
 def run_to_folder(stream: DataFrame, root: str) -> StreamingQuery:

@@ -45,7 +45,7 @@ def frame(spark, rows):
 def test_same_rows_as_sequential_pass(spark):
     items = dated_items(spark, SF_DIR)
     assert kept(items) == survivors(restated(items), scope="all")
-    assert kept(items, scope="block", finish=0) == survivors(restated(items))
+    assert kept(items, scope="block") == survivors(restated(items))
 
 
 RULES = [
@@ -96,7 +96,7 @@ def test_random_chains(spark, seed):
     rows = restated(items)
     want = survivors(rows)
     assert kept(items, scope="block") == want
-    assert kept(items, scope="block", leaders=2 + seed % 3, finish=0) == want
+    assert kept(items, scope="block", leaders=2 + seed % 3) == want
     assert kept(items) == survivors(rows, scope="all")
 
 
@@ -119,7 +119,7 @@ def test_hot_group_of_distinct_rows(spark):
     """One fingerprint holds every row and no two rows are alike: many leaders, several rounds."""
     rows = [("", f"<{chr(97 + i % 26) * (20 + 3 * i)}>text", f"http://h/{i}", 0) for i in range(40)]
     items = frame(spark, rows)
-    assert kept(items, scope="block", leaders=8, finish=10) == survivors(restated(items))
+    assert kept(items, scope="block", leaders=8) == survivors(restated(items))
     assert kept(items) == survivors(restated(items), scope="all")
 
 
@@ -139,7 +139,7 @@ def test_same_result_for_any_partitioning(spark, partitions):
     spark.conf.set("spark.sql.shuffle.partitions", partitions)
     try:
         items = frame(spark, mixed(99, 80))
-        assert kept(items, scope="block", finish=0) == survivors(restated(items))
+        assert kept(items, scope="block") == survivors(restated(items))
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
 

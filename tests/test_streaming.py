@@ -47,11 +47,27 @@ def test_replayed_batch_replaces_itself(spark, tmp_path):
     assert run(spark, landed, root) == [0]
 
 
-def test_keep_new_by_both_strategies(spark):
-    batch = spark.createDataFrame([(0, "u1", "f1"), (1, "u2", "f2"), (2, "u3", "f3")], "ord long, url string, fp string")
-    known = spark.createDataFrame([("u1", "x"), ("u1", "y"), ("z", "f2")], "url string, fp string")
-    for small in (True, False):
-        assert [r.ord for r in ingest.keep_new(batch, known, small).collect()] == [2]
+def test_a_shared_fingerprint_alone_does_not_block(spark, tmp_path):
+    """Two items agree in the first hundred words and differ after them: one pass keeps both, and so do two batches."""
+    start = " ".join(f"word{k}" for k in range(120))
+    rows = [(1, "", "http://h/1", "2024-01-05 00:00:00", f"{start} {'alpha ' * 400}"), (2, "", "http://h/2", "2024-01-02 00:00:00", f"{start} {'omega ' * 400}")]
+    landed, root = tmp_path / "landed", tmp_path / "out"
+    for o, t, link, p, summary in rows:
+        landed.mkdir(exist_ok=True)
+        (landed / f"{o}.json").write_text(json.dumps({"ord": o, "title": t, "link": link, "published": p, "summary": summary}))
+        kept = run(spark, landed, root)
+    items = with_published_ts(spark.read.schema(ingest.ITEM).json(str(landed)))
+    assert kept == sorted(r.ord for r in ingest.deduplicate(items, AS_OF).collect()) == [1, 2]
+
+
+def test_batches_that_arrive_newest_first_equal_one_pass(spark, tmp_path):
+    landed, root = tmp_path / "landed", tmp_path / "out"
+    rows = [(k, f"title {k % 7}", f"http://h{k % 3}/{k % 11}", f"2024-01-{28 - k // 2:02d} 00:00:00") for k in range(40)]
+    for n in range(4):
+        land(landed, f"{n}.json", rows[n * 10:n * 10 + 10])
+        kept = run(spark, landed, root)
+    items = with_published_ts(spark.read.schema(ingest.ITEM).json(str(landed)))
+    assert kept == sorted(r.ord for r in ingest.deduplicate(items, AS_OF, scope="block").collect())
 
 
 def test_stream_dedup_within_watermark(spark, tmp_path):
@@ -63,7 +79,7 @@ def test_stream_dedup_within_watermark(spark, tmp_path):
     items = with_published_ts(ingest.item_stream(spark, str(landed)))
     ingest.run_to_folder(ingest.dedup_stream(items), str(root)).awaitTermination()
     got = spark.read.parquet(f"{root}/rows")
-    assert sorted(r.norm_url for r in got.collect()) == ["http://h/1", "http://h/2"]
+    assert sorted((r.norm_url or "") for r in got.collect()) == ["", "", "http://h/1", "http://h/2"]
     prints = tmp_path / "prints"
     ingest.run_to_folder(ingest.dedup_stream_by_fingerprint(items), str(prints)).awaitTermination()
-    assert spark.read.parquet(f"{prints}/rows").count() == 1
+    assert spark.read.parquet(f"{prints}/rows").count() == 3
