@@ -201,11 +201,9 @@ def _(spark, sf):
 
 @add("w06_assign_batches", with_items(
     f"""SELECT ord, rn - 1 AS pos, (rn - 1) // 10 AS batch_index FROM (
-        SELECT ord, row_number() OVER (ORDER BY ord) AS rn FROM items
-        WHERE published_ts >= {AS_OF_SQL} - INTERVAL 7 DAY)"""))
+        SELECT ord, row_number() OVER (ORDER BY ord) AS rn FROM items)"""))
 def _(spark, sf):
-    recent = filters.recent(dated_items(spark, sf), AS_OF, 7).select("ord")
-    return ranking.assign_batches(recent, 10).select("ord", "pos", "batch_index")
+    return ranking.assign_batches(items(spark, sf).select("ord"), 10).select("ord", "pos", "batch_index")
 
 
 @add("w06_assign_sub_batches", with_items(
@@ -272,11 +270,11 @@ def _(spark, sf):
 @add("a05_batch_descriptors", """SELECT batch_index, min(pos) AS batch_start, max(pos) + 1 AS batch_end,
   count(*) AS item_count, CAST(25 AS BIGINT) AS batch_size
   FROM (SELECT rn - 1 AS pos, (rn - 1) // 25 AS batch_index
-        FROM (SELECT row_number() OVER (ORDER BY event_id) AS rn FROM events WHERE event_type = 'view'))
+        FROM (SELECT row_number() OVER (ORDER BY event_id) AS rn FROM events))
   GROUP BY batch_index""")
 def _(spark, sf):
-    views = table(spark, sf, "events").filter("event_type = 'view'").select(F.col("event_id").alias("ord"))
-    return stats.batch_descriptors(ranking.assign_batches(views, 25), 25)
+    events = table(spark, sf, "events").select(F.col("event_id").alias("ord"))
+    return stats.batch_descriptors(ranking.assign_batches(events, 25), 25)
 
 
 @add("a05_batch_totals", "SELECT (count(*) + 24) // 25 AS num_batches, count(*) AS total_items FROM events")
@@ -302,7 +300,7 @@ def _(spark, sf):
 
 @add("a08_channel_preview", with_items(
     """SELECT source, count(*) AS items, array_to_string(list_slice(list(title ORDER BY ord), 1, 3), ' | ') AS titles,
-       greatest(count(*) - 3, 0) AS more FROM items WHERE source IS NOT NULL GROUP BY source"""))
+       greatest(count(*) - 3, 0) AS more FROM items GROUP BY source"""))
 def _(spark, sf):
     shown = stats.channel_preview(documents(spark, sf))
     return shown.withColumn("titles", F.array_join("titles", " | ")).select("source", "items", "titles", "more")
@@ -382,6 +380,16 @@ def _(spark, sf):
     return joins.cache_misses(docs, summary_cache(spark, sf), "text").select("doc_id", "hash")
 
 
+@add("j04_cache_hits_url", """SELECT p.page_id, md5(p.url) AS hash, c.cached FROM pages p LEFT JOIN (
+  SELECT md5(url) AS hash, concat('page ', CAST(page_id AS VARCHAR)) AS cached FROM pages WHERE page_id % 3 = 0) c ON c.hash = md5(p.url)""")
+def _(spark, sf):
+    """Rows without content of their own are looked up by their link."""
+    landed = table(spark, sf, "pages").select("page_id", "url", F.lit("").alias("content"))
+    cached = F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("cached")
+    cache = landed.filter("page_id % 3 = 0").select(F.md5(F.col("url").cast("binary")).alias("hash"), cached)
+    return joins.cache_hits(landed, cache, "content", "url").select("page_id", "hash", "cached")
+
+
 @add("j05_cache_upsert", f"""WITH {CACHE_SQL},
 fresh AS (SELECT md5(text) AS hash, min(concat('new ', substr(text, 1, 100))) AS summary FROM documents WHERE lang = 'en' GROUP BY 1)
 SELECT coalesce(f.hash, c.hash) AS hash, coalesce(f.summary, c.cached) AS summary,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from feedloom.catalog.base import (
     AS_OF, AS_OF_SQL, Registry, documents, instant_sql, instant_text, items, table, with_items,
 )
-from feedloom.functions import dates, html, scoring, text, urls
+from feedloom.functions import dates, scoring, text, urls
 from feedloom.session import spread
 
 REGISTRY = Registry()
@@ -227,11 +227,6 @@ def _(spark, sf):
     return pages(spark, sf).select("page_id", text.html_to_text("html").alias("body"))
 
 
-@add("f19_html_to_text_parsed", f"SELECT page_id, {page_text_sql('html')} AS body FROM pages")
-def _(spark, sf):
-    return pages(spark, sf).select("page_id", html.page_text("html").alias("body"))
-
-
 @add("f20_prepare_for_summary", f"""
 SELECT page_id, CASE WHEN length(t) > 8000 THEN concat(substr(t, 1, 8000), '...') ELSE t END AS prepared
 FROM (SELECT page_id, {page_text_sql('html')} AS t FROM pages)""")

@@ -26,14 +26,25 @@ def merge_summaries(items: DataFrame, summaries: DataFrame) -> DataFrame:
     return items.join(new, "ord", "left").withColumns(merged).drop(*[f"new_{f}" for f in fields])
 
 
-def cache_hits(items: DataFrame, cache: DataFrame, content: str = "summary") -> DataFrame:
-    """Attach the cached summary, null on a miss."""
-    return items.withColumn("hash", content_hash(text_or_empty(content))).join(cache, "hash", "left")
+def cache_key(content: str = "summary", link: str | None = None, own: str | None = None):
+    """Key of a row in the summary cache: the hash of its content or, where that is blank and ``link`` is given, of its
+    link. A row with neither has the key of no entry; with ``own``, a column of unique values, it has one of its own, so
+    that such rows don't meet under one value in a join."""
+    text, url = text_or_empty(content), text_or_empty(link) if link else F.lit("")
+    nothing = F.concat(F.lit("row-"), F.col(own).cast("string")) if own else F.concat(F.lit("row-"), F.expr("uuid()"))
+    return F.when(text != "", content_hash(text)).when(url != "", content_hash(url)).otherwise(nothing)
 
 
-def cache_misses(items: DataFrame, cache: DataFrame, content: str = "summary") -> DataFrame:
-    """Rows whose content has no cached summary."""
-    return items.withColumn("hash", content_hash(text_or_empty(content))).join(cache, "hash", "left_anti")
+def cache_hits(items: DataFrame, cache: DataFrame, content: str = "summary", link: str | None = None) -> DataFrame:
+    """Attach the cached summary, null on a miss. Blank content is looked up by ``link`` if given, else by nothing."""
+    keyed = items.withColumn("hash", cache_key(content, link)).join(cache, "hash", "left")
+    return keyed.withColumn("hash", F.when(~F.startswith("hash", F.lit("row-")), F.col("hash")))
+
+
+def cache_misses(items: DataFrame, cache: DataFrame, content: str = "summary", link: str | None = None) -> DataFrame:
+    """Rows whose content, or link, has no cached summary; those with neither have a null ``hash``."""
+    keyed = items.withColumn("hash", cache_key(content, link)).join(cache, "hash", "left_anti")
+    return keyed.withColumn("hash", F.when(~F.startswith("hash", F.lit("row-")), F.col("hash")))
 
 
 def cache_upsert(cache: DataFrame, fresh: DataFrame) -> DataFrame:

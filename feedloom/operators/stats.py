@@ -71,12 +71,13 @@ def summary_stats(df: DataFrame) -> DataFrame:
 
 
 def channel_preview(df: DataFrame, n: int = 3) -> DataFrame:
-    """Per source: row count, first n titles, and how many more there are."""
+    """Per source, null included: row count, first n titles, and how many more there are."""
     counts = df.groupBy("source").agg(F.count("*").alias("items"))
     first = (
         top_per_source(df, n)
         .groupBy("source")
         .agg(F.array_sort(F.collect_list(F.struct("rn", "title"))).alias("first"))
-        .select("source", F.col("first.title").alias("titles"))
+        .select(F.col("source").alias("_source"), F.col("first.title").alias("titles"))
     )
-    return counts.join(first, "source").withColumn("more", F.greatest(F.col("items") - n, F.lit(0)))
+    joined = counts.join(first, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    return joined.withColumn("more", F.greatest(F.col("items") - n, F.lit(0)))

@@ -57,17 +57,19 @@ def batch_summarise(
     routed = gated.withColumn("route", F.when(F.col("eligible"), summary_route(content, link)))
     if pages is not None:
         # A page landed more than once counts once, whichever order the copies are read in.
-        landed = pages.groupBy(link).agg(F.min("text").alias("_page"))
-        routed = routed.join(landed, link, "left")
+        landed = pages.groupBy(F.col(link).alias("_link")).agg(F.min("text").alias("_page"))
+        # Rows that need no page get a key of their own, so they do not pile up under one link.
+        wanted = F.when(F.col("route") == "url", F.col(link)).otherwise(F.concat(F.lit("row-"), F.col("ord").cast("string")))
+        routed = routed.withColumn("_link", wanted).join(landed, "_link", "left").drop("_link")
     else:
         routed = routed.withColumn("_page", F.lit(None).cast("string"))
     source = F.when(F.col("route") == "content", F.col(content)).when(F.col("route") == "url", F.col("_page"))
     routed = routed.withColumn("_text", source).drop("_page")
     if summarise is None:
         made = routed.withColumns(
-            {"_made": fallback_summary("_text", max_length), "summary_error": F.lit(None).cast("string")}
+            {"_made": fallback_summary("_text", max_length), "summary_error": F.lit(None).cast("string"), "_long": F.lit(False)}
         ).withColumn("_made", F.when(F.col("_text").isNotNull(), F.col("_made")))
-        return _finish(made)
+        return _finish(made, content, link)
 
     long_enough = F.length(strip("_text")) >= 100
     routed = routed.withColumn("_long", F.coalesce(long_enough, F.lit(False)))
@@ -89,20 +91,26 @@ def batch_summarise(
     joined = routed.join(results, "hash", "left").withColumnRenamed("error", "summary_error")
     short = F.when(~F.col("_long"), F.col("_text"))
     failed = F.when(F.col("summary_error").isNotNull(), fallback_summary("_text", max_length))
-    return _finish(joined.withColumn("_made", F.coalesce("generated", failed, short)).drop("generated", "hash", "_long"))
+    return _finish(joined.withColumn("_made", F.coalesce("generated", failed, short)).drop("generated", "hash"), content, link)
 
 
-def _finish(made: DataFrame) -> DataFrame:
-    done = made.withColumn("generated_summary", F.coalesce("_made", "generated_summary"))
-    return done.drop("_made", "_text", "eligible", "route")
+def _finish(made: DataFrame, content: str, link: str) -> DataFrame:
+    """The summaries, with ``summary_key``: the cache key of what was summarised, null where nothing was."""
+    key = F.when(F.col("route") == "url", content_hash(link)).when(F.col("route") == "content", content_hash(content))
+    done = made.withColumns({
+        "generated_summary": F.coalesce("_made", "generated_summary"),
+        "summary_key": F.when(F.col("_made").isNotNull() & F.col("summary_error").isNull(), key),
+    })
+    return done.drop("_made", "_text", "_long", "eligible", "route")
 
 
-def fresh_cache_rows(summarised: DataFrame, version, content: str = "summary") -> DataFrame:
-    """Cache rows (hash, summary, version) of summarised items, one per distinct content."""
-    filled = text_or_empty("generated_summary") != ""
+def fresh_cache_rows(summarised: DataFrame, version) -> DataFrame:
+    """Cache rows (hash, summary, version) of what ``batch_summarise`` made, one for each ``summary_key``: the hash of the
+    content or, for the text of a page, of its link. Failed and inherited summaries are left out."""
+    filled = (text_or_empty("generated_summary") != "") & F.col("summary_key").isNotNull()
     return (
         summarised.filter(filled)
-        .groupBy(content_hash(text_or_empty(content)).alias("hash"))
+        .groupBy(F.col("summary_key").alias("hash"))
         .agg(F.min("generated_summary").alias("summary"))
         .withColumn("version", F.lit(version))
     )

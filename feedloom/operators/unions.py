@@ -26,6 +26,9 @@ def union_sources(frames: dict[str, DataFrame], selected=None) -> DataFrame:
 def rank_order(df: DataFrame) -> DataFrame:
     """Fold ``source_rank`` into the top bits of ``ord``: unique, and in the union's order.
 
-    Room for eight origins and for any ``ord`` below 2**60.
+    Room for eight origins and for any ``ord`` from 0 to below 2**60; anything else is an error.
     """
-    return df.withColumn("ord", F.shiftleft(F.col("source_rank").cast("long"), 60) + F.col("ord"))
+    rank, own = F.col("source_rank").cast("long"), F.col("ord")
+    fits = F.coalesce((rank >= 0) & (rank < 8) & (own >= 0) & (own < 1 << 60), F.lit(False))
+    folded = F.shiftleft(rank, 60) + own
+    return df.withColumn("ord", F.when(fits, folded).otherwise(F.raise_error(F.lit("ord or source_rank out of range")).cast("long")))

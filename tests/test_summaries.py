@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from feedloom.functions.text import content_hash
 from feedloom.operators import summaries
+from feedloom.operators.joins import cache_hits, cache_misses
 
 FIELDS = "ord long, batch_index long, summary string, ai_summary string, generated_summary string, " \
          "description string, relevance_score double, link string"
@@ -83,3 +84,14 @@ def test_publish_and_cache_rows(spark, items):
     assert [r.ai_summary for r in done.orderBy("ord").collect()][:3] == [LONG[:150] + "...", None, "done"]
     fresh = summaries.fresh_cache_rows(done, 7).collect()
     assert len(fresh) == 1 and fresh[0].version == 7
+
+
+def test_cache_round_trip_by_content_and_by_link(spark):
+    """Two rows with blank content keep their pages' summaries apart, and a row with neither gets none."""
+    rows = frame(spark, (LONG, None, ""), ("", None, "http://b"), ("", None, "http://c"), ("", None, ""))
+    pages = spark.createDataFrame([("http://b", "first " * 40), ("http://c", "second " * 40)], "link string, text string")
+    done = summaries.batch_summarise(rows, lambda texts: [t[:5] for t in texts], pages=pages)
+    cache = summaries.fresh_cache_rows(done, 1).select("hash", F.col("summary").alias("cached"))
+    hits = cache_hits(rows, cache, "summary", "link").orderBy("ord").collect()
+    assert [r.cached for r in hits] == [LONG[:5], "first", "secon", None] and hits[3].hash is None
+    assert [r.ord for r in cache_misses(rows, cache, "summary", "link").collect()] == [hits[3].ord]
