@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column, functions as F
 
 from feedloom.functions.binding import let
@@ -26,7 +29,7 @@ STOP_WORDS = (
     "not only own same so than too very can will just should now"
 ).split()
 
-# The named entities the native HTML path decodes; ampersand comes last.
+# What common named entities are written as.
 ENTITIES = {
     "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "copy": "©", "reg": "®",
     "trade": "™", "middot": "·", "bull": "•", "hellip": "…", "ndash": "–",
@@ -122,44 +125,43 @@ def truncate_text(c, length: int = 200) -> Column:
     return F.when(F.length(c) <= length, c).otherwise(F.concat(strip(_head(c, length)), F.lit("...")))
 
 
-# Fixed value: the entities of ENTITIES that count even without their semicolon.
-BARE_ENTITIES = ("lt", "gt", "quot", "nbsp", "copy", "reg", "middot", "amp")
-
+def _entity_table() -> tuple[str, str]:
+    """All named references of HTML 5 that end in a semicolon, as a JSON object, and a regex of those that count without
+    one, the longest first. The standard library has the names; ``ENTITIES`` has the last word."""
+    closed = {name[:-1]: text for name, text in html5.items() if name.endswith(";")} | ENTITIES
+    bare = sorted((name for name in html5 if not name.endswith(";")), key=lambda name: (-len(name), name))
+    return json.dumps(closed), f"^(?:{'|'.join(bare)})"
+
+
+def _decode_reference(part: Column, names: str, bare: str) -> Column:
+    """The text after an ampersand with the reference it begins with decoded; the ampersand is put back if there is none."""
+    number = r"^#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});?"
+    digits = F.regexp_extract(part, number, 1)
+    code = F.when(
+        F.lower(_head(digits, 1)) == "x", F.conv(F.substring(digits, 2, 6), 16, 10)
+    ).otherwise(digits).try_cast("bigint")
+    char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    known = (digits != "") & code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    table = F.from_json(F.lit(names), "map<string,string>")
+    name, short = F.regexp_extract(part, "^([A-Za-z][A-Za-z0-9]*);", 1), F.regexp_extract(part, bare, 0)
+    return F.coalesce(
+        F.when(known, F.concat(char, F.regexp_replace(part, number, ""))),
+        F.when(name != "", F.concat(F.try_element_at(table, name), F.substring(part, F.length(name) + 2, F.length(part)))),
+        F.when(short != "", F.concat(F.try_element_at(table, short), F.substring(part, F.length(short) + 1, F.length(part)))),
+        F.concat(F.lit("&"), part),
+    )
 
-def _decode_numeric(c: Column) -> Column:
-    reference = r"^([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});?"
 
-    def decode(part: Column) -> Column:
-        digits = F.regexp_extract(part, reference, 1)
-        code = F.when(
-            F.lower(_head(digits, 1)) == "x", F.conv(F.substring(digits, 2, 6), 16, 10)
-        ).otherwise(digits).try_cast("bigint")
-        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-        known = (digits != "") & code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-        return F.when(known, F.concat(char, F.regexp_replace(part, reference, ""))).otherwise(
-            F.concat(F.lit("&#"), part)
-        )
+def decode_entities(c) -> Column:
+    """Decode numeric references and all named ones of HTML 5, each once, in one pass over the pieces between ampersands."""
+    names, bare = _entity_table()
 
     def joined(parts: Column) -> Column:
-        rest = F.transform(F.slice(parts, 2, F.size(parts)), decode)
+        rest = F.transform(F.slice(parts, 2, F.size(parts)), lambda part: _decode_reference(part, names, bare))
         return F.concat(F.element_at(parts, 1), F.array_join(rest, ""))
 
-    return F.when(F.contains(c, F.lit("&#")), let(F.split(c, "&#"), joined)).otherwise(c)
-
-
-def decode_entities(c) -> Column:
-    """Decode numeric references and the named entities of ``ENTITIES``."""
-
-    def named(out: Column) -> Column:
-        for name, char in ENTITIES.items():
-            if name in BARE_ENTITIES:
-                out = F.regexp_replace(out, f"&{name};?", char)
-            else:
-                out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
-        return out
-
     c = _col(c)
-    return F.when(F.contains(c, F.lit("&")), named(_decode_numeric(c))).otherwise(c)
+    return F.when(F.contains(c, F.lit("&")), let(F.split(c, "&", -1), joined)).otherwise(c)
 
 
 def collapse_breaks(c) -> Column:
@@ -171,7 +173,7 @@ def collapse_breaks(c) -> Column:
 def html_to_text(c) -> Column:
     """Visible text of an HTML page, without leaving the JVM.
 
-    Approximate on malformed markup and rare entities: ``functions.html.page_text`` parses the page.
+    Approximate on malformed markup: ``functions.html.page_text`` parses the page.
     """
     out = text_or_empty(c)
     for tag in ("script", "style"):
