@@ -53,9 +53,8 @@ def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, lang, source, n_tokens, ids, decoded_sha256``: the tokens of every document, and a digest of the text
     that they decode to."""
     bounded_batches(spark)
-    path = word_bpe_path()
-    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path).drop("text").withColumn("n_tokens", F.size("ids").cast("long"))
-    return bpe.decode(encoded, path).withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
+    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), word_bpe_path(), decoded="decoded")
+    return encoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [

@@ -24,7 +24,9 @@ WORD_END = "</w>"
 #: Stands for the word end inside a word; no byte is written as this character.
 END = "\n"
 #: Distinct words, and chunks between white space, kept by a task before it starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
+#: Bytes of text encoded at once.
+SLICE_BYTES = 1 << 20
 #: Letters up to which a word is merged by plain search, and what stands for a pair that doesn't merge.
 SHORT_WORD, NO_PAIR = 40, (1 << 62, -1)
 #: Texts of these characters alone are split here; any other goes through the tokenizer's own normaliser and splitter,
@@ -278,45 +280,58 @@ class Encoder:
         return ends[bounds], ids
 
 
-def encode(docs: DataFrame, path: str, *, text: str = "text", output: str = "ids") -> DataFrame:
+def _names(path: str) -> list[str]:
+    """The token of each id."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    names = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+    return [names.get(i, "") for i in range(max(names) + 1)]
+
+
+def _joined(lists: pa.ListArray, vocabulary: pa.Array) -> pa.Array:
+    """The tokens of each list of ids, joined by spaces; null for null."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+    words = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int64()), vocabulary.take(lists.flatten()))
+    texts = pc.if_else(pc.is_valid(lists), pc.binary_join(words, pa.scalar(" ", pa.large_string())), pa.scalar(None, pa.large_string()))
+    return texts.cast(pa.string())
+
+
+def encode(docs: DataFrame, path: str, *, text: str = "text", output: str = "ids", decoded: str | None = None) -> DataFrame:
     """``docs`` with the token ids of ``text`` in ``output``, as the tokenizer file at ``path`` gives them without added
-    special tokens; special tokens written in a text are themselves. A null or empty text has no ids. A column named
-    like the output is replaced. The tables, a few MB of fixed size, are broadcast; no row is shuffled.
+    special tokens; special tokens written in a text are themselves. A null or empty text has no ids. With ``decoded``
+    the ids are decoded into that column in the same pass. A column named like an output is replaced. The tables, a few
+    MB of fixed size, are broadcast; no row is shuffled.
     """
     tables = docs.sparkSession.sparkContext.broadcast(load_tables(path))
+    added = {output: "array<int>"} | ({decoded: "string"} if decoded else {})
 
     def run(batches):
         encoder = Encoder(tables.value)
+        vocabulary = pa.array(tables.value["names"], pa.large_string())
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, SLICE_BYTES):
                 bounds, ids = encoder.encode(part.column(text).to_pylist())
-                kept = {n: part.column(n) for n in part.schema.names if n != output}
-                yield pa.RecordBatch.from_pydict({**kept, output: pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))})
+                columns = {n: part.column(n) for n in part.schema.names if n not in added}
+                columns[output] = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
+                if decoded:
+                    columns[decoded] = _joined(columns[output], vocabulary)
+                yield pa.RecordBatch.from_pydict(columns)
 
-    return docs.mapInArrow(run, output_schema(docs, **{output: "array<int>"}))
+    return docs.mapInArrow(run, output_schema(docs, **added))
 
 
 def decode(encoded: DataFrame, path: str, *, ids: str = "ids", output: str = "decoded") -> DataFrame:
     """``encoded`` with the text of ``ids`` in ``output``: the tokens joined by spaces, special ones too, as the
     tokenizer gives it. Null ids give a null text. A column named like the output is replaced.
     """
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    names = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
-    tokens = encoded.sparkSession.sparkContext.broadcast([names.get(i, "") for i in range(max(names) + 1)])
+    tokens = encoded.sparkSession.sparkContext.broadcast(_names(path))
 
     def run(batches):
         vocabulary = pa.array(tokens.value, pa.large_string())
         for batch in batches:
             for start in range(0, batch.num_rows, 100):
                 part = batch.slice(start, 100)
-                lists = part.column(ids)
-                words = pa.LargeListArray.from_arrays(
-                    pa.concat_arrays([pa.array([0], pa.int64()), pa.array(np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy()), pa.int64())]),
-                    vocabulary.take(lists.flatten()),
-                )
-                texts = pc.if_else(pc.is_valid(lists), pc.binary_join(words, pa.scalar(" ", pa.large_string())), pa.scalar(None, pa.large_string()))
                 kept = {n: part.column(n) for n in part.schema.names if n != output}
-                yield pa.RecordBatch.from_pydict({**kept, output: texts.cast(pa.string())})
+                yield pa.RecordBatch.from_pydict({**kept, output: _joined(part.column(ids), vocabulary)})
 
     return encoded.mapInArrow(run, output_schema(encoded, **{output: "string"}))
