@@ -22,7 +22,7 @@ SAMPLE, FEATURES = 16_000, 2048
 LEAST_TEXTS, SMOOTHING, PENALTY, STEPS = 4, 1.0, 1.0, 200
 THRESHOLD = 0.3
 #: Bytes of text worked on at once; n-grams of all orders take some hundred times as much.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 class Classifier(NamedTuple):
