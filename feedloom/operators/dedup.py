@@ -344,7 +344,7 @@ def _meeting_keys(rule, near: bool) -> Column:
         return F.transform(buckets, lambda b: F.concat_ws(":", F.lit(tag), first.cast("string"), b.cast("string")))
 
     nothing = F.array().cast("array<string>")
-    title, summary = F.length("title"), F.length("summary")
+    title, summary = F.col("title_len"), F.col("summary_len")
     by_site = tagged("site", F.col("site"), spots(_length_bucket(summary, threshold)))
     by_time = F.flatten(
         F.transform(spots(time), lambda t: tagged("time", t, spots(_length_bucket(title, threshold))))
@@ -370,28 +370,40 @@ def _outside_matches(items: DataFrame, keys: DataFrame, dropped: DataFrame, as_o
     suspects = stage(kept.join(shared, "fp").filter(F.col("ord") != -F.col("head.back")).select("ord"), "suspects")
     if suspects.isEmpty():
         return None
-    texts = items.join(dropped.select("ord"), "ord", "left_anti").select(
-        "ord",
-        F.unix_micros(F.coalesce("published_ts", instant(as_of))).alias("at"),
-        netloc("link").alias("site"),
-        F.lower(text_or_empty("title")).alias("title"),
-        F.lower(text_or_empty("summary")).alias("summary"),
-    )
-    fields = ("ord", "at", "site", "title", "summary")
+    # Lengths, sites and times alone leave few pairs; only for these are the texts read.
+    fields = ("ord", "at", "site", "title_len", "summary_len")
     side = lambda df, s, near: df.select(
         *[F.col(c).alias(f"{s}_{c}") for c in fields], F.explode(_meeting_keys(rule, near)).alias("key")
     )
-    later = side(stage(texts.join(suspects, "ord", "left_semi"), "suspect-texts"), "later", True)
-    pairs = side(texts, "kept", False).join(later, "key").filter(
+    # A row without a link is always kept, and others may fall to it.
+    linkless = items.filter(~_linked()).select(
+        "ord",
+        F.unix_micros(F.coalesce("published_ts", instant(as_of))).alias("at"),
+        F.lit("").alias("site"),
+        F.length(F.lower(text_or_empty("title"))).alias("title_len"),
+        F.length(F.lower(text_or_empty("summary"))).alias("summary_len"),
+    )
+    partners = kept.select(*fields).unionByName(linkless)
+    pairs = side(partners, "kept", False).join(side(kept.join(suspects, "ord", "left_semi"), "later", True), "key").filter(
         (F.col("kept_at") > F.col("later_at"))
         | ((F.col("kept_at") == F.col("later_at")) & (F.col("kept_ord") < F.col("later_ord")))
     )
-    judged = pairs.withColumns(
+    title = ratio_bound(F.col("later_title_len"), F.col("kept_title_len"))
+    summary = ratio_bound(F.col("later_summary_len"), F.col("kept_summary_len"))
+    pairs = pairs.withColumns(
         {
             "close": F.abs(F.col("kept_at") - F.col("later_at")) <= window_micros,
             "same_site": (F.col("later_site") != "") & (F.col("later_site") == F.col("kept_site")),
         }
-    ).filter(duplicate_verdict({}, threshold, alone))
+    ).filter((title >= alone) | ((title >= threshold) & F.col("close")) | ((summary >= threshold) & F.col("same_site")))
+    pairs = stage(pairs.select("later_ord", "later_at", "kept_ord", "kept_at", "close", "same_site").distinct(), "outside-pairs")
+    wanted = pairs.select(F.explode(F.array("later_ord", "kept_ord")).alias("ord")).distinct()
+    texts = items.join(wanted, "ord", "left_semi").select(
+        "ord", F.lower(text_or_empty("title")).alias("title"), F.lower(text_or_empty("summary")).alias("summary")
+    )
+    texts = stage(texts, "outside-texts")
+    words = lambda s: texts.select(*[F.col(c).alias(f"{s}_{c}") for c in ("ord", "title", "summary")])
+    judged = pairs.join(words("later"), "later_ord").join(words("kept"), "kept_ord").filter(duplicate_verdict({}, threshold, alone))
     hits = stage(
         judged.groupBy("later_ord", "later_at").agg(
             F.max(F.struct(F.col("kept_at").alias("at"), (-F.col("kept_ord")).alias("back"))).alias("by")
