@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from feedloom.catalog.base import (
-    AS_OF, AS_OF_SQL, Registry, dated_items, documents, instant_sql, instant_text, items, table, with_items,
+    AS_OF, AS_OF_SQL, Registry, dated_items, instant_sql, instant_text, items, table, with_items,
 )
 from feedloom.catalog.duplicates import REPORT_SQL
 from feedloom.catalog.scalars import pages, strip_sql
