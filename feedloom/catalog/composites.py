@@ -16,6 +16,9 @@ from feedloom.catalog.scalars import (
 from feedloom.functions import scoring
 from feedloom.functions.text import html_to_text
 from feedloom.operators import digest, summaries
+from feedloom.operators.filters import recent
+from feedloom.operators.joins import merge_summaries
+from feedloom.operators.ranking import assign_batches, number_sorted
 from feedloom.plans import curation
 from feedloom.schema import conform, with_published_ts
 from feedloom.session import stage_path
@@ -172,6 +175,24 @@ def _(spark, sf):
     return summaries.batch_summarise(items, first_words, pages=texts).select("ord", "generated_summary")
 
 
+WEEK = f"published_ts >= {AS_OF_SQL} - INTERVAL 7 DAY"
+CHAINED = f"""chained AS (SELECT * REPLACE (coalesce(nullif(made, ''), summary) AS summary) FROM (SELECT *,
+  CASE WHEN bool_or(coalesce(summary, '') = '' AND length(coalesce(description, '')) >= 50) OVER (PARTITION BY batch_index)
+    AND length({strip_sql("coalesce(summary, '')")}) >= 100 THEN concat(substr(summary, 1, 150), '...') END AS made
+  FROM (SELECT *, (row_number() OVER (ORDER BY ord) - 1) // 10 AS batch_index FROM items WHERE {WEEK})))"""
+
+
+@add("c03_stage_chain", with_items(HTML_PAGE, CHAINED, html_rows_sql("chained"), HTML_SECTIONS))
+def _(spark, sf):
+    """Recent items, batches of ten, summaries, merge by item, and the digest that shows the summaries."""
+    fields = {n: F.lit(None).cast(t) for n, t in (("relevance_score", "int"), ("generated_summary", "string"), ("ai_summary", "string"))}
+    found = recent(dated_items(spark, sf), AS_OF, 7).withColumns(fields)
+    made = summaries.publish_summaries(summaries.batch_summarise(assign_batches(found)))
+    merged = merge_summaries(found, made)
+    shown = merged.withColumn("summary", F.coalesce(F.nullif(F.col("ai_summary"), F.lit("")), F.col("summary")))
+    return digest.html_digest(shown, AS_OF, 10)
+
+
 # --- whole runs --------------------------------------------------------------------------------------
 
 
@@ -192,11 +213,12 @@ KEPT = (GATHERED, *survivors_sql("gathered"), "kept AS (SELECT * FROM gathered W
 
 
 @add("c04_curate", with_items(
-    f"""SELECT ord, title, {score_sql(scoring.WORKFLOW_PRESET)} AS relevance_score FROM kept
-        WHERE category = 'view' AND published_ts >= {AS_OF_SQL} - INTERVAL 2 DAY""", *KEPT))
+    f"""SELECT *, row_number() OVER (ORDER BY relevance_score DESC, ord) - 1 AS pos FROM (
+        SELECT ord, title, {score_sql(scoring.WORKFLOW_PRESET)} AS relevance_score FROM kept
+        WHERE category = 'view' AND published_ts >= {AS_OF_SQL} - INTERVAL 2 DAY)""", *KEPT))
 def _(spark, sf):
     done = curation.curate(frames(spark, sf), AS_OF, curation.Options(category="view"))
-    return done.select("ord", "title", "relevance_score")
+    return number_sorted(done).select("ord", "title", "relevance_score", "pos")
 
 
 @add("c05_ad_hoc", with_items(
@@ -222,10 +244,10 @@ def _(spark, sf):
 
 
 @add("c07_aggregate_all", with_items(
-    f"SELECT ord, title, {instant_sql('published_ts')} AS at FROM kept", *KEPT))
+    f"SELECT ord, title, {instant_sql('published_ts')} AS at, row_number() OVER (ORDER BY {NEWEST}) - 1 AS pos FROM kept", *KEPT))
 def _(spark, sf):
-    done = curation.aggregate_all(frames(spark, sf), AS_OF)
-    return done.select("ord", "title", instant_text("published_ts", "at"))
+    done = number_sorted(curation.aggregate_all(frames(spark, sf), AS_OF))
+    return done.select("ord", "title", instant_text("published_ts", "at"), "pos")
 
 
 SHORTENED = f"""CASE WHEN opened AND length({strip_sql("coalesce(summary, '')")}) >= 100

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from feedloom.catalog.base import (
@@ -9,6 +11,7 @@ from feedloom.catalog.base import (
 )
 from feedloom.catalog.scalars import norm_url_sql, strip_sql, words_sql
 from feedloom.operators import dedup
+from feedloom.operators.ranking import number_sorted
 
 REGISTRY = Registry()
 add = REGISTRY.add
@@ -47,10 +50,11 @@ REPORT_SQL = with_items(
 
 
 @add("d01_sort_for_dedup", with_items(
-    f"SELECT ord, {instant_sql(f'coalesce(published_ts, {AS_OF_SQL})')} AS at FROM items ORDER BY {DEDUP_ORDER}"))
+    f"""SELECT ord, {instant_sql(f'coalesce(published_ts, {AS_OF_SQL})')} AS at,
+        row_number() OVER (ORDER BY {DEDUP_ORDER}) - 1 AS pos FROM items"""))
 def _(spark, sf):
-    ordered = dedup.sort_for_dedup(dated_items(spark, sf), AS_OF)
-    return ordered.select("ord", instant_text(F.coalesce("published_ts", dedup.instant(AS_OF)), "at"))
+    ordered = number_sorted(dedup.sort_for_dedup(dated_items(spark, sf).select("ord", "published_ts"), AS_OF))
+    return ordered.select("ord", instant_text(F.coalesce("published_ts", dedup.instant(AS_OF)), "at"), "pos")
 
 
 def first_sql(key: str) -> str:
@@ -96,6 +100,78 @@ def _(spark, sf):
     return dedup.with_similarity(pairs, "later_title", "kept_title").select("later_ord", "kept_ord", "similarity")
 
 
+# With thresholds of 1 similar means equal, which SQL can state; then the rule is a walk over the items, newest first.
+ALIKE = """((lower({a}title) = lower({b}title) AND {a}title <> '')
+  OR (site({a}link) = site({b}link) AND site({a}link) <> '' AND lower({a}summary) = lower({b}summary) AND {a}summary <> ''))"""
+
+
+def alike_sql(a: str, b: str) -> str:
+    return re.sub(r"site\((.*?)\)", r"regexp_extract(\1, '^[^:/?#]+://([^/?#]*)', 1)", ALIKE.format(a=a, b=b))
+
+
+@add("d05_duplicate_pairs_exact", with_items(
+    f"""SELECT l.ord AS later_ord, k.ord AS kept_ord, coalesce({alike_sql('l.', 'k.')}, FALSE) AS is_duplicate
+        FROM heads l JOIN heads k ON l.norm_url = k.norm_url AND k.rn = 1 AND l.rn > 1""",
+    keyed_sql(),
+    f"heads AS (SELECT *, row_number() OVER (PARTITION BY norm_url ORDER BY {DEDUP_ORDER}) AS rn FROM keyed WHERE link <> '')"))
+def _(spark, sf):
+    judged = dedup.duplicate_pairs(url_pairs(spark, sf), threshold=1.0, alone=1.0)
+    return judged.select("later_ord", "kept_ord", "is_duplicate")
+
+
+#: Copies stand behind all items.
+COPY = 1 << 40
+
+
+def with_copies(spark, sf):
+    """Every item and a copy at another address: with a mark after its title, a word after its summary, or both."""
+    items = dated_items(spark, sf).select("ord", "title", "summary", "link", "published_ts")
+    third = F.col("ord") % 3
+    copies = items.withColumns({
+        "title": F.when(third != 0, F.concat("title", F.lit(" ?"))).otherwise(F.col("title")),
+        "summary": F.when(third != 1, F.concat("summary", F.lit(" afterwards"))).otherwise(F.col("summary")),
+        "link": F.replace("link", F.lit("/a/"), F.lit("/b/")),
+    })
+    return items.unionByName(copies.withColumn("ord", F.col("ord") + COPY))
+
+
+COPIES = f"""copied AS (SELECT ord, title, summary, link, published_ts FROM items UNION ALL
+  SELECT ord + {COPY}, CASE WHEN ord % 3 <> 0 THEN concat(title, ' ?') ELSE title END,
+  CASE WHEN ord % 3 <> 1 THEN summary || ' afterwards' ELSE summary END, replace(link, '/a/', '/b/'), published_ts FROM items)"""
+WALK = (
+    COPIES,
+    keyed_sql("copied"),
+    f"""steps AS MATERIALIZED (SELECT ord, row_number() OVER (ORDER BY {DEDUP_ORDER}) AS n, link <> '' AS linked,
+      hash(norm_url) AS u, hash(fp) AS f, CASE WHEN title <> '' THEN hash(lower(title)) END AS t,
+      CASE WHEN summary <> '' AND link <> '' THEN hash(regexp_extract(link, '^[^:/?#]+://([^/?#]*)', 1), lower(summary)) END AS s
+      FROM keyed)""",
+    """walk AS (SELECT 0::BIGINT AS n, 0::BIGINT AS ord, '' AS fate, []::UBIGINT[] AS us, []::UBIGINT[] AS fs,
+        []::UBIGINT[] AS ts, []::UBIGINT[] AS ss
+      UNION ALL SELECT n, ord, fate, CASE WHEN fate = 'kept' AND linked THEN list_append(us, u) ELSE us END,
+        CASE WHEN fate = 'kept' AND linked THEN list_append(fs, f) ELSE fs END,
+        CASE WHEN fate = 'kept' AND t IS NOT NULL THEN list_append(ts, t) ELSE ts END,
+        CASE WHEN fate = 'kept' AND s IS NOT NULL THEN list_append(ss, s) ELSE ss END
+      FROM (SELECT steps.*, us, fs, ts, ss, CASE WHEN NOT linked THEN 'kept' WHEN list_contains(us, u) THEN 'url'
+          WHEN list_contains(fs, f) AND (coalesce(list_contains(ts, t), FALSE) OR coalesce(list_contains(ss, s), FALSE))
+          THEN 'content' ELSE 'kept' END AS fate FROM walk JOIN steps ON steps.n = walk.n + 1))""",
+)
+
+
+def walk_sql(select: str) -> str:
+    return with_items(select, *WALK).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@add("d07_deduplicate_exact", walk_sql("SELECT ord FROM walk WHERE fate = 'kept'"))
+def _(spark, sf):
+    return dedup.deduplicate(with_copies(spark, sf), AS_OF, threshold=1.0, alone=1.0).select("ord")
+
+
+@add("j06_content_duplicates_exact", walk_sql("SELECT ord FROM walk WHERE fate = 'content'"))
+def _(spark, sf):
+    dropped = dedup.dropped_rows(with_copies(spark, sf), AS_OF, threshold=1.0, alone=1.0)
+    return dropped.filter("reason = 'content'").select("ord")
+
+
 @add("d07_deduplicate", with_items("SELECT ord FROM survivors", *survivors_sql()))
 def _(spark, sf):
     return dedup.deduplicate(dated_items(spark, sf), AS_OF).select("ord")
@@ -104,7 +180,7 @@ def _(spark, sf):
 @add("d08_dedup_report", REPORT_SQL)
 def _(spark, sf):
     items = dated_items(spark, sf)
-    return dedup.dedup_report(items, dedup.dropped_rows(items, AS_OF))
+    return dedup.dedup_report(items, dedup.dropped_rows(items, AS_OF, reasons=False))
 
 
 @add("j06_content_duplicates", with_items(

@@ -15,6 +15,7 @@ from feedloom.functions.html import PostSelectors
 from feedloom.operators import dedup
 from feedloom.operators.filters import recent
 from feedloom.operators.joins import enrich_with_source
+from feedloom.operators.ranking import number_sorted
 from feedloom.schema import conform
 from feedloom.session import stage_path
 from feedloom.sources import config, feeds, profiles, repos, storage, videos
@@ -233,10 +234,12 @@ def _(spark, sf):
     return repos.commits(commits, AS_OF).drop(*DROP)
 
 
-@add("s07_repository_activity", with_items(f"{RELEASES_SQL} UNION ALL {PULLS_SQL}"))
+@add("s07_repository_activity", with_items(
+    f"""SELECT *, row_number() OVER (ORDER BY source, published DESC NULLS LAST, content_type DESC, ord) - 1 AS pos
+        FROM ({RELEASES_SQL} UNION ALL {PULLS_SQL})"""))
 def _(spark, sf):
     parts = [repos.releases(release_payloads(spark, sf), AS_OF), repos.pull_requests(pull_payloads(spark, sf), AS_OF)]
-    return repos.repository_activity(parts).drop(*DROP)
+    return number_sorted(repos.repository_activity(parts)).drop(*DROP)
 
 
 # --- videos, profiles, configuration -----------------------------------------------------------------

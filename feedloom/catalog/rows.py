@@ -149,9 +149,12 @@ def organised_sql(where: str) -> str:
 
 
 @add("w01_organise_by_category", with_items(
-    """SELECT ord, coalesce(category, 'uncategorized') AS category FROM items"""))
+    f"""SELECT ord, category, row_number() OVER (ORDER BY first_ord, {NEWEST}) - 1 AS pos FROM (
+        SELECT ord, published_ts, coalesce(category, 'uncategorized') AS category,
+          min(ord) OVER (PARTITION BY coalesce(category, 'uncategorized')) AS first_ord FROM items)"""))
 def _(spark, sf):
-    return ranking.organise_by_category(dated_items(spark, sf)).select("ord", "category")
+    items = dated_items(spark, sf).select("ord", "category", "published_ts")
+    return ranking.number_sorted(ranking.organise_by_category(items)).select("ord", "category", "pos")
 
 
 @add("w02_top_per_category", organised_sql("WHERE rn <= 10"))
@@ -222,9 +225,10 @@ def _(spark, sf):
 
 
 @add("o02_sort_relevant", with_items(
-    "SELECT ord, relevance_score FROM scored ORDER BY relevance_score DESC, ord", SCORED))
+    "SELECT ord, relevance_score, row_number() OVER (ORDER BY relevance_score DESC, ord) - 1 AS pos FROM scored", SCORED))
 def _(spark, sf):
-    return ranking.sort_relevant(scoring.with_relevance(documents(spark, sf))).select("ord", "relevance_score")
+    ordered = ranking.sort_relevant(scoring.with_relevance(documents(spark, sf)).select("ord", "relevance_score"))
+    return ranking.number_sorted(ordered)
 
 
 @add("o03_top_relevant", with_items(

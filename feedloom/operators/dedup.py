@@ -421,12 +421,31 @@ def _outside_matches(items: DataFrame, keys: DataFrame, dropped: DataFrame, as_o
     )
 
 
+def _url_first(keys: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The same rows; the URL is the reason wherever an earlier kept row has it, whichever round found the text first.
+
+    A URL has at most one kept row.
+    """
+    kept = keys.join(dropped.select("ord"), "ord", "left_anti").select(
+        "url", F.col("at").alias("kept_at"), F.col("ord").alias("kept_ord")
+    )
+    content = keys.join(dropped.filter("reason = 'content'"), "ord", "left_semi").select("ord", "at", "url")
+    earlier = (F.col("kept_at") > F.col("at")) | ((F.col("kept_at") == F.col("at")) & (F.col("kept_ord") < F.col("ord")))
+    by_url = content.join(kept, "url").filter(earlier).select("ord", "kept_ord")
+    reason = F.when(F.col("kept_ord").isNotNull(), "url").otherwise(F.col("reason"))
+    return dropped.join(by_url, "ord", "left").select(
+        "ord", reason.alias("reason"), F.coalesce("kept_ord", "matched").alias("matched")
+    )
+
+
 def dropped_rows(
     items: DataFrame, as_of, threshold: float = THRESHOLD, window_hours: float = WINDOW_HOURS,
-    alone: float = ALONE, scope: str = "all", leaders: int = LEADERS, **parts: bool,
+    alone: float = ALONE, scope: str = "all", leaders: int = LEADERS, reasons: bool = True, **parts: bool,
 ) -> DataFrame:
     """``ord`` of every dropped row with the reason (url, content) and the kept row it repeats.
 
+    A row that repeats both a URL and a text has the reason url; without ``reasons`` it may have either.
+
     With ``scope="all"`` the similar kept row may be any, as the rule says; with ``"block"`` it must share the
     fingerprint, which spares a check. The rounds end when no row is open. The texts are read again only for rows that
     outlast the key columns. Every item needs an ``ord`` of its own.
@@ -447,13 +466,14 @@ def dropped_rows(
         dropped = dropped if forced is None else dropped.unionByName(forced)
         more = None if scope == "block" else _outside_matches(items, keys, dropped, as_of, rule)
         if more is None:
-            return dropped
+            return _url_first(keys, dropped) if reasons else dropped
         forced = stage(more if forced is None else forced.unionByName(more), "forced")
 
 
 def deduplicate(items: DataFrame, as_of, **options) -> DataFrame:
     """Items that survive the greedy pass; rows without a link always do. See ``dropped_rows``."""
-    return items.join(dropped_rows(items, as_of, **options).select("ord"), "ord", "left_anti")
+    dropped = dropped_rows(items, as_of, **{"reasons": False, **options})
+    return items.join(dropped.select("ord"), "ord", "left_anti")
 
 
 def dedup_report(items: DataFrame, dropped: DataFrame) -> DataFrame:
@@ -474,6 +494,6 @@ def dedup_job(spark: SparkSession, source: str, target: str, as_of, multi_line:
     if inside[0].startswith(inside[1]) or inside[1].startswith(inside[0]):
         raise ValueError(f"source and target are the same or nested: {source}, {target}")
     items = stage(with_published_ts(load_ordered_items(spark, source, multi_line)), "dedup-items")
-    dropped = stage(dropped_rows(items, as_of, **options), "dropped")
+    dropped = stage(dropped_rows(items, as_of, **{"reasons": False, **options}), "dropped")
     items.join(dropped.select("ord"), "ord", "left_anti").write.mode("overwrite").json(target)
     return dedup_report(items, dropped)

@@ -90,11 +90,13 @@ def dense_positions(df: DataFrame, order: list[str] | None = None, name: str = "
     per-partition counts, one row per partition, meet in one task.
     """
     order = order or ["ord"]
-    placed = (
-        df.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .withColumn("_part", F.spark_partition_id())
-        .withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    return number_sorted(df.repartitionByRange(*order).sortWithinPartitions(*order), name)
+
+
+def number_sorted(ordered: DataFrame, name: str = "pos") -> DataFrame:
+    """Add contiguous positions from 0 to rows that are already sorted, such as the result of ``orderBy``."""
+    placed = ordered.withColumn("_part", F.spark_partition_id()).withColumn(
+        "_place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     )
     placed = stage(placed, "positions")
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
