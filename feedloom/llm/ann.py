@@ -3,12 +3,13 @@
 Every tree gives each vector a string of 63 hash bits, the sides of random planes it is on; a tree is its strings in
 sorted order, dealt out over tasks by ranges. A query descends to the longest prefix it shares with others. Then all
 trees ascend together, one bit at a time, until the vectors that share a prefix of that depth in some tree are enough;
-all of these, and no others, are candidates.
+all of these, and no others, are candidates. A query goes to every range that its prefix reaches into.
 """
 
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -21,13 +22,11 @@ from feedloom.session import stage
 TREES, BITS = 40, 63
 #: Numbers of 0 to 63 bits that are all ones.
 MASKS = np.array([(1 << bits) - 1 for bits in range(BITS + 1)], np.int64)
-#: Candidates to ascend for: this factor times the number of vectors to the power at which the planes of an angle of 60
-#: degrees thin out their candidates, and at least so many.
+#: Candidates to ascend for: this factor times the number of vectors to the power at which the planes of an
+#: angle of 60 degrees thin out their candidates, and at least so many.
 CANDIDATES, POWER, LEAST = 36, 0.6, 4000
-#: Sorted rows of one task, without and with vectors.
-THIN_ROWS, FULL_ROWS = 400_000, 60_000
-#: Nearest by 16-bit components that each tree passes on, and that are computed exactly.
-SHORT_LIST = 24
+#: Rows of a tree in one range, and the sampled rows for each range that the borders are taken from.
+RANGE_ROWS, SAMPLED = 20_000, 16
 
 
 def candidates_for(n: int) -> int:
@@ -75,95 +74,189 @@ def hashed(vectors: DataFrame, dim: int, seed: int = 23) -> DataFrame:
     return vectors.select("node", "asked", "vec").mapInArrow(run, f"node long, asked boolean, vec {kind}, strings array<long>")
 
 
-def _sorted(rows: DataFrame, count: int, each: int) -> DataFrame:
-    """Rows dealt out by ranges of ``tree, string`` and sorted. Equal strings can be in two ranges."""
-    return rows.repartitionByRange(max(1, math.ceil(count / each)), "tree", "string", "node").sortWithinPartitions("tree", "string", "node")
+class Ranges(NamedTuple):
+    """Each tree in sorted order, cut into ranges. Equal strings can be in several, by a tie-break of each tree's own."""
 
+    strings: np.ndarray
+    ties: np.ndarray
+    #: Rows of the tree before each range.
+    before: np.ndarray
 
-def _runs(strings: np.ndarray, asked: np.ndarray, depth) -> tuple[np.ndarray, np.ndarray]:
-    """For asked strings the range of sorted strings that share their first ``depth`` bits."""
+    def home(self, tree: int, strings: np.ndarray, ties: np.ndarray) -> np.ndarray:
+        """The range of each row."""
+        low, high = self.reach(tree, strings, strings)
+        for a, b in {*zip(low[low < high].tolist(), high[low < high].tolist())}:
+            same = (low == a) & (high == b)
+            low[same] = a + np.searchsorted(self.ties[tree, a:b], ties[same], side="right")
+        return low
+
+    def reach(self, tree: int, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last range that can hold strings from ``low`` to ``high``."""
+        return np.searchsorted(self.strings[tree], low), np.searchsorted(self.strings[tree], high, side="right")
+
+
+def _ties(nodes: np.ndarray) -> np.ndarray:
+    """A number for each node and tree that orders equal strings differently in every tree."""
+    salt = np.arange(1, TREES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = (nodes.astype(np.uint64)[:, None] ^ salt) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return (mixed >> np.uint64(1)).astype(np.int64)
+
+
+def ranges_of(forest: DataFrame, count: int) -> Ranges:
+    """Ranges of about ``RANGE_ROWS`` rows. The driver gets the strings of ``SAMPLED`` vectors and, for every tree, one
+    border and one count a range."""
+    parts = max(1, math.ceil(count / RANGE_ROWS))
+    drawn = forest.where(F.pmod(F.xxhash64("node"), F.lit(count)) < SAMPLED * parts).select("node", "strings").collect() if parts > 1 else []
+    if not drawn:
+        return Ranges(*[np.zeros((TREES, 0), np.int64)] * 2, np.zeros((TREES, 1), np.int64))
+    strings, ties = np.array([r["strings"] for r in drawn], np.int64), _ties(np.array([r["node"] for r in drawn]))
+    cuts = np.arange(1, parts) * len(drawn) // parts
+    order = [np.lexsort((ties[:, k], strings[:, k]))[cuts] for k in range(TREES)]
+    cut = Ranges(np.array([strings[at, k] for k, at in enumerate(order)]), np.array([ties[at, k] for k, at in enumerate(order)]), None)
+
+    def run(batches):
+        n = np.zeros((TREES, parts), np.int64)
+        for batch in batches:
+            string, tie = matrix(batch.column("strings"), np.int64), _ties(batch.column("node").to_numpy())
+            for k in range(TREES if len(string) else 0):
+                n[k] += np.bincount(cut.home(k, string[:, k], tie[:, k]), minlength=parts)
+        yield pa.RecordBatch.from_pydict({"part": np.flatnonzero(n), "n": n[n > 0]})
+
+    before = np.zeros((TREES, parts + 1), np.int64)
+    for r in forest.select("node", "strings").mapInArrow(run, "part long, n long").groupBy("part").agg(F.sum("n").alias("n")).collect():
+        before[r["part"] // parts, r["part"] % parts + 1] = r["n"]
+    return cut._replace(before=np.cumsum(before, axis=1)[:, :-1])
+
+
+def _ends(strings: np.ndarray, depth) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest and the largest string with the same first ``depth`` bits."""
     free = MASKS[BITS - np.asarray(depth)]
-    low = asked & ~free
-    return np.searchsorted(strings, low), np.searchsorted(strings, low + free, side="right")
+    return strings & ~free, strings | free
 
 
-def depths(forest: DataFrame, count: int, wanted: int) -> DataFrame:
-    """``node, depth`` of every asked vector: the greatest depth at which all trees together have ``wanted`` others."""
-    thin = forest.select("node", "asked", F.posexplode("strings").alias("tree", "string"))
+def _dealt(rows: DataFrame, parts: int) -> DataFrame:
+    """Rows of one range of a tree together, in order of their strings."""
+    return rows.repartition(TREES * parts, "part").sortWithinPartitions("part", "string")
+
+
+def _each_range(batches, parts: int):
+    """``tree, range, table`` for whole ranges."""
+    for table in whole_groups(batches, ["part"], 3 * RANGE_ROWS):
+        part = table.column("part").to_numpy()
+        cuts = (np.flatnonzero(part[1:] != part[:-1]) + 1).tolist()
+        for start, end in zip([0, *cuts], [*cuts, len(part)]):
+            if end > start:
+                yield *divmod(int(part[start]), parts), table.slice(start, end - start)
+
+
+def sizes(forest: DataFrame, ranges: Ranges) -> DataFrame:
+    """``node, d0, d1, ...`` of every asked vector: how many others share that many bits with it, in all trees together.
+
+    Such a run starts in one range and ends in one, and these two know how many rows of the tree are before its ends.
+    """
+    parts = ranges.before.shape[1]
+
+    def deal(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                string, node = matrix(part.column("strings"), np.int64), part.column("node").to_numpy()
+                tie, asked = _ties(node), np.flatnonzero(part.column("asked").to_numpy(zero_copy_only=False))
+                for k in range(TREES):
+                    own = string[asked, k]
+                    to = np.stack([r for d in range(BITS + 1) for r in ranges.reach(k, *_ends(own, d))], axis=1)
+                    to.sort(axis=1)
+                    row, col = np.nonzero(np.diff(to, axis=1, prepend=-1))
+                    yield pa.RecordBatch.from_pydict({
+                        "part": k * parts + np.concatenate([ranges.home(k, string[:, k], tie[:, k]), to[row, col]]), "string": np.concatenate([string[:, k], own[row]]),
+                        "node": np.concatenate([node, node[asked][row]]), "asks": np.arange(len(node) + len(row)) >= len(node),
+                    })
 
     def run(batches):
-        for table in whole_groups(batches, ["tree"], THIN_ROWS):
-            tree, string = table.column("tree").to_numpy(), table.column("string").to_numpy()
-            node, asked = table.column("node").to_numpy(), table.column("asked").to_numpy()
-            for k in np.unique(tree).tolist():
-                own = tree == k
-                strings, mine = string[own], string[own & asked]
-                if not len(mine):
-                    continue
-                sizes = np.empty((len(mine), BITS + 1), np.int32)
-                for d in range(BITS + 1):
-                    low, high = _runs(strings, mine, d)
-                    sizes[:, d] = np.minimum(high - low - 1, wanted)
-                bounds = pa.array(np.arange(len(mine) + 1) * (BITS + 1), pa.int32())
-                yield pa.RecordBatch.from_pydict({"node": node[own & asked], "sizes": pa.ListArray.from_arrays(bounds, pa.array(sizes.ravel()))})
-
-    found = _sorted(thin, count * TREES, THIN_ROWS).mapInArrow(run, "node long, sizes array<int>")
-    total = found.groupBy("node").agg(*[F.sum(F.element_at("sizes", d + 1)).alias(f"d{d}") for d in range(BITS + 1)])
+        for tree, at, table in _each_range(batches, parts):
+            string, asks = table.column("string").to_numpy(), table.column("asks").to_numpy()
+            data, mine = string[~asks], string[asks]
+            if not len(mine):
+                continue
+            found, before = np.zeros((len(mine), BITS + 1), np.int64), ranges.before[tree, at]
+            for d in range(BITS + 1):
+                low, high = _ends(mine, d)
+                first, last = ranges.reach(tree, low, high)
+                found[:, d] = np.where(last == at, before + np.searchsorted(data, high, side="right"), 0) - np.where(first == at, before + np.searchsorted(data, low), 0)
+            bounds = pa.array(np.arange(len(mine) + 1) * (BITS + 1), pa.int32())
+            yield pa.RecordBatch.from_pydict({"node": table.column("node").to_numpy()[asks], "sizes": pa.ListArray.from_arrays(bounds, pa.array(found.ravel()))})
+
+    thin = forest.select("node", "asked", "strings").mapInArrow(deal, "part long, string long, node long, asks boolean")
+    found = _dealt(thin, parts).mapInArrow(run, "node long, sizes array<long>")
+    return found.groupBy("node").agg(*[(F.sum(F.element_at("sizes", d + 1)) - TREES).alias(f"d{d}") for d in range(BITS + 1)])
+
+
+def depths(total: DataFrame, wanted: int) -> DataFrame:
+    """``node, depth`` of every asked vector: the greatest depth at which all trees together have ``wanted`` others."""
     depth = F.coalesce(*[F.when(F.col(f"d{d}") >= wanted, F.lit(d)) for d in range(BITS, 0, -1)], F.lit(0))
     return total.select("node", depth.alias("depth"))
 
 
-def short_lists(forest: DataFrame, found: DataFrame, count: int) -> DataFrame:
-    """``node, other``: for each asked vector its nearest candidates by components of 16 bits.
+def short_lists(forest: DataFrame, found: DataFrame, ranges: Ranges, k: int) -> DataFrame:
+    """``node, other``: of each asked vector's candidates all that can be among its ``k`` nearest or be itself.
 
-    A vector travels with every tree as whole numbers of 16 bits and their scale, half its size.
+    A vector travels with every tree as whole numbers of 16 bits and their scale, half its size. A candidate stays if its
+    distance less the rounding error isn't above the ``k + 1``-th smallest distance with its error.
     """
+    parts = ranges.before.shape[1]
 
     def small(batches):
         for batch in batches:
             x = matrix(batch.column("vec"))
-            for at in range(0, len(x), 500):
-                part = batch.slice(at, 500)
-                scale = np.maximum(np.abs(x[at:at + 500]).max(axis=1), 1e-300) / 32767
-                code = np.rint(x[at:at + 500] / scale[:, None]).astype(np.int16)
-                codes = np.repeat(np.array([c.tobytes() for c in code], object), TREES)
-                many = lambda values: np.repeat(np.asarray(values), TREES)
-                yield pa.RecordBatch.from_pydict({
-                    "tree": np.tile(np.arange(TREES, dtype=np.int32), part.num_rows), "string": part.column("strings").flatten(),
-                    "node": many(part.column("node").to_numpy()), "depth": many(part.column("depth").to_numpy()).astype(np.int32),
-                    "code": pa.array(codes, pa.binary()), "scale": many(scale),
-                })
+            for at in range(0, len(x), 2000):
+                part = batch.slice(at, 2000)
+                scale = np.maximum(np.abs(x[at:at + 2000]).max(axis=1), 1e-300) / 32767
+                codes = np.array([c.tobytes() for c in np.rint(x[at:at + 2000] / scale[:, None]).astype(np.int16)], object)
+                string, node, depth = matrix(part.column("strings"), np.int64), part.column("node").to_numpy(), part.column("depth").to_numpy().astype(np.int64)
+                tie, asked = _ties(node), np.flatnonzero(depth >= 0)
+                for tree in range(TREES):
+                    first, last = ranges.reach(tree, *_ends(string[asked, tree], depth[asked]))
+                    times = last - first + 1
+                    row = np.concatenate([np.arange(len(node)), np.repeat(asked, times)])
+                    to = np.repeat(first - np.cumsum(times) + times, times) + np.arange(times.sum())
+                    yield pa.RecordBatch.from_pydict({
+                        "part": tree * parts + np.concatenate([ranges.home(tree, string[:, tree], tie[:, tree]), to]), "string": string[row, tree], "node": node[row],
+                        "depth": np.where(np.arange(len(row)) < len(node), -1, depth[row]).astype(np.int32), "code": pa.array(codes[row], pa.binary()), "scale": scale[row],
+                    })
 
     rows = forest.join(found, "node", "left").withColumn("depth", F.coalesce("depth", F.lit(-1))).drop("asked")
-    rows = rows.mapInArrow(small, "tree int, string long, node long, depth int, code binary, scale double")
+    rows = rows.mapInArrow(small, "part long, string long, node long, depth int, code binary, scale double")
 
     def run(batches):
-        for table in whole_groups(batches, ["tree"], FULL_ROWS):
-            tree, string = table.column("tree").to_numpy(), table.column("string").to_numpy()
-            node, depth = table.column("node").to_numpy(), table.column("depth").to_numpy()
-            if not (depth >= 0).any():
+        for _, _, table in _each_range(batches, parts):
+            string, node, scale = (table.column(c).to_numpy() for c in ("string", "node", "scale"))
+            depth = table.column("depth").to_numpy().astype(np.int64)
+            data, mine = np.flatnonzero(depth < 0), np.flatnonzero(depth >= 0)
+            if not len(mine) or not len(data):
                 continue
             code = np.frombuffer(b"".join(table.column("code").to_pylist()), np.int16).reshape(len(node), -1)
-            x = code.astype(np.float32) * table.column("scale").to_numpy()[:, None].astype(np.float32)
-            for k in np.unique(tree).tolist():
-                first, last = np.searchsorted(tree, k), np.searchsorted(tree, k, side="right")
-                mine = first + np.flatnonzero(depth[first:last] >= 0)
-                lows, highs = _runs(string[first:last], string[mine], depth[mine].astype(np.int64))
-                one, two, far = [], [], []
-                for q, low, high in zip(mine.tolist(), (first + lows).tolist(), (first + highs).tolist()):
-                    away = x[low:high] - x[q]
-                    away = np.einsum("ij,ij->i", away, away)
-                    best = np.argpartition(away, SHORT_LIST)[:SHORT_LIST + 1] if len(away) > SHORT_LIST + 1 else np.arange(len(away))
-                    one.append(np.full(len(best), node[q]))
-                    two.append(node[low + best])
-                    far.append(away[best])
-                if one:
-                    yield pa.RecordBatch.from_pydict({"node": np.concatenate(one), "other": np.concatenate(two), "away": np.concatenate(far).astype(np.float64)})
-
-    pairs = _sorted(rows, count * TREES, FULL_ROWS).mapInArrow(run, "node long, other long, away double")
-    nearest = Window.partitionBy("node").orderBy("away", "other")
-    pairs = pairs.groupBy("node", "other").agg(F.min("away").alias("away")).withColumn("place", F.row_number().over(nearest))
-    return pairs.where(F.col("place") <= SHORT_LIST + 1).select("node", "other")
+            x, others, error = code[data] * scale[data, None], node[data], 0.51 * math.sqrt(code.shape[1]) * scale
+            low, high = _ends(string[mine], depth[mine])
+            lows, highs = np.searchsorted(string[data], low), np.searchsorted(string[data], high, side="right")
+            one, two, near, far = [], [], [], []
+            for q, a, b in zip(mine.tolist(), lows.tolist(), highs.tolist()):
+                away = x[a:b] - code[q] * scale[q]
+                away = np.sqrt(np.einsum("ij,ij->i", away, away))
+                slack = error[data[a:b]] + error[q] + 1e-12 * away
+                most = away + slack
+                kept = np.flatnonzero(away - slack <= np.partition(most, k)[k]) if len(away) > k + 1 else np.arange(len(away))
+                one.append(np.full(len(kept), node[q]))
+                two.append(others[a:b][kept])
+                near.append((away - slack)[kept])
+                far.append(most[kept])
+            yield pa.RecordBatch.from_pydict({"node": np.concatenate(one), "other": np.concatenate(two), "least": np.concatenate(near), "most": np.concatenate(far)})
+
+    pairs = _dealt(rows, parts).mapInArrow(run, "node long, other long, least double, most double")
+    pairs = pairs.groupBy("node", "other").agg(F.min("least").alias("least"), F.min("most").alias("most"))
+    pairs = pairs.withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy("most", "other")))
+    bar = F.max(F.when(F.col("place") <= k + 1, F.col("most"))).over(Window.partitionBy("node"))
+    return pairs.withColumn("bar", bar).where(F.col("least") <= F.col("bar")).select("node", "other")
 
 
 def search(embeddings: DataFrame, is_query, *, k: int = 10, key: str = "vec_id", vector: str = "embedding", candidates: int | None = None) -> DataFrame:
@@ -186,8 +279,10 @@ def search(embeddings: DataFrame, is_query, *, k: int = 10, key: str = "vec_id",
     vectors = stage(nodes.select("node", "vec").join(flags, "node", "left").withColumn("asked", F.coalesce("asked", F.lit(False))), "ann-vectors")
     count = vectors.count()
     forest = stage(hashed(vectors, dim), "ann-forest")
-    found = stage(depths(forest, count, candidates or candidates_for(count)), "ann-depths")
-    pairs = stage(short_lists(forest, found, count), "ann-pairs")
+    ranges = ranges_of(forest, count)
+    total = stage(sizes(forest, ranges), "ann-sizes")
+    wanted = candidates or candidates_for(count)
+    pairs = stage(short_lists(forest, depths(total, wanted), ranges, k), "ann-pairs")
     near = pairs.join(nodes.select(F.col("node").alias("other"), F.col("vec").alias("b"), "ids"), "other").join(nodes.select("node", F.col("vec").alias("a")), "node")
     squares = F.aggregate(F.zip_with("a", "b", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
     near = near.select("node", F.sqrt(squares).alias("score"), F.explode("ids").alias("id"))

@@ -104,3 +104,22 @@ def test_fewer_than_asked_for(spark):
     df = table(spark).where("vec_id < 4")
     rows = ann.search(df, F.col("vec_id") == 0).collect()
     assert sorted((r["rank"], r.query_id) for r in rows) == [(1, 0), (2, 0), (3, 0)]
+
+
+def recall(spark, x, each, k=10):
+    """Share of the true nearest of every ``each``-th vector that the forest finds."""
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got: dict = {}
+    for r in ann.search(df, F.col("vec_id") % each == 0, k=k).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = [len(got[i] & set(np.argsort(np.where(np.arange(len(x)) == i, np.inf, ((x - x[i]) ** 2).sum(axis=1)))[:k].tolist())) for i in range(0, len(x), each)]
+    return sum(hits) / (k * len(hits))
+
+
+def test_runs_go_on_in_other_ranges(spark, monkeypatch):
+    """Near copies with equal strings in all trees, more than a range holds, further apart than 24 and than a border."""
+    for name in ("RANGE_ROWS", "THIN_ROWS", "FULL_ROWS"):
+        monkeypatch.setattr(ann, name, 100, raising=False)
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.standard_normal((600, 24)), 3 + 1e-7 * rng.standard_normal((900, 24))])
+    assert recall(spark, x, 50) == 1
