@@ -3,7 +3,8 @@
 Every tree gives each vector a string of 63 hash bits, the sides of random planes it is on; a tree is its strings in
 sorted order, dealt out over tasks by ranges. A query descends to the longest prefix it shares with others. Then all
 trees ascend together, one bit at a time, until the vectors that share a prefix of that depth in some tree are enough;
-all of these, and no others, are candidates. A query goes to every range that its prefix reaches into.
+all of these, and no others, are candidates. How many are enough is measured: the nearest of some queries, found by
+brute force, must be among their candidates. A query goes to every range that its prefix reaches into.
 """
 
 from __future__ import annotations
@@ -22,9 +23,11 @@ from feedloom.session import stage
 TREES, BITS = 40, 63
 #: Numbers of 0 to 63 bits that are all ones.
 MASKS = np.array([(1 << bits) - 1 for bits in range(BITS + 1)], np.int64)
-#: Candidates to ascend for: this factor times the number of vectors to the power at which the planes of an
+#: Candidates to ascend for, at least: this factor times the number of vectors to the power at which the planes of an
 #: angle of 60 degrees thin out their candidates, and at least so many.
 CANDIDATES, POWER, LEAST = 36, 0.6, 4000
+#: Queries whose nearest are found by brute force, and the share of these that must be among the candidates.
+SAMPLE, RECALL = 128, 0.95
 #: Rows of a tree in one range, and the sampled rows for each range that the borders are taken from.
 RANGE_ROWS, SAMPLED = 20_000, 16
 
@@ -192,6 +195,46 @@ def sizes(forest: DataFrame, ranges: Ranges) -> DataFrame:
     return found.groupBy("node").agg(*[(F.sum(F.element_at("sizes", d + 1)) - TREES).alias(f"d{d}") for d in range(BITS + 1)])
 
 
+def nearest_of_some(vectors: DataFrame, k: int) -> list:
+    """``node, other``: by brute force the nearest vectors of at most ``SAMPLE`` asked ones."""
+    asked = vectors.where("asked").orderBy(F.xxhash64("node")).limit(SAMPLE).select("node", "vec").collect()
+    if not asked:
+        return []
+    ids, points = np.array([r["node"] for r in asked]), np.array([r["vec"] for r in asked], float)
+
+    def run(batches):
+        away, who = np.full((len(ids), k), np.inf), np.full((len(ids), k), -1)
+        for batch in batches:
+            x, node = matrix(batch.column("vec")), batch.column("node").to_numpy()
+            for at in range(0, len(x), 2000):
+                part, own = x[at:at + 2000], node[at:at + 2000]
+                far = (points ** 2).sum(axis=1)[:, None] + (part ** 2).sum(axis=1) - 2 * points @ part.T
+                far[ids[:, None] == own] = np.inf
+                away, who = np.concatenate([away, far], axis=1), np.concatenate([who, np.broadcast_to(own, far.shape)], axis=1)
+                best = np.argpartition(away, k - 1, axis=1)[:, :k]
+                away, who = np.take_along_axis(away, best, axis=1), np.take_along_axis(who, best, axis=1)
+        real = np.isfinite(away)
+        yield pa.RecordBatch.from_pydict({"node": np.repeat(ids, k)[real.ravel()], "other": who[real], "away": away[real]})
+
+    found = vectors.select("node", "vec").mapInArrow(run, "node long, other long, away double")
+    place = F.row_number().over(Window.partitionBy("node").orderBy("away", "other"))
+    return found.withColumn("place", place).where(F.col("place") <= k).select("node", "other").collect()
+
+
+def candidates_needed(vectors: DataFrame, forest: DataFrame, total: DataFrame, k: int) -> int:
+    """Candidates to ascend for so that the share ``RECALL`` of the nearest of some queries is among them."""
+    pairs = nearest_of_some(vectors, k)
+    if not pairs:
+        return 0
+    ids = vectors.sparkSession.createDataFrame([(n,) for n in {n for r in pairs for n in r}], "node long")
+    strings = {r["node"]: np.array(r["strings"]) for r in forest.join(F.broadcast(ids), "node").select("node", "strings").collect()}
+    counts = {r["node"]: [*r[1:], 0] for r in total.join(F.broadcast(ids), "node").select("node", *[f"d{d}" for d in range(BITS + 1)]).collect()}
+    # A pair that shares d bits in some tree is found unless d + 1 bits, or more, give candidates enough.
+    shared = ((q, BITS - int((strings[q] ^ strings[o]).min()).bit_length()) for q, o in pairs)
+    need = sorted(counts[q][d + 1] + 1 for q, d in shared)
+    return need[math.ceil(RECALL * len(need)) - 1]
+
+
 def depths(total: DataFrame, wanted: int) -> DataFrame:
     """``node, depth`` of every asked vector: the greatest depth at which all trees together have ``wanted`` others."""
     depth = F.coalesce(*[F.when(F.col(f"d{d}") >= wanted, F.lit(d)) for d in range(BITS, 0, -1)], F.lit(0))
@@ -281,7 +324,7 @@ def search(embeddings: DataFrame, is_query, *, k: int = 10, key: str = "vec_id",
     forest = stage(hashed(vectors, dim), "ann-forest")
     ranges = ranges_of(forest, count)
     total = stage(sizes(forest, ranges), "ann-sizes")
-    wanted = candidates or candidates_for(count)
+    wanted = candidates or max(candidates_for(count), candidates_needed(vectors, forest, total, k))
     pairs = stage(short_lists(forest, depths(total, wanted), ranges, k), "ann-pairs")
     near = pairs.join(nodes.select(F.col("node").alias("other"), F.col("vec").alias("b"), "ids"), "other").join(nodes.select("node", F.col("vec").alias("a")), "node")
     squares = F.aggregate(F.zip_with("a", "b", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)

@@ -116,6 +116,19 @@ def recall(spark, x, each, k=10):
     return sum(hits) / (k * len(hits))
 
 
+def test_candidates_follow_the_measured_recall(spark, monkeypatch):
+    """With a formula that asks for far too few, candidates are as many as the sampled queries need."""
+    monkeypatch.setattr(ann, "LEAST", 20)
+    monkeypatch.setattr(ann, "CANDIDATES", 0.1)
+    asked, plain = [], getattr(ann, "candidates_needed", None)
+    monkeypatch.setattr(ann, "candidates_needed", lambda *a: asked.append(plain(*a)) or asked[-1], raising=False)
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((150, 24))
+    x = np.repeat(centres, 40, axis=0) + 0.3 * rng.standard_normal((6000, 24))
+    assert recall(spark, x, 60) >= 0.9
+    assert 20 < asked[0] < 0.5 * len(x)
+
+
 def test_runs_go_on_in_other_ranges(spark, monkeypatch):
     """Near copies with equal strings in all trees, more than a range holds, further apart than 24 and than a border."""
     for name in ("RANGE_ROWS", "THIN_ROWS", "FULL_ROWS"):
