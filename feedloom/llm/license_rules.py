@@ -216,7 +216,8 @@ HAND_WRITTEN = [
     ("openrail", "name", "openrail", r"(creativeml |bigscience |bigcode )?openrail( m)?( license)?"),
     ("proprietary", "notice", "all rights reserved", r"all rights reserved"),
     ("proprietary", "notice", "confidential", r"(proprietary and confidential|confidential and proprietary)"),
-    ("proprietary", "notice", "unauthorized", r"unauthori[sz]ed (copying|use|reproduction|distribution)( or distribution)? of this (file|software|program|document)"),
+    ("proprietary", "notice", "unauthorized", r"unauthorized (copying|use|reproduction|distribution)( or distribution)? of this (file|software|program|document)"),
+    ("proprietary", "notice", "unauthorised", r"unauthorised (copying|use|reproduction|distribution)( or distribution)? of this (file|software|program|document)"),
     ("proprietary", "notice", "license agreement", r"end user license agreement"),
     ("proprietary", "mention", "eula", r"eula"),
     ("proprietary", "notice", "written permission", r"without (the )?(express |prior )*written permission"),
@@ -228,11 +229,11 @@ HAND_WRITTEN = [
     ("free-unclear", "mention", "freeware", r"freeware"),
     ("free-unclear", "mention", "shareware", r"shareware"),
     ("free-unclear", "mention", "freely", r"(may be )?freely (distributed|redistributed|distributable|redistributable|used)"),
-    ("unspecified", "mention", "see license", r"see (the )?license( file)?( for details)?"),
+    ("unspecified", "mention", "license", r"see (the )?license( file)?( for details)?"),
     ("unspecified", "mention", "licensed under", r"licensed under the same (terms|license)"),
     ("unspecified", "mention", "copyright", r"see (the )?copyright (file|notice)( for details)?"),
     # Creative Commons
-    ("cc0-1", "text", "no copyright", r"has waived all copyright and related or neighboring rights"),
+    ("cc0-1", "text", "neighboring rights", r"has waived all copyright and related or neighboring rights"),
     ("cc0-1", "name", "cc0", r"cc0( license)?( 1 0)?( universal)?"),
     ("cc0-1", "name", "cc zero", r"cc zero"),
     ("cc0-1", "name", "creative commons", r"creative commons (zero|0)( v1 0)?( universal)?"),

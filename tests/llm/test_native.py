@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 
 import pytest
 
@@ -135,3 +136,43 @@ def test_no_pages(spark, pages):
 def test_small_payloads_are_no_revisits(pages):
     rows = warc.plan_records(pages.where("page_id < 5"), key="page_id", uri="url", text="html", least_bytes=9).collect()
     assert {r.record_type for r in rows if r.payload_bytes < 9} == {"response"} and any(r.record_type == "revisit" for r in rows)
+
+
+def matches_of(parsed):
+    """Texts that a parsed pattern matches: every branch, repeats at their least and most (or twice), sets of characters in full."""
+    import itertools
+
+    kinds = re._constants
+    parts = []
+    for op, arg in parsed:
+        if op is kinds.LITERAL:
+            parts.append([chr(arg)])
+        elif op is kinds.IN:
+            parts.append([chr(c) for kind, at in arg for c in ([at] if kind is kinds.LITERAL else range(at[0], at[1] + 1))])
+        elif op is kinds.BRANCH:
+            parts.append([x for branch in arg[1] for x in matches_of(branch)])
+        elif op is kinds.SUBPATTERN:
+            parts.append(matches_of(arg[-1]))
+        else:
+            assert op is kinds.MAX_REPEAT, op
+            parts.append([x * n for n in sorted({arg[0], min(arg[1], 2)}) for x in matches_of(arg[2])])
+    return ["".join(x) for x in itertools.product(*parts)]
+
+
+def test_keyword_is_in_every_match():
+    spaced = license_rules.spaced
+    for r in license_rules.rules():
+        for text in matches_of(re._parser.parse(r.pattern)):
+            assert re.fullmatch(r.pattern, text) and spaced(r.keyword) in spaced(text), (r, text)
+
+
+@pytest.mark.parametrize("text, label, score", [
+    ("See the LICENSE file for details.", "unspecified", 0.5),
+    ("see license", "unspecified", 0.5),
+    ("Unauthorised copying of this file", "proprietary", 0.9),
+    ("unauthorized use or distribution of this program", "proprietary", 0.9),
+    ("has waived all copyright and related or neighboring rights", "cc0-1", 1.0),
+])
+def test_labels_of_every_spelling(spark, text, label, score):
+    rows = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert [(r.labels, r.score) for r in rows] == [([label], score)]
