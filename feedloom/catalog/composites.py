@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from feedloom.catalog.base import (
@@ -229,6 +230,33 @@ def _(spark, sf):
     return curation.ad_hoc(spark, frames(spark, sf), AS_OF, options)["items"].select("ord", "title")
 
 
+def save_arrays(items, folder):
+    """Write items into the folder as files of one array each."""
+    def run(batches):
+        before = "["
+        for batch in batches:
+            for line in batch.column("value").to_pylist():
+                yield pa.RecordBatch.from_pydict({"value": [before + line]})
+                before = ","
+        yield pa.RecordBatch.from_pydict({"value": ["]" if before == "," else "[]"]})
+
+    lines = items.select(F.to_json(F.struct("*")).alias("value")).repartition(4)
+    lines.mapInArrow(run, "value string").write.mode("append").text(folder)
+
+
+@add("c05_ad_hoc_loaded", with_items(
+    f"""SELECT ord, title FROM (SELECT * REPLACE (row_number() OVER (ORDER BY ord) - 1 AS ord) FROM items)
+        WHERE category = 'view' AND published_ts >= {AS_OF_SQL} - INTERVAL 7 DAY
+        AND (contains(lower(title), 'llm') OR contains(lower(coalesce(summary, '')), 'llm'))"""))
+def _(spark, sf):
+    """All items, from a folder of line-delimited files and of arrays."""
+    folder, items = stage_path(spark, "mixed"), conform(dated_items(spark, sf))
+    items.filter("ord % 2 = 0").write.json(folder)
+    save_arrays(items.filter("ord % 2 = 1"), folder)
+    options = curation.Options(category="view", search="LLM", load=folder)
+    return curation.ad_hoc(spark, {}, AS_OF, options)["items"].select("ord", "title")
+
+
 @add("c05_ad_hoc_digest", with_items(
     HTML_PAGE, GATHERED, f"wanted AS (SELECT * FROM gathered WHERE published_ts >= {AS_OF_SQL} - INTERVAL 7 DAY)",
     html_rows_sql("wanted"), HTML_SECTIONS))

@@ -488,12 +488,12 @@ def dedup_report(items: DataFrame, dropped: DataFrame) -> DataFrame:
 def dedup_job(spark: SparkSession, source: str, target: str, as_of, multi_line: bool | None = None, **options) -> DataFrame:
     """Read JSON items, deduplicate, write JSON to ``target``; returns the report.
 
-    Items need no ``ord`` and no ``published_ts``. The target must lie outside the source, which is never changed.
+    Items need no ``ord`` and no ``published_ts``. A record that can't be read is an error. The target must lie outside the source, which is never changed.
     """
     inside = (absolute_path(spark, source) + "/", absolute_path(spark, target) + "/")
     if inside[0].startswith(inside[1]) or inside[1].startswith(inside[0]):
         raise ValueError(f"source and target are the same or nested: {source}, {target}")
-    items = stage(with_published_ts(load_ordered_items(spark, source, multi_line)), "dedup-items")
+    items = stage(with_published_ts(load_ordered_items(spark, source, multi_line, refuse=True)), "dedup-items")
     dropped = stage(dropped_rows(items, as_of, **{"reasons": False, **options}), "dropped")
     items.join(dropped.select("ord"), "ord", "left_anti").write.mode("overwrite").json(target)
     return dedup_report(items, dropped)

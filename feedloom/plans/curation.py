@@ -68,8 +68,9 @@ def curate(frames: dict[str, DataFrame], as_of, options: Options = Options(), pr
 def ad_hoc(
     spark: SparkSession, frames: dict[str, DataFrame], as_of, options: Options = Options()
 ) -> dict[str, DataFrame]:
-    """Query run: union or load, category, recency, search, save, digest, preview; no deduplication."""
-    found = with_published_ts(load_ordered_items(spark, options.load)) if options.load else _gather(frames, options.sources)
+    """Query run: union or load, category, recency, search, save, digest, preview; no deduplication. A record that
+    can't be read is an error."""
+    found = with_published_ts(load_ordered_items(spark, options.load, refuse=True)) if options.load else _gather(frames, options.sources)
     found = recent(_category(found, options.category), as_of, options.days)
     if options.search:
         found = search(found, options.search)

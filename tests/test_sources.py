@@ -163,6 +163,26 @@ def test_load_items(spark, tmp_path):
     assert storage.load_items(spark, str(tmp_path / "bad.json")).count() == 0
 
 
+def test_folder_of_both_layouts(spark, tmp_path):
+    """Line-delimited files, arrays and indented objects in one folder, with blanks in their names."""
+    folder = tmp_path / "in put"
+    folder.mkdir()
+    (folder / "a b.json").write_text('\n {"ord": 0, "title": "a"}\n{"ord": 1, "title": "b"}\n')
+    (folder / "b.json").write_text(json.dumps([{"ord": 2, "title": "c"}, {"ord": 3, "title": "d"}], indent=1))
+    (folder / "c%20d.json").write_text(json.dumps({"ord": 4, "title": "e"}, indent=1))
+    (folder / "d.json").write_text("\n\n")
+    (folder / "e[1].json").write_text('[{"title": "f"}]')
+    assert sorted(r.title for r in storage.load_items(spark, str(folder)).collect()) == list("abcdef")
+    assert [(r.ord, r.title) for r in storage.load_ordered_items(spark, str(folder)).orderBy("ord").collect()] == list(enumerate("abcdef"))
+    assert dedup_job(spark, str(folder), str(tmp_path / "out"), AS_OF).first().input_count == 6
+    (folder / "f.json").write_text('{"ord": 6, "title": "g"}\n{broken\n')
+    assert storage.load_items(spark, str(folder)).count() == 7
+    with pytest.raises(Exception, match="unreadable record in .*f.json"):
+        dedup_job(spark, str(folder), str(tmp_path / "other"), AS_OF)
+    with pytest.raises(Exception, match="unreadable record in .*f.json"):
+        curation.ad_hoc(spark, {}, AS_OF, curation.Options(load=str(folder)))["items"].collect()
+
+
 def test_stage_and_dedup_job(spark, tmp_path):
     source, target = str(tmp_path / "in.json"), str(tmp_path / "out")
     (tmp_path / "in.json").write_text(json.dumps([
