@@ -33,3 +33,53 @@ filled AS (SELECT *, CASE WHEN rate > whole AND NOT fits AND size < 2 * gap THEN
   ORDER BY CASE WHEN rate > whole AND NOT fits AND size < 2 * gap THEN 0 ELSE 1 END, abs(size - gap), rank_odds, doc_id) END AS fill FROM gaps)
 SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN fits OR coalesce(fill, 0) = 1 THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM filled
 """
+
+# Pieces by slicing lists of units, where the operator permutes descriptors.
+FILL_IN_MIDDLE_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+units AS (SELECT *, regexp_extract_all(t, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS u,
+  [CAST('0x' || substr(x, 1 + 8 * k, 8) AS BIGINT) FOR k IN range(4)] AS h FROM d),
+drawn AS (SELECT *, len(u) AS n, least(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS a, greatest(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 50 THEN 'plain'
+    WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM units),
+parts AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:n], '') AS s FROM drawn)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM parts
+"""
+
+# Trusted are all labelled documents; the operator takes at most 16,000 of them, more than sf0.01 and sf0.1 have.
+QUALITY_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS trusted FROM documents),
+w AS (SELECT r, unnest(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+')) AS w, generate_subscripts(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+'), 1) AS i FROM d),
+spans AS (SELECT r, i, w, CASE WHEN lead(i, 4) OVER o IS NOT NULL THEN w || ' ' || lead(w) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o || ' ' || lead(w, 4) OVER o END AS g
+  FROM w WINDOW o AS (PARTITION BY r ORDER BY i)),
+twice AS (SELECT r, i, w, CASE WHEN g IS NOT NULL AND count(*) OVER (PARTITION BY r, g) > 1 THEN 1 ELSE 0 END AS again FROM spans),
+covered AS (SELECT r, w, max(again) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS c FROM twice),
+words AS (SELECT r, count(*) AS n_words, sum(length(w)) AS word_chars, sum(c) AS n_repeat_words FROM covered GROUP BY r),
+lines AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d)
+  WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY r),
+tokens AS (SELECT r, trusted, [CAST('0x' || substr(md5(x), 1, 8) AS BIGINT) FOR x IN
+  regexp_extract_all(t, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+|[\\x21-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7E]+')] AS h FROM d),
+grams AS (SELECT r, trusted, unnest(list_concat([x % 16384 FOR x IN h], [(h[k] * 31 + h[k + 1] + 7) % 16384 FOR k IN range(1, len(h))])) AS b FROM tokens),
+counted AS (SELECT b, count(*) AS raw, count(*) FILTER (WHERE trusted) AS trusted FROM grams GROUP BY b),
+buckets AS (SELECT k AS b, coalesce(raw, 0) AS raw, coalesce(trusted, 0) AS trusted FROM range(16384) x(k) LEFT JOIN counted ON b = k),
+sums AS (SELECT b, raw, trusted, CAST(sum(raw) OVER () AS DOUBLE) AS all_raw, CAST(sum(trusted) OVER () AS DOUBLE) AS all_trusted FROM buckets),
+spread AS (SELECT r, b, trusted AS mine, count(*) AS times, sum(count(*)) OVER (PARTITION BY r) AS n FROM grams GROUP BY r, b, trusted),
+weights AS (SELECT r, times, CASE WHEN all_trusted > 0 THEN CAST(round(1000 * (
+    ln((trusted - CASE WHEN mine THEN times ELSE 0 END + 1) / (all_trusted - CASE WHEN mine THEN n ELSE 0 END + 16384))
+    - ln((raw + 1) / (all_raw + 16384)))) AS BIGINT) ELSE 0 END AS weight FROM spread JOIN sums USING (b)),
+totals AS (SELECT r, sum(times) AS n_grams, sum(times * weight) AS total FROM weights GROUP BY r),
+scored AS (SELECT doc_id, trusted, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
+  CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(n_grams, 0) AS BIGINT) AS n_grams, CAST(coalesce(total, 0) AS BIGINT) AS total,
+  CASE WHEN n_grams > 0 THEN CAST(total AS BIGINT) / (n_grams * 1000.0::DOUBLE) ELSE 0.0::DOUBLE END AS score,
+  CASE WHEN n_grams > 0 THEN floor(CAST(total AS DOUBLE) / n_grams) ELSE 0 END AS thousandths
+  FROM d LEFT JOIN words USING (r) LEFT JOIN lines USING (r) LEFT JOIN totals USING (r)),
+failed AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM scored),
+least AS (SELECT list_sort(list(thousandths) FILTER (WHERE trusted))[CAST(count(*) FILTER (WHERE trusted) // 500 + 1 AS BIGINT)] AS threshold FROM scored)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_grams, total, score, base_failed,
+  NOT base_failed AND thousandths >= coalesce(threshold, -1e9) AS kept FROM failed, least
+"""

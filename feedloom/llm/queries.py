@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from feedloom.catalog.base import Registry
-from feedloom.llm import ann, bpe, embed_dedup, langid, licenses, lm, mixing, simhash, toxicity, warc
+from feedloom.llm import ann, bpe, embed_dedup, langid, licenses, lm, mixing, piece_table, quality, runs, simhash, toxicity, warc
 from feedloom.llm.common import bounded_batches, table
-from feedloom.llm.oracles import MIXING_SQL, WARC_SQL
+from feedloom.llm.oracles import FILL_IN_MIDDLE_SQL, MIXING_SQL, QUALITY_SQL, WARC_SQL
 from feedloom.session import stage_path
 
 REGISTRY = Registry()
@@ -86,3 +88,41 @@ def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     return langid.fit_and_predict(table(spark, sf_dir, "documents"))
+
+
+def repeat_tail(doc_id: str, words: list[bytes]) -> list[bytes]:
+    """The words of one document in ten with everything from some word on made periodic; the others as they are."""
+    h, n = zlib.crc32(doc_id.encode()), len(words)
+    if h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    period = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % period] for i in range(n - a)]
+
+
+@REGISTRY.add("op11_periodic_runs")
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = runs.find_runs(docs, key="doc_id", rewrite=repeat_tail).withColumn("best", runs.strongest(F.col("runs")))
+    line = lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@REGISTRY.add("op12_fill_in_middle", FILL_IN_MIDDLE_SQL)
+def fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    arranged = piece_table.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    restored = piece_table.restore(arranged.drop("pieces"))
+    return restored.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+@REGISTRY.add("op13_quality_rules", QUALITY_SQL)
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    return quality.fit_and_judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

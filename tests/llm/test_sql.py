@@ -13,8 +13,8 @@ QUERIES, ORACLES = load()
 
 def test_names():
     numbers = sorted(int(name[2:].split("_")[0]) for name in QUERIES)
-    assert numbers == list(range(1, 11))
-    assert sorted(ORACLES) == ["op6_license_scan", "op7_warc", "op9_mix_sources"]
+    assert numbers == list(range(1, 14))
+    assert sorted(ORACLES) == ["op12_fill_in_middle", "op13_quality_rules", "op6_license_scan", "op7_warc", "op9_mix_sources"]
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
