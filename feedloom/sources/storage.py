@@ -2,48 +2,23 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from feedloom.operators.ranking import dense_positions
 from feedloom.schema import ITEM
-from feedloom.session import absolute_path, path_exists
-
-
-def _layouts(spark: SparkSession, path: str) -> DataFrame:
-    """``file, whole`` for each file with text: whether its first line with text is no JSON object of its own, as in
-    arrays and indented objects."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
-    lines = lines.filter(F.col("value").rlike(r"\S")).withColumn("place", F.monotonically_increasing_id())
-    line = F.trim(F.min(F.struct("start", "place", "value"))["value"], F.lit(" \t\r\ufeff"))
-    own = line.startswith("{") & line.endswith("}") & F.get_json_object(line, "$").isNotNull()
-    return lines.groupBy("file").agg((~own).alias("whole"))
-
-
-def _plain(spark: SparkSession, uri: str) -> str:
-    """The path of a file's URI, with the characters that readers take for patterns escaped."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(uri)).toString()
-    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
+from feedloom.session import path_exists
+from feedloom.sources.json_records import json_records
 
 
 def _records(spark: SparkSession, path: str, multi_line: bool | None) -> DataFrame:
-    """Items with ``_bad``, the text of a record that can't be read, and ``_file`` and ``_start``, where it is."""
+    """Items with ``_bad``, the text of a record that can't be read, and ``_file``, ``_start`` and ``_place``, where it is."""
+    if multi_line is None:
+        return json_records(spark, path, ITEM, "_bad")
     schema = T.StructType([*ITEM.fields, T.StructField("_bad", T.StringType())])
-
-    def read(whole: bool, files: list[str] | None = None) -> DataFrame:
-        reader = spark.read.schema(schema).option("multiLine", whole).option("columnNameOfCorruptRecord", "_bad")
-        rows = reader.json(path) if files is None else reader.option("basePath", absolute_path(spark, path)).json(files)
-        return rows.withColumns({"_file": F.col("_metadata.file_path"), "_start": F.col("_metadata.file_block_start")})
-
-    if multi_line is not None:
-        return read(multi_line)
-    files: dict[bool, list[str]] = {}
-    for r in _layouts(spark, path).collect():
-        files.setdefault(r["whole"], []).append(_plain(spark, r["file"]))
-    if len(files) < 2:
-        return read(True in files)
-    return read(True, files[True]).unionByName(read(False, files[False]))
+    rows = spark.read.schema(schema).option("multiLine", multi_line).option("columnNameOfCorruptRecord", "_bad").json(path)
+    return rows.withColumns({
+        "_file": F.col("_metadata.file_path"), "_start": F.col("_metadata.file_block_start"), "_place": F.monotonically_increasing_id()
+    })
 
 
 # Spark refuses a query that needs no column but the one of bad records, so the test names another one too.
@@ -53,17 +28,17 @@ READABLE = "CASE WHEN _bad IS NOT NULL THEN false ELSE ord IS NULL OR ord >= -46
 def load_items(spark: SparkSession, path: str, multi_line: bool | None = None, bad: Observation | None = None) -> DataFrame:
     """JSON items; a missing path gives no rows.
 
-    Unless ``multi_line`` says so, the layout of each file is found from its first line: files of one array or one
-    indented object each are read by a task each, line-delimited files, as ``save_items`` writes them, are split between
-    tasks. A folder may hold both. Records that can't be read are left out and, with ``bad``, counted as ``bad_records``
-    while the rows are used.
+    Files may have any layout, also in one folder: an object a line, as ``save_items`` writes them, arrays, indented
+    objects. All are split between tasks and read once, when this is called (see ``json_records``); with ``multi_line`` Spark's
+    own reader is told the layout and reads when the rows are used. Records that can't be read are left out and, with
+    ``bad``, counted as ``bad_records`` while the rows are used. A damaged record costs no other.
     """
     if not path_exists(spark, path):
         return spark.createDataFrame([], ITEM)
     rows = _records(spark, path, multi_line)
     if bad is not None:
         rows = rows.observe(bad, F.count_if(F.col("_bad").isNotNull()).alias("bad_records"))
-    return rows.filter(READABLE).drop("_bad", "_file", "_start")
+    return rows.filter(READABLE).drop("_bad", "_file", "_start", "_place")
 
 
 def load_ordered_items(spark: SparkSession, path: str, multi_line: bool | None = None, refuse: bool = False) -> DataFrame:
@@ -79,7 +54,7 @@ def load_ordered_items(spark: SparkSession, path: str, multi_line: bool | None =
         items = items.filter(F.when(F.col("_bad").isNotNull(), error).otherwise(F.expr(READABLE)))
     else:
         items = items.filter(READABLE)
-    placed = items.drop("_bad").withColumns({"_no_ord": F.col("ord").isNull(), "_place": F.monotonically_increasing_id()})
+    placed = items.drop("_bad").withColumns({"_no_ord": F.col("ord").isNull()})
     numbered = dense_positions(placed, ["_no_ord", "ord", "_file", "_start", "_place"], "_pos")
     return numbered.withColumn("ord", F.col("_pos")).select(*ITEM.fieldNames())
 
