@@ -44,6 +44,14 @@ def ratio_bound(later_length: Column, kept_length: Column) -> Column:
     return F.when(shorter > 0, 2.0 * shorter / (later_length + kept_length)).otherwise(0.0)
 
 
+def character_bound(later: Column, kept: Column) -> Column:
+    """Upper bound of the ratio from the characters that both texts have, repeats counted; zero when a side is empty."""
+    times = lambda text, c: F.length(text) - F.length(F.replace(text, c, F.lit("")))
+    characters = F.array_distinct(F.regexp_extract_all(later, F.lit("(?s)."), F.lit(0)))
+    both = F.aggregate(characters, F.lit(0), lambda total, c: total + F.least(times(later, c), times(kept, c)))
+    return F.when((later != "") & (kept != ""), 2.0 * both / (F.length(later) + F.length(kept))).otherwise(0.0)
+
+
 def similarity_ratio(later, kept) -> Column:
     """Similarity of two texts after lower-casing, from 0 to 1."""
 

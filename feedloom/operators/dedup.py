@@ -18,9 +18,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F, types as T
 
 from feedloom.clock import instant
-from feedloom.functions.similarity import duplicate_verdict, is_duplicate, ratio_bound, similarity_ratio
+from feedloom.functions.similarity import character_bound, duplicate_verdict, is_duplicate, ratio_bound, similarity_ratio
 from feedloom.functions.text import content_words, process_text, strip, text_or_empty
 from feedloom.functions.urls import netloc, normalise_url
+from feedloom.operators.similar import candidate_pairs
 from feedloom.schema import with_published_ts
 from feedloom.session import absolute_path, stage
 from feedloom.sources.storage import load_ordered_items
@@ -331,7 +332,8 @@ def _around(bucket: Column) -> Column:
 
 
 def _meeting_keys(rule, near: bool) -> Column:
-    """Keys under which every similar pair meets: site and summary length, time and title length, title length.
+    """Keys under which every similar pair meets, with the field that is similar and the ratio it needs: site and summary
+    length, time and title length, title length.
 
     ``near`` also lists the neighbouring buckets; one side of a join lists them, the other does not.
     """
@@ -340,42 +342,39 @@ def _meeting_keys(rule, near: bool) -> Column:
     spots = (lambda b: _around(b)) if near else (lambda b: F.array(b))
     time = F.floor(F.col("at") / width)
 
-    def tagged(tag: str, first: Column, buckets: Column) -> Column:
-        return F.transform(buckets, lambda b: F.concat_ws(":", F.lit(tag), first.cast("string"), b.cast("string")))
+    def tagged(tag: str, field: str, needed: float, first: Column, buckets: Column) -> Column:
+        return F.transform(buckets, lambda b: F.struct(
+            F.concat_ws(":", F.lit(tag), first.cast("string"), b.cast("string")).alias("key"),
+            F.lit(field).alias("field"), F.lit(float(needed)).alias("threshold"),
+        ))
 
-    nothing = F.array().cast("array<string>")
+    nothing = F.array().cast("array<struct<key: string, field: string, threshold: double>>")
     title, summary = F.col("title_len"), F.col("summary_len")
-    by_site = tagged("site", F.col("site"), spots(_length_bucket(summary, threshold)))
-    by_time = F.flatten(
-        F.transform(spots(time), lambda t: tagged("time", t, spots(_length_bucket(title, threshold))))
-    )
-    by_title = tagged("title", F.lit(""), spots(_length_bucket(title, alone)))
+    by_site = tagged("site", "summary", threshold, F.col("site"), spots(_length_bucket(summary, threshold)))
+    by_time = F.flatten(F.transform(
+        spots(time), lambda t: tagged("time", "title", threshold, t, spots(_length_bucket(title, threshold)))
+    ))
+    by_title = tagged("title", "title", alone, F.lit(""), spots(_length_bucket(title, alone)))
     return F.concat(
         F.when((F.col("site") != "") & (summary > 0), by_site).otherwise(nothing),
         F.when(title > 0, F.concat(by_time, by_title)).otherwise(nothing),
     )
 
 
-def _outside_matches(items: DataFrame, keys: DataFrame, dropped: DataFrame, as_of, rule) -> DataFrame | None:
-    """Kept rows that the rule drops because of a kept row outside their fingerprint group; None when none.
-
-    Only a row that shares its fingerprint with an earlier kept row is ever compared, and it has been kept
-    although it resembles no kept row of its group. Such rows are rare; all other rows pass them once.
-    """
-    threshold, alone, window_micros = rule
+def _suspects(keys: DataFrame, dropped: DataFrame) -> DataFrame:
+    """Kept rows that share their fingerprint with an earlier kept row."""
     kept = keys.join(dropped.select("ord"), "ord", "left_anti")
     shared = kept.groupBy("fp").agg(
         F.count("*").alias("n"), F.max(F.struct("at", (-F.col("ord")).alias("back"))).alias("head")
     ).filter("n > 1")
-    suspects = stage(kept.join(shared, "fp").filter(F.col("ord") != -F.col("head.back")).select("ord"), "suspects")
-    if suspects.isEmpty():
-        return None
-    # Lengths, sites and times alone leave few pairs; only for these are the texts read.
-    fields = ("ord", "at", "site", "title_len", "summary_len")
-    side = lambda df, s, near: df.select(
-        *[F.col(c).alias(f"{s}_{c}") for c in fields], F.explode(_meeting_keys(rule, near)).alias("key")
-    )
-    # A row without a link is always kept, and others may fall to it.
+    return kept.join(shared, "fp").filter(F.col("ord") != -F.col("head.back"))
+
+
+_PARTNER = ("ord", "at", "site", "title_len", "summary_len")
+
+
+def _partners(items: DataFrame, keys: DataFrame, dropped: DataFrame, as_of) -> DataFrame:
+    """Rows that others may fall to: the kept ones, and those without a link, which are always kept."""
     linkless = items.filter(~_linked()).select(
         "ord",
         F.unix_micros(F.coalesce("published_ts", instant(as_of))).alias("at"),
@@ -383,27 +382,61 @@ def _outside_matches(items: DataFrame, keys: DataFrame, dropped: DataFrame, as_o
         F.length(F.lower(text_or_empty("title"))).alias("title_len"),
         F.length(F.lower(text_or_empty("summary"))).alias("summary_len"),
     )
-    partners = kept.select(*fields).unionByName(linkless)
-    pairs = side(partners, "kept", False).join(side(kept.join(suspects, "ord", "left_semi"), "later", True), "key").filter(
+    return keys.join(dropped.select("ord"), "ord", "left_anti").select(*_PARTNER).unionByName(linkless)
+
+
+def outside_pairs(items: DataFrame, suspects: DataFrame, partners: DataFrame, rule) -> DataFrame:
+    """Pairs of a suspect and an earlier partner whose lengths, sites, times and q-grams leave room for the required
+    ratio; only for these are whole texts compared."""
+    threshold, alone, window_micros = rule
+    keyed = lambda df, near: df.select("ord", F.explode(_meeting_keys(rule, near)).alias("k")).select("ord", "k.*")
+    later, met = keyed(suspects, True), keyed(suspects, True).select("key").distinct()
+    kept = keyed(partners, False).join(met, "key", "left_semi")
+    text = F.lower(F.when(F.col("field") == "title", text_or_empty("title")).otherwise(text_or_empty("summary")))
+    texts = lambda rows: items.select("ord", "title", "summary").join(rows, "ord").select(
+        "ord", "key", "threshold", text.alias("text")
+    )
+    candidates = candidate_pairs(texts(later), texts(kept))
+    side = lambda df, s: df.select(*[F.col(c).alias(f"{s}_{c}") for c in _PARTNER])
+    pairs = candidates.join(side(suspects, "later"), "later_ord").join(side(partners, "kept"), "kept_ord").filter(
         (F.col("kept_at") > F.col("later_at"))
         | ((F.col("kept_at") == F.col("later_at")) & (F.col("kept_ord") < F.col("later_ord")))
     )
     title = ratio_bound(F.col("later_title_len"), F.col("kept_title_len"))
     summary = ratio_bound(F.col("later_summary_len"), F.col("kept_summary_len"))
-    pairs = pairs.withColumns(
+    return pairs.withColumns(
         {
             "close": F.abs(F.col("kept_at") - F.col("later_at")) <= window_micros,
             "same_site": (F.col("later_site") != "") & (F.col("later_site") == F.col("kept_site")),
         }
-    ).filter((title >= alone) | ((title >= threshold) & F.col("close")) | ((summary >= threshold) & F.col("same_site")))
-    pairs = stage(pairs.select("later_ord", "later_at", "kept_ord", "kept_at", "close", "same_site").distinct(), "outside-pairs")
+    ).filter(
+        (title >= alone) | ((title >= threshold) & F.col("close")) | ((summary >= threshold) & F.col("same_site"))
+    ).select("later_ord", "later_at", "kept_ord", "kept_at", "close", "same_site")
+
+
+def _outside_matches(items: DataFrame, keys: DataFrame, dropped: DataFrame, as_of, rule) -> DataFrame | None:
+    """Kept rows that the rule drops because of a kept row outside their fingerprint group; None when none.
+
+    Only a row that shares its fingerprint with an earlier kept row is ever compared, and it has been kept
+    although it resembles no kept row of its group. Such rows are rare; all other rows pass them once.
+    """
+    threshold, alone, _ = rule
+    suspects = stage(_suspects(keys, dropped).select(*_PARTNER), "suspects")
+    if suspects.isEmpty():
+        return None
+    pairs = stage(outside_pairs(items, suspects, _partners(items, keys, dropped, as_of), rule), "outside-pairs")
     wanted = pairs.select(F.explode(F.array("later_ord", "kept_ord")).alias("ord")).distinct()
     texts = items.join(wanted, "ord", "left_semi").select(
         "ord", F.lower(text_or_empty("title")).alias("title"), F.lower(text_or_empty("summary")).alias("summary")
     )
     texts = stage(texts, "outside-texts")
     words = lambda s: texts.select(*[F.col(c).alias(f"{s}_{c}") for c in ("ord", "title", "summary")])
-    judged = pairs.join(words("later"), "later_ord").join(words("kept"), "kept_ord").filter(duplicate_verdict({}, threshold, alone))
+    # Characters in common bound the ratio from above; few pairs are left for the ratio itself.
+    bound = lambda c: character_bound(F.col(f"later_{c}"), F.col(f"kept_{c}"))
+    needed = F.when(F.col("close"), min(threshold, alone)).otherwise(alone)
+    possible = (bound("title") >= needed - 1e-9) | (F.col("same_site") & (bound("summary") >= threshold - 1e-9))
+    compared = pairs.join(words("later"), "later_ord").join(words("kept"), "kept_ord").filter(possible)
+    judged = compared.filter(duplicate_verdict({}, threshold, alone))
     hits = stage(
         judged.groupBy("later_ord", "later_at").agg(
             F.max(F.struct(F.col("kept_at").alias("at"), (-F.col("kept_ord")).alias("back"))).alias("by")
