@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from feedloom.llm.common import whole_key
 from feedloom.llm.groups import whole_groups
 from feedloom.llm.vectors import dimension, matrix, rotation, usable
 from feedloom.session import stage
@@ -310,7 +311,7 @@ def search(embeddings: DataFrame, is_query, *, k: int = 10, key: str = "vec_id",
     nor do rows without a key. Equal vectors are one node of the forest; as only the ``k + 1`` smallest of its keys can
     be among the nearest, no other is kept with it.
     """
-    rows = embeddings.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vec"), is_query.alias("is_query"))
+    rows = embeddings.select(whole_key(embeddings, key).alias("id"), F.col(vector).alias("vec"), is_query.alias("is_query"))
     dim = dimension(rows, "vec") or 1
     rows = rows.where(usable(F.col("vec"), dim) & F.col("id").isNotNull())
     smallest = Window.partitionBy("vec").orderBy("id")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import IntegralType
 
 WHITE_SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{WHITE_SPACE}]+"
@@ -22,6 +23,18 @@ def fold(doc_id: str, folds: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % folds
 
 
+def number_key(rows: DataFrame, key: str) -> Column:
+    """The id as a number: whole numbers as they are, ids of another type by a hash of their text. Null stays null."""
+    if isinstance(rows.schema[key].dataType, IntegralType):
+        return F.col(key).cast("long")
+    return F.when(F.col(key).isNotNull(), F.xxhash64(F.col(key).cast("string")))
+
+
+def whole_key(rows: DataFrame, key: str) -> Column:
+    """The id, whole numbers as long ones."""
+    return F.col(key).cast("long") if isinstance(rows.schema[key].dataType, IntegralType) else F.col(key)
+
+
 def word_count(text: Column) -> Column:
     """Number of words between ASCII white space."""
     return F.regexp_count(text, F.lit(WORD)).cast("long")

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from feedloom.llm.common import whole_key
 from feedloom.llm.groups import components, whole_groups
 from feedloom.llm.vectors import dimension, matrix, rotation, usable
 from feedloom.session import stage
@@ -173,7 +174,7 @@ def near_duplicates(embeddings: DataFrame, *, key: str = "vec_id", vector: str =
     vectors are one representative with a count, however many they are, so their links are counted, not listed. Rows
     that share a key are vectors of their own.
     """
-    rows = embeddings.select(F.col(key).cast("long").alias("id"), F.col(label).alias("label"), F.col(vector).alias("vec"))
+    rows = embeddings.select(whole_key(embeddings, key).alias("id"), F.col(label).alias("label"), F.col(vector).alias("vec"))
     dim = dimension(rows, "vec")
     good = usable(F.col("vec"), dim) & F.col("label").isNotNull() & F.col("id").isNotNull()
     rows = stage(rows.withColumn("good", good), "embed-rows")

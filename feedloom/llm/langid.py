@@ -21,8 +21,9 @@ ORDERS, HASH_BITS = (1, 2, 3), 13
 DIMENSIONS = 1 << HASH_BITS
 #: Texts of each language to learn from, at most, centroids for each, and rounds of clustering.
 SAMPLE, CENTROIDS, ROUNDS = 1000, 4, 12
-#: A text is rejected if its similarity is below this share of the least one seen among sampled texts of its length.
-SLACK = 0.5
+#: A text is rejected if its similarity is below this share of what all but a hundredth of the sampled texts of its length
+#: reach, so that a few odd texts among them don't set the bound.
+SLACK, ODD_SHARE = 0.5, 0.01
 #: Length classes of the rejection bound: powers of four of the number of letters.
 CLASSES = 12
 UNDETERMINED = "und"
@@ -142,16 +143,26 @@ def fit(labelled: DataFrame, *, most: int = SAMPLE, centroids: int = CENTROIDS)
 
     least = np.zeros(CLASSES)
     if found:
-        for r in rows.mapInArrow(nearest, "class long, best double").groupBy("class").agg(F.min("best").alias("least")).collect():
+        for r in rows.mapInArrow(nearest, "class long, best double").groupBy("class").agg(F.percentile("best", ODD_SHARE).alias("least")).collect():
             least[r["class"]] = SLACK * r.least
+        least = _filled(least)
     return Centroids([r.lang for r in found], unit, idf, least)
 
 
+def _filled(least: np.ndarray) -> np.ndarray:
+    """Classes without a sampled text take the bound of the nearest class with one, the shorter of two."""
+    filled = np.flatnonzero(least)
+    return least[filled[np.abs(filled[None, :] - np.arange(len(least))[:, None]).argmin(axis=1)]] if len(filled) else least
+
+
 def predict(docs: DataFrame, model: Centroids, *, text: str = "text") -> DataFrame:
     """``docs`` without the text, with ``lang_pred``, ``score`` and ``rejected``.
 
     ``score`` is the similarity to the nearest centroid. A text that is null or has no letter is ``und`` with score 0
-    and rejected, as is every text if nothing was learned. Other texts always name the nearest language, rejected or not.
+    and rejected. Other texts always name the nearest language, rejected or not, the first in code point order of equally
+    near ones; if nothing was learned they are ``und`` too, but not rejected, as nothing speaks against them. Every row is
+    judged by itself, so repeated rows agree; an empty table gives an empty one, and columns with the names of added ones
+    are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(tuple(model))
 
@@ -169,7 +180,7 @@ def predict(docs: DataFrame, model: Centroids, *, text: str = "text") -> DataFra
                         known = n_letters > 0
                         best = np.where(known, similarity.argmax(axis=1), best)
                         score = np.where(known, np.clip(similarity.max(axis=1), 0, 1), 0.0).astype(np.float64)
-                    rejected = (best == len(languages)) | (score < least[_length_class(n_letters)])
+                    rejected = (n_letters == 0) | (score < least[_length_class(n_letters)])
                     kept = {n: few.column(n) for n in few.schema.names if n not in (text, "lang_pred", "score", "rejected")}
                     yield pa.RecordBatch.from_pydict({**kept, "lang_pred": pa.array(names[best], pa.string()), "score": score, "rejected": rejected})
 

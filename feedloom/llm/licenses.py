@@ -16,14 +16,24 @@ from feedloom.llm.common import text_or_empty
 from feedloom.llm.license_rules import KINDS, SCORES, Rule, rules, spaced
 from feedloom.session import stage
 
+#: Capitals whose lower case holds an ASCII letter, and the letters that stand for them.
+OUTSIDE = {"\u212a": "\u0138", "\u0130": "\u0131"}
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases of the base labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
 
+def ascii_lower(text: Column) -> Column:
+    """Lower case that makes no character an ASCII letter but A to Z: the Kelvin sign and the dotted capital I, the only
+    others whose lower case holds one, stay outside ASCII."""
+    for sign, other in OUTSIDE.items():
+        text = F.replace(text, F.lit(sign), F.lit(other))
+    return F.lower(text)
+
+
 def spaced_text(text: Column) -> Column:
     """Lower-case words with a space before and after each; an empty string if there is none."""
-    words = F.trim(F.regexp_replace(F.lower(text), GAP, "  "))
+    words = F.trim(F.regexp_replace(ascii_lower(text), GAP, "  "))
     return F.when(words == "", "").otherwise(F.concat(F.lit(" "), words, F.lit(" ")))
 
 
@@ -132,6 +142,9 @@ def scan_sql() -> str:
     """The same result in DuckDB's SQL, with comma-joined labels, over the table ``documents``."""
     quote = lambda x: "'" + x.replace("'", "''") + "'"
     table = ", ".join(f"({r.rule_id}, {r.priority}, {quote(r.label)}, {SCORES[r.kind]}, {quote(spaced(r.keyword))}, {quote(spaced(r.pattern))})" for r in rules())
+    text = "coalesce(text, '')"
+    for sign, other in OUTSIDE.items():
+        text = f"replace({text}, '{sign}', '{other}')"
     words = lambda x: f"((length({x}) - length(replace({x}, ' ', ''))) // 2)"
     base = " UNION ALL ".join(
         f"SELECT doc_id, {quote(label)} AS label, {words('left(t, p - 1)')} AS word FROM spaced, "
@@ -139,7 +152,7 @@ def scan_sql() -> str:
         for phrase, label in BASE.items()
     )
     return f"""
-WITH plain AS (SELECT doc_id, trim(regexp_replace(lower(coalesce(text, '')), '{GAP}', '  ', 'g')) AS x FROM documents),
+WITH plain AS (SELECT doc_id, trim(regexp_replace(lower({text}), '{GAP}', '  ', 'g')) AS x FROM documents),
 spaced AS (SELECT doc_id, CASE WHEN x = '' THEN '' ELSE concat(' ', x, ' ') END AS t FROM plain),
 rule(rule_id, priority, label, score, keyword, pattern) AS (VALUES {table}),
 pairs AS (SELECT s.doc_id, r.rule_id, string_split_regex(t, pattern) AS pieces, regexp_extract_all(t, pattern, 0) AS hits

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from feedloom.session import stage
 
-from feedloom.llm.common import text_or_empty, word_count
+from feedloom.llm.common import number_key, text_or_empty, word_count
 
 #: Ranks are cut at a bucket of a bucket, so that only a millionth of a source is ordered row by row.
 BUCKETS = 1024
@@ -58,7 +58,7 @@ def _ranked(docs: DataFrame, targets: DataFrame, key: str, seed: str) -> DataFra
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     joined = joined.withColumn("copies_for_certain", F.floor(rate)).withColumn("p", rate - F.floor(rate)).withColumn("u", uniform(F.col(key), seed))
     odds = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
-    return joined.withColumn("rank_odds", F.when(F.col("p") > 0, odds)).withColumn("rank_key", F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))).drop("p", "u")
+    return joined.withColumn("rank_odds", F.when(F.col("p") > 0, odds)).withColumn("rank_key", F.coalesce(number_key(docs, key), F.lit(-(1 << 63)))).drop("p", "u")
 
 
 def _cut(rows: DataFrame, group: list[str], bucket: Column) -> DataFrame:

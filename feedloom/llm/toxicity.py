@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from feedloom.llm.common import fold, output_schema, slices
+from feedloom.llm.common import fold, number_key, output_schema, slices
 from feedloom.llm.ngrams import grams, letter_table, letters, sample
 from feedloom.session import stage
 
@@ -132,8 +132,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", te
     The drawn labels, 16 bytes each, are few by that bound and broadcast, so texts are not shuffled. Null labels and ids
     are left out. Repeated ids give a row for each pair.
     """
-    drawn = sample(labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_key"), F.col(label).cast("int").alias("label")), "doc_key", most)
-    texts = docs.select(F.col(key).cast("long").alias("doc_key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    drawn = sample(labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(number_key(labels, key).alias("doc_key"), F.col(label).cast("int").alias("label")), "doc_key", most)
+    texts = docs.select(number_key(docs, key).alias("doc_key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return texts.join(F.broadcast(drawn), "doc_key").select("doc_key", "text", "label")
 
 

@@ -166,6 +166,19 @@ def test_keyword_is_in_every_match():
             assert re.fullmatch(r.pattern, text) and spaced(r.keyword) in spaced(text), (r, text)
 
 
+def test_only_ascii_letters_are_folded(spark):
+    """The Kelvin sign's lower case is k, and that of the dotted capital I begins with i."""
+    texts = ["blue oa\u212a model license", "under the m\u0130t license", "Blue OAK model license", "ÉTÉ under THE mit license"]
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.labels for r in rows] == [[], [], ["blueoak-1"], ["mit"]] and [r.n_words for r in rows] == [4, 4, 4, 5]
+
+
+def test_mix_of_text_ids(spark):
+    docs = spark.createDataFrame([(f"d{i}", "word " * (i % 7), f"s{i % 3}") for i in range(60)], "doc_id string, text string, source string")
+    first = sorted(r.doc_id for r in mixing.mix(docs).collect())
+    assert first and first == sorted(r.doc_id for r in mixing.mix(docs.repartition(5)).collect())
+
+
 @pytest.mark.parametrize("text, label, score", [
     ("See the LICENSE file for details.", "unspecified", 0.5),
     ("see license", "unspecified", 0.5),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from conftest import SF_DIR
@@ -60,3 +61,10 @@ def test_odd_documents(spark, odd_documents, no_documents):
     for _, step in corpus_pipeline.STAGES:
         docs = corpus_pipeline.stage(step(spark, docs, SF_DIR), "test-empty")
     assert docs.count() == 0
+
+
+def test_documents_without_a_language_stay(spark):
+    """Where no language is stated nothing can be learned, and lettered documents are kept."""
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").withColumn("lang", F.lit(None).cast("string"))
+    kept = corpus_pipeline.drop_unknown_language(spark, docs, SF_DIR)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or ""))

@@ -136,3 +136,12 @@ def test_runs_go_on_in_other_ranges(spark, monkeypatch):
     rng = np.random.default_rng(7)
     x = np.concatenate([rng.standard_normal((600, 24)), 3 + 1e-7 * rng.standard_normal((900, 24))])
     assert recall(spark, x, 50) == 1
+
+
+def test_text_ids(spark):
+    rows = [(f"v{i:02d}", [float(i % 5 + 1), float(i % 3), 1.0], 1) for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id string, embedding array<float>, label int")
+    groups = {r.vec_id: r.component_id for r in embed_dedup.near_duplicates(df).collect()}
+    assert len(groups) == 30 and groups["v15"] == groups["v00"] == "v00"
+    near = ann.search(df, F.col("vec_id") == "v00", k=2).orderBy("rank").collect()
+    assert len(near) == 2 and (near[0].query_id, near[0].vec_id, near[0].score) == ("v00", "v15", 0.0)
