@@ -28,8 +28,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents near a centroid of some language; those without a letter, or unlike all texts learned from, go. Learned
-    from the documents' own languages."""
+    """Documents near a centroid of some language; those without a letter, null and empty texts too, or unlike all texts
+    learned from, go. Learned from the documents' own languages; if none states one, all documents with a letter stay."""
     bounded_batches(spark)
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     model = langid.fit(known.select(F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc_key"), "text"))
@@ -37,7 +37,8 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest id."""
+    """One document of each group of near-duplicates, the one with the smallest id, of repeated ids any one. All null and empty
+    texts are one group. Rows without an id take part, and stay only where no other of their group has one."""
     bounded_batches(spark)
     numbered = stage(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("number")), "pipeline-numbered")
     groups = simhash.near_duplicates(numbered.select("number", "row.doc_id", "row.text"), row="number")
@@ -45,13 +46,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them: not at all, once or twice."""
+    """Documents as often as the mix of sources takes them: not at all, once or twice. Null sources are one source; a null text
+    has no words and is taken like others of its source."""
     return mixing.mix(docs)
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, lang, source, n_tokens, ids, decoded_sha256``: the tokens of every document, and a digest of the text
-    that they decode to."""
+    that they decode to. A null or empty text has no tokens; repeated rows give equal ones."""
     bounded_batches(spark)
     encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), word_bpe_path(), decoded="decoded")
     return encoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
