@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from feedloom.catalog.base import (
     AS_OF, AS_OF_SQL, Registry, dated_items, instant_sql, instant_text, with_items,
 )
-from feedloom.catalog.duplicates import FINGERPRINT, survivors_sql
+from feedloom.catalog.duplicates import FINGERPRINT, survivors_sql, walk_sql, with_copies
 from feedloom.catalog.rows import NEEDS, NEWEST, UNSUMMARISED, unsummarised
 from feedloom.catalog.scalars import (
     clean_sql, digest_date_sql, escape_sql, mentions_sql, norm_url_sql, page_text_sql, pages, score_sql, strip_sql, template_sql,
@@ -301,20 +301,30 @@ def landed_items(spark, sf) -> str:
     return folder
 
 
-@add("t01_ingest", with_items("SELECT ord FROM survivors", *survivors_sql()))
-def _(spark, sf):
+def ingested_in_turn(spark, everything, **limits):
     """Three micro-batches, newest items first, undated ones in the first; the history blocks the later batches."""
     root, folder = stage_path(spark, "ingest"), stage_path(spark, "landed")
-    everything = conform(dated_items(spark, sf))
     for days in ((0, 5), (5, 10), (10, 10_000)):
         age = F.coalesce(F.datediff(F.lit(AS_OF), "published_ts"), F.lit(0))
         part = everything.filter((F.greatest(age, F.lit(0)) >= days[0]) & (F.greatest(age, F.lit(0)) < days[1]))
         part.write.mode("append").json(folder)
         stream = with_published_ts(ingest.item_stream(spark, folder))
-        ingest.ingest(stream, root, AS_OF).awaitTermination()
+        ingest.ingest(stream, root, AS_OF, **limits).awaitTermination()
     return ingest.ingested(spark, root).select("ord")
 
 
+@add("t01_ingest", with_items("SELECT ord FROM survivors", *survivors_sql()))
+def _(spark, sf):
+    return ingested_in_turn(spark, conform(dated_items(spark, sf)))
+
+
+@add("t01_ingest_exact", walk_sql("SELECT ord FROM walk WHERE fate = 'kept'"))
+def _(spark, sf):
+    """With a copy of every item, and thresholds of 1."""
+    copied = with_copies(spark, sf).withColumn("published", F.date_format("published_ts", "yyyy-MM-dd HH:mm:ss"))
+    return ingested_in_turn(spark, conform(copied), threshold=1.0, alone=1.0)
+
+
 @add("t02_dedup_stream", with_items(
     f"""SELECT DISTINCT {norm_url_sql('link')} AS norm_url FROM items WHERE link <> '' AND published_ts IS NOT NULL
        UNION ALL SELECT NULL FROM items WHERE link = '' OR published_ts IS NULL"""))

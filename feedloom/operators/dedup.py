@@ -108,13 +108,20 @@ def with_similarity(df: DataFrame, later: str, kept: str) -> DataFrame:
 # --- exact greedy pass -------------------------------------------------------------------------------
 
 
-def _keys(items: DataFrame, as_of, **parts: bool) -> DataFrame:
-    """Thin key table of the linked items: everything a round needs except the texts."""
+def spot(turn: Column, at: Column, ord: Column) -> Column:
+    """Place in the order of the pass; the earlier of two rows has the greater one. Turns follow one another."""
+    return F.struct((-turn).cast("long").alias("back_turn"), at.alias("at"), (-ord).alias("back"))
+
+
+def key_table(items: DataFrame, as_of, turn: Column | None = None, **parts: bool) -> DataFrame:
+    """Thin key table of the linked items: everything a round needs except the texts. Rows of an earlier turn come first."""
     title, summary = F.lower(text_or_empty("title")), F.lower(text_or_empty("summary"))
     digest = lambda c: F.when(c != "", F.md5(c.cast("binary")))
+    at = F.unix_micros(F.coalesce("published_ts", instant(as_of)))
     return items.filter(_linked()).select(
         "ord",
-        F.unix_micros(F.coalesce("published_ts", instant(as_of))).alias("at"),
+        at.alias("at"),
+        spot(F.lit(0) if turn is None else turn, at, F.col("ord")).alias("spot"),
         normalise_url("link").alias("url"),
         netloc("link").alias("site"),
         # A row with neither title nor summary resembles nothing: it forms a group of its own, which also
@@ -130,7 +137,7 @@ def _keys(items: DataFrame, as_of, **parts: bool) -> DataFrame:
 
 def _earliest(df: DataFrame, key: str, n: int = 1) -> DataFrame:
     """First n rows of each group in dedup order; the group limit runs before the shuffle."""
-    w = Window.partitionBy(key).orderBy(F.col("at").desc(), F.col("ord").asc())
+    w = Window.partitionBy(key).orderBy(F.col("spot").desc())
     return df.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n)
 
 
@@ -144,12 +151,12 @@ def _texts(items: DataFrame, settled: DataFrame) -> DataFrame:
     return stage(texts, "texts")
 
 
-_LEADER = ("ord", "at", "site", "title_md5", "summary_md5", "title_len", "summary_len")
+_LEADER = ("ord", "at", "spot", "site", "title_md5", "summary_md5", "title_len", "summary_len")
 
 
 def _earlier(leader: Column) -> Column:
     """The leader comes before the row."""
-    return (leader["at"] > F.col("at")) | ((leader["at"] == F.col("at")) & (leader["ord"] < F.col("ord")))
+    return leader["spot"] > F.col("spot")
 
 
 def _close(leader: Column, window_micros: int) -> Column:
@@ -188,7 +195,7 @@ def _sequential(batch: pd.DataFrame, threshold: float, alone: float, window_micr
     urls: dict[str, int] = {}
     groups: dict[str, list[dict]] = {}
     dropped = []
-    for row in batch.sort_values(["at", "ord"], ascending=[False, True]).to_dict("records"):
+    for row in batch.sort_values(["back_turn", "at", "back"], ascending=False).to_dict("records"):
         group = groups.setdefault(row["fp"], [])
         if row["url"] in urls:
             dropped.append((row["ord"], "url", urls[row["url"]]))
@@ -215,7 +222,7 @@ def _sequential(batch: pd.DataFrame, threshold: float, alone: float, window_micr
 
 def _run_rule(rows: DataFrame, texts: DataFrame, group: Column, rule) -> DataFrame:
     """Dropped rows of each group; the caller has bounded the groups."""
-    batch = rows.select("ord", "at", "site", "url", "fp", group.alias("_group")).join(texts, "ord")
+    batch = rows.select("ord", "spot.*", "site", "url", "fp", group.alias("_group")).join(texts, "ord")
     return batch.groupBy("_group").applyInPandas(lambda pdf: _sequential(pdf, *rule), DROPPED)
 
 
@@ -364,25 +371,24 @@ def _meeting_keys(rule, near: bool) -> Column:
 def _suspects(keys: DataFrame, dropped: DataFrame) -> DataFrame:
     """Kept rows that share their fingerprint with an earlier kept row."""
     kept = keys.join(dropped.select("ord"), "ord", "left_anti")
-    shared = kept.groupBy("fp").agg(
-        F.count("*").alias("n"), F.max(F.struct("at", (-F.col("ord")).alias("back"))).alias("head")
-    ).filter("n > 1")
-    return kept.join(shared, "fp").filter(F.col("ord") != -F.col("head.back"))
+    shared = kept.groupBy("fp").agg(F.count("*").alias("n"), F.max("spot").alias("head")).filter("n > 1")
+    return kept.join(shared, "fp").filter(F.col("spot") != F.col("head"))
 
 
-_PARTNER = ("ord", "at", "site", "title_len", "summary_len")
+PARTNER = ("ord", "at", "spot", "site", "title_len", "summary_len")
 
 
-def _partners(items: DataFrame, keys: DataFrame, dropped: DataFrame, as_of) -> DataFrame:
-    """Rows that others may fall to: the kept ones, and those without a link, which are always kept."""
-    linkless = items.filter(~_linked()).select(
+def linkless_rows(items: DataFrame, as_of, turn: Column | None = None) -> DataFrame:
+    """Rows without a link as partners: they are always kept, and others may fall to them."""
+    at = F.unix_micros(F.coalesce("published_ts", instant(as_of)))
+    return items.filter(~_linked()).select(
         "ord",
-        F.unix_micros(F.coalesce("published_ts", instant(as_of))).alias("at"),
+        at.alias("at"),
+        spot(F.lit(0) if turn is None else turn, at, F.col("ord")).alias("spot"),
         F.lit("").alias("site"),
         F.length(F.lower(text_or_empty("title"))).alias("title_len"),
         F.length(F.lower(text_or_empty("summary"))).alias("summary_len"),
     )
-    return keys.join(dropped.select("ord"), "ord", "left_anti").select(*_PARTNER).unionByName(linkless)
 
 
 def outside_pairs(items: DataFrame, suspects: DataFrame, partners: DataFrame, rule) -> DataFrame:
@@ -397,10 +403,9 @@ def outside_pairs(items: DataFrame, suspects: DataFrame, partners: DataFrame, ru
         "ord", "key", "threshold", text.alias("text")
     )
     candidates = candidate_pairs(texts(later), texts(kept))
-    side = lambda df, s: df.select(*[F.col(c).alias(f"{s}_{c}") for c in _PARTNER])
+    side = lambda df, s: df.select(*[F.col(c).alias(f"{s}_{c}") for c in PARTNER])
     pairs = candidates.join(side(suspects, "later"), "later_ord").join(side(partners, "kept"), "kept_ord").filter(
-        (F.col("kept_at") > F.col("later_at"))
-        | ((F.col("kept_at") == F.col("later_at")) & (F.col("kept_ord") < F.col("later_ord")))
+        F.col("kept_spot") > F.col("later_spot")
     )
     title = ratio_bound(F.col("later_title_len"), F.col("kept_title_len"))
     summary = ratio_bound(F.col("later_summary_len"), F.col("kept_summary_len"))
@@ -411,20 +416,22 @@ def outside_pairs(items: DataFrame, suspects: DataFrame, partners: DataFrame, ru
         }
     ).filter(
         (title >= alone) | ((title >= threshold) & F.col("close")) | ((summary >= threshold) & F.col("same_site"))
-    ).select("later_ord", "later_at", "kept_ord", "kept_at", "close", "same_site")
+    ).select("later_ord", "later_spot", "kept_ord", "kept_spot", "close", "same_site")
 
 
-def _outside_matches(items: DataFrame, keys: DataFrame, dropped: DataFrame, as_of, rule) -> DataFrame | None:
+def _outside_matches(items: DataFrame, keys: DataFrame, dropped: DataFrame, always: DataFrame, rule, judged) -> DataFrame | None:
     """Kept rows that the rule drops because of a kept row outside their fingerprint group; None when none.
 
     Only a row that shares its fingerprint with an earlier kept row is ever compared, and it has been kept
     although it resembles no kept row of its group. Such rows are rare; all other rows pass them once.
     """
     threshold, alone, _ = rule
-    suspects = stage(_suspects(keys, dropped).select(*_PARTNER), "suspects")
+    suspects = _suspects(keys, dropped) if judged is None else _suspects(keys, dropped).filter(judged)
+    suspects = stage(suspects.select(*PARTNER), "suspects")
     if suspects.isEmpty():
         return None
-    pairs = stage(outside_pairs(items, suspects, _partners(items, keys, dropped, as_of), rule), "outside-pairs")
+    partners = keys.join(dropped.select("ord"), "ord", "left_anti").select(*PARTNER).unionByName(always)
+    pairs = stage(outside_pairs(items, suspects, partners, rule), "outside-pairs")
     wanted = pairs.select(F.explode(F.array("later_ord", "kept_ord")).alias("ord")).distinct()
     texts = items.join(wanted, "ord", "left_semi").select(
         "ord", F.lower(text_or_empty("title")).alias("title"), F.lower(text_or_empty("summary")).alias("summary")
@@ -436,19 +443,15 @@ def _outside_matches(items: DataFrame, keys: DataFrame, dropped: DataFrame, as_o
     needed = F.when(F.col("close"), min(threshold, alone)).otherwise(alone)
     possible = (bound("title") >= needed - 1e-9) | (F.col("same_site") & (bound("summary") >= threshold - 1e-9))
     compared = pairs.join(words("later"), "later_ord").join(words("kept"), "kept_ord").filter(possible)
-    judged = compared.filter(duplicate_verdict({}, threshold, alone))
+    judged_pairs = compared.filter(duplicate_verdict({}, threshold, alone))
     hits = stage(
-        judged.groupBy("later_ord", "later_at").agg(
-            F.max(F.struct(F.col("kept_at").alias("at"), (-F.col("kept_ord")).alias("back"))).alias("by")
-        ),
-        "outside",
+        judged_pairs.groupBy("later_ord", "later_spot").agg(F.max("kept_spot").alias("by")), "outside"
     )
-    earliest = hits.orderBy(F.col("later_at").desc(), "later_ord").first()
+    earliest = hits.agg(F.max("later_spot").alias("spot")).first().spot
     if earliest is None:
         return None
     # Everything before the earliest hit is final, so a hit is certain when its partner is among that.
-    at, back = F.lit(earliest.later_at), F.lit(-earliest.later_ord)
-    certain = (F.col("by.at") > at) | ((F.col("by.at") == at) & (F.col("by.back") > back))
+    certain = F.col("by") > F.struct(*[F.lit(v).cast("long").alias(c) for c, v in earliest.asDict().items()])
     return hits.filter(certain).select(
         F.col("later_ord").alias("ord"), F.lit("content").alias("reason"), (-F.col("by.back")).alias("matched")
     )
@@ -460,11 +463,10 @@ def _url_first(keys: DataFrame, dropped: DataFrame) -> DataFrame:
     A URL has at most one kept row.
     """
     kept = keys.join(dropped.select("ord"), "ord", "left_anti").select(
-        "url", F.col("at").alias("kept_at"), F.col("ord").alias("kept_ord")
+        "url", F.col("spot").alias("kept_spot"), F.col("ord").alias("kept_ord")
     )
-    content = keys.join(dropped.filter("reason = 'content'"), "ord", "left_semi").select("ord", "at", "url")
-    earlier = (F.col("kept_at") > F.col("at")) | ((F.col("kept_at") == F.col("at")) & (F.col("kept_ord") < F.col("ord")))
-    by_url = content.join(kept, "url").filter(earlier).select("ord", "kept_ord")
+    content = keys.join(dropped.filter("reason = 'content'"), "ord", "left_semi").select("ord", "spot", "url")
+    by_url = content.join(kept, "url").filter(F.col("kept_spot") > F.col("spot")).select("ord", "kept_ord")
     reason = F.when(F.col("kept_ord").isNotNull(), "url").otherwise(F.col("reason"))
     return dropped.join(by_url, "ord", "left").select(
         "ord", reason.alias("reason"), F.coalesce("kept_ord", "matched").alias("matched")
@@ -486,18 +488,39 @@ def dropped_rows(
     The check finds rows that fall to a kept row outside their group. They are taken out and the rounds are
     repeated without them, until the check finds none: usually it finds none at once.
     """
-    if scope not in ("all", "block") or not 0 < threshold <= 1 or not 0 < alone <= 1:
-        raise ValueError("scope is all or block; thresholds lie above 0 and at most at 1")
-    rule = (threshold, alone, int(window_hours * 3_600_000_000))
-    keys = stage(_keys(items, as_of, **parts), "keys")
+    rule = rule_of(threshold, window_hours, alone)
+    if scope not in ("all", "block"):
+        raise ValueError("scope is all or block")
+    keys = stage(key_table(items, as_of, **parts), "keys")
     if (n := keys.agg(F.count("*").alias("rows"), F.countDistinct("ord").alias("ords")).first()).rows != n.ords:
         raise ValueError("every item needs an ord of its own")
+    always = None if scope == "block" else linkless_rows(items, as_of)
+    return settle(items, keys, always, rule, leaders=leaders, reasons=reasons)
+
+
+def rule_of(threshold: float = THRESHOLD, window_hours: float = WINDOW_HOURS, alone: float = ALONE) -> tuple[float, float, int]:
+    """The limits of the rule, with the window in microseconds."""
+    if not 0 < threshold <= 1 or not 0 < alone <= 1:
+        raise ValueError("thresholds lie above 0 and at most at 1")
+    return threshold, alone, int(window_hours * 3_600_000_000)
+
+
+def settle(
+    items: DataFrame, keys: DataFrame, always: DataFrame | None, rule, *, leaders: int = LEADERS, reasons: bool = True,
+    judged: Column | None = None, all_items: DataFrame | None = None,
+) -> DataFrame:
+    """Dropped rows of a staged key table, as in ``dropped_rows``.
+
+    ``items`` has the texts of its rows. ``always`` are kept rows besides, as partners (see ``linkless_rows``); without them
+    a similar row is looked for in the fingerprint group only. ``judged`` says which rows may still fall; ``all_items`` also
+    has the texts of ``always``, if ``items`` has not.
+    """
     forced = None
     while True:
         remaining = keys if forced is None else keys.join(forced.select("ord"), "ord", "left_anti")
         dropped = _settle(items, remaining, rule, leaders)
         dropped = dropped if forced is None else dropped.unionByName(forced)
-        more = None if scope == "block" else _outside_matches(items, keys, dropped, as_of, rule)
+        more = None if always is None else _outside_matches(items if all_items is None else all_items, keys, dropped, always, rule, judged)
         if more is None:
             return _url_first(keys, dropped) if reasons else dropped
         forced = stage(more if forced is None else forced.unionByName(more), "forced")

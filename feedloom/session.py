@@ -67,6 +67,47 @@ def absolute_path(spark: SparkSession, path: str) -> str:
     return files.makeQualified(target).toString().rstrip("/")
 
 
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder, in order; none if it doesn't exist."""
+    files, target = _file_system(spark, path)
+    return sorted(s.getPath().getName() for s in files.listStatus(target)) if files.exists(target) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    files, target = _file_system(spark, path)
+    files.delete(target, True)
+
+
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Give a file or folder another name in place of what has that name."""
+    files, old = _file_system(spark, source)
+    _, new = _file_system(spark, target)
+    files.delete(new, True)
+    if not files.rename(old, new):
+        raise OSError(f"can't rename {source} to {target}")
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file under another name first, so that it is there whole or not at all."""
+    files, target = _file_system(spark, f"{path}.{uuid.uuid4().hex}.tmp")
+    out = files.create(target, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    move(spark, target.toString(), path)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """The text of a small file."""
+    files, target = _file_system(spark, path)
+    source = files.open(target)
+    try:
+        return bytes(source.readAllBytes()).decode()
+    finally:
+        source.close()
+
+
 def drop_stages(spark: SparkSession) -> None:
     """Delete this application's stage tables. Call it when no frame that reads them is needed any more."""
     files, target = _file_system(spark, _stage_folder(spark))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -9,13 +10,29 @@ from pyspark.sql.streaming import StreamingQuery
 
 from feedloom.functions.text import text_or_empty
 from feedloom.functions.urls import normalise_url
-from feedloom.clock import instant
-from feedloom.operators.dedup import deduplicate, duplicate_pairs, fingerprint
+from feedloom.operators.dedup import (
+    ALONE, THRESHOLD, WINDOW_HOURS, fingerprint, key_table, linkless_rows, rule_of, settle, spot,
+)
+from feedloom.operators.ranking import dense_positions
 from feedloom.schema import ITEM
-from feedloom.session import path_exists, stage
-
-# Folders that the history is dealt out to by hash; a batch reads those of its own keys only.
-BUCKETS = 64
+from feedloom.session import stage
+from feedloom.streaming.history import BUCKET_ROWS, History
+
+
+#: Numbers of rows inside a batch have so many bits.
+ROW_BITS = 36
+_THIN = T.StructType(
+    [
+        T.StructField("row_id", T.LongType()),
+        T.StructField("batch", T.LongType()),
+        T.StructField("at", T.LongType()),
+        *[T.StructField(c, T.StringType()) for c in ("url", "site", "fp", "title_md5", "summary_md5")],
+        T.StructField("title_len", T.IntegerType()),
+        T.StructField("summary_len", T.IntegerType()),
+    ]
+)
+_TEXTS = T.StructType([T.StructField("row_id", T.LongType()), T.StructField("title", T.StringType()), T.StructField("summary", T.StringType())])
+_URLS = T.StructType([T.StructField("url", T.StringType())])
 
 
 def item_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
@@ -23,77 +40,75 @@ def item_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) ->
     return spark.readStream.schema(ITEM).option("maxFilesPerTrigger", files_per_batch).json(path)
 
 
-def _bucket(key: str):
-    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+def _numbered(batch: DataFrame, batch_id: int) -> DataFrame:
+    """``row_id``: the batch and the row's place by ``ord``, unique over all batches and in order of arrival."""
+    placed = dense_positions(batch.withColumn("_order", F.col("ord")), ["_order"], "_at").drop("_order")
+    return placed.withColumn("row_id", F.col("_at") + F.lit(batch_id << ROW_BITS)).drop("_at")
 
 
-def _history(spark: SparkSession, folder: str, batch_id: int, batch: DataFrame, key: str, schema: T.StructType) -> DataFrame:
-    """Rows that earlier batches have kept, from the folders of the batch's keys. A replayed batch does not see its own
-    first attempt."""
-    if not path_exists(spark, folder):
-        return spark.createDataFrame([], schema)
-    named = [r.b for r in batch.select(_bucket(key).alias("b")).distinct().collect()]
-    stored = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType()), T.StructField("bucket", T.IntegerType())])
-    rows = spark.read.schema(stored).parquet(folder)
-    return rows.filter((F.col("batch_id") < batch_id) & F.col("bucket").isin(named)).select(*schema.fieldNames())
+def _as_items(rows: DataFrame) -> DataFrame:
+    """Rows as the batch rule wants them, with ``row_id`` as their ``ord``."""
+    return rows.select(F.col("row_id").alias("ord"), "title", "summary", "link", "published_ts")
 
 
-def unseen(batch: DataFrame, urls: DataFrame, kept: DataFrame, as_of, **limits) -> DataFrame:
-    """Rows of the batch that no row of the history blocks.
+def _key_rows(thin: DataFrame) -> DataFrame:
+    """Stored key columns as a key table; linked rows only."""
+    rows = thin.filter(F.col("url").isNotNull()).withColumnRenamed("row_id", "ord")
+    order = spot(F.col("batch"), F.col("at"), F.col("ord"))
+    return rows.select("ord", "at", order.alias("spot"), "url", "site", "fp", "title_md5", "summary_md5", "title_len", "summary_len")
 
-    A row falls to a kept row with its URL, or to one with its fingerprint that it resembles (see ``duplicate_pairs``);
-    a shared fingerprint alone does not drop it. Both sides have ``url`` and ``fp``; ``batch_row`` tells the batch's rows apart.
-    """
-    left = batch.join(urls.select("url").distinct(), "url", "left_anti")
-    fields = ("title", "summary", "link", "published_ts")
-    side = lambda df, name, *more: df.select(
-        "fp", *more, *[F.col(c).alias(f"{name}_{c}") for c in fields[:3]],
-        F.coalesce("published_ts", instant(as_of)).alias(f"{name}_published_ts"),
-    )
-    pairs = side(left, "later", "batch_row").join(side(kept, "kept"), "fp")
-    blocked = duplicate_pairs(pairs, **limits).filter("is_duplicate").select("batch_row").distinct()
-    return left.join(blocked, "batch_row", "left_anti")
-
-
-def _with_keys(items: DataFrame) -> DataFrame:
-    """URL and fingerprint; a row without link, or without any text, gets keys of its own, which match nothing."""
-    own = F.concat(F.lit("row-"), F.expr("uuid()"))
-    linked = text_or_empty("link") != ""
-    worded = (text_or_empty("title") != "") | (text_or_empty("summary") != "")
-    return items.withColumns(
-        {
-            "url": F.when(linked, normalise_url("link")).otherwise(own),
-            "fp": F.when(linked & worded, fingerprint()).otherwise(own),
-            "batch_row": F.monotonically_increasing_id(),
-        }
-    )
+
+def _partner_rows(thin: DataFrame) -> DataFrame:
+    order = spot(F.col("batch"), F.col("at"), F.col("row_id"))
+    return thin.select(F.col("row_id").alias("ord"), "at", order.alias("spot"), F.coalesce("site", F.lit("")).alias("site"), "title_len", "summary_len")
 
 
 def ingest(
-    stream: DataFrame, root: str, as_of, curate: Callable[[DataFrame], DataFrame] | None = None, **limits
+    stream: DataFrame, root: str, as_of, curate: Callable[[DataFrame], DataFrame] | None = None, *, bucket_rows: int = BUCKET_ROWS,
+    threshold: float = THRESHOLD, window_hours: float = WINDOW_HOURS, alone: float = ALONE,
 ) -> StreamingQuery:
-    """Start the incremental job: drop what the history blocks, deduplicate the rest, append it.
+    """Start the incremental job: drop what repeats a kept row of this or an earlier batch, keep the rest.
+
+    The rule is that of one pass over the batches in turn, each newest first, ties by ``ord``, which must be unique inside a
+    batch: a row falls to a kept row with its URL or, where a kept row has its fingerprint, to any kept row that it resembles.
+    Where the cut between batches falls makes no difference to items that arrive newest first.
 
-    The rule is that of a pass over the batches in turn, each newest first: only kept rows block others, so rows that
-    the history blocks go before the batch is deduplicated. Where the cut between batches falls makes no difference to
-    items that arrive newest first. A row is compared with kept rows of earlier batches under its own fingerprint.
+    What a batch reads of the history (see ``History``) are the URLs in the folders of its own URLs, and the thin key columns
+    in the folders of its own fingerprints. Texts are read from these folders for rows whose lengths and hashes leave the
+    question open, and the whole history only for a row that shares its fingerprint with a kept row and resembles none of its
+    group, which is rare.
 
-    Output is ``root/items/batch_id=…`` and ``root/urls/batch_id=…``, in folders by hash of fingerprint and of URL. A
-    replayed batch overwrites its own folders, so results are exactly-once. ``curate`` may filter or score the rows
-    before they are compared; ``limits`` go to ``duplicate_pairs`` and ``deduplicate``.
+    ``curate`` may filter or score the rows before they are compared. A replayed batch replaces its own result.
     """
-    items_root, urls_root = f"{root}/items", f"{root}/urls"
+    rule = rule_of(threshold, window_hours, alone)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        keyed = stage(_with_keys(curate(batch) if curate else batch), "batch-keys")
-        urls = _history(spark, urls_root, batch_id, keyed, "url", T.StructType([T.StructField("url", T.StringType())]))
-        kept = _history(spark, items_root, batch_id, keyed, "fp", keyed.drop("batch_row").schema)
-        fresh = deduplicate(stage(unseen(keyed, urls, kept, as_of, **limits), "batch-unseen"), as_of, **limits)
-        path = f"batch_id={batch_id}"
-        fresh.drop("batch_row").withColumn("bucket", _bucket("fp")).write.mode("overwrite").partitionBy("bucket").parquet(f"{items_root}/{path}")
-        written = spark.read.schema(keyed.drop("batch_row").schema).parquet(f"{items_root}/{path}")
-        written.select("url", _bucket("url").alias("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(f"{urls_root}/{path}")
+        history = History(spark, root, batch_id, bucket_rows)
+        rows = stage(_numbered(curate(batch) if curate else batch, batch_id), "batch-rows")
+        turn = F.lit(batch_id)
+        found = stage(key_table(_as_items(rows), as_of, turn), "batch-keys")
+        seen = history.read("urls", _URLS, found, "url").distinct()
+        keys = found.join(seen, "url", "left_anti").select(*found.columns)
+        kept = history.read("items", _THIN, found, "fp").join(found.select("fp").distinct(), "fp", "left_semi")
+        both = stage(keys.unionByName(_key_rows(kept)), "batch-and-kept")
+        own = _as_items(rows).select("ord", "title", "summary")
+        near, whole = history.read("items", _TEXTS, found, "fp"), history.read("items", _TEXTS)
+        always = linkless_rows(_as_items(rows), as_of, turn).unionByName(_partner_rows(history.read("items", _THIN)))
+        dropped = settle(
+            own.unionByName(near.withColumnRenamed("row_id", "ord")), both, always, rule, reasons=False,
+            judged=F.col("spot.back_turn") == -batch_id, all_items=own.unionByName(whole.withColumnRenamed("row_id", "ord")),
+        )
+        linkless = linkless_rows(_as_items(rows), as_of, turn).select(
+            F.col("ord").alias("row_id"), "at", *[F.lit(None).cast(_THIN[c].dataType).alias(c) for c in ("url", "site", "fp", "title_md5", "summary_md5")],
+            "title_len", "summary_len",
+        )
+        linked = both.filter(F.col("spot.back_turn") == -batch_id).join(dropped.select("ord"), "ord", "left_anti")
+        thin = linked.withColumnRenamed("ord", "row_id").select(*linkless.columns).unionByName(linkless).withColumn("batch", turn.cast("long"))
+        fresh = stage(rows.drop(*(set(thin.columns) - {"row_id"})).join(thin, "row_id"), "batch-kept")
+        history.add("items", fresh, "fp")
+        history.add("urls", stage(fresh.filter("url IS NOT NULL").select("url"), "batch-urls"), "url")
+        history.commit()
 
     return (
         stream.writeStream.foreachBatch(write)
@@ -104,8 +119,12 @@ def ingest(
 
 
 def ingested(spark: SparkSession, root: str) -> DataFrame:
-    """Everything the incremental job has kept."""
-    return spark.read.parquet(f"{root}/items").drop("url", "fp", "bucket")
+    """Everything the incremental job has kept; without a finished batch, no rows of the item record."""
+    segments = [spark.read.parquet(path) for path, _ in History(spark, root).folders("items")]
+    if not segments:
+        return spark.createDataFrame([], ITEM)
+    rows = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), segments)
+    return rows.drop(*_THIN.fieldNames(), "bucket")
 
 
 def _first_arrivals(stream: DataFrame, name: str, key, window: str) -> DataFrame:

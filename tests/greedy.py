@@ -18,12 +18,12 @@ def is_duplicate(row, kept, threshold=0.85, hours=24, alone=0.95):
 
 
 def survivors(rows, scope="block", threshold=0.85, hours=24):
-    """``rows``: dicts with ord, at (microseconds), link, url, site, fp, title, summary.
+    """``rows``: dicts with ord, at (microseconds), link, url, site, fp, title, summary, and turn, the batch, if there are several.
 
     ``scope`` says where a similar kept row is looked for: in the row's fingerprint group, or anywhere.
     """
     kept, urls, prints = [], set(), set()
-    for row in sorted(rows, key=lambda r: (-r["at"], r["ord"])):
+    for row in sorted(rows, key=lambda r: (r.get("turn", 0), -r["at"], r["ord"])):
         if not row["link"]:
             kept.append(row)
             continue

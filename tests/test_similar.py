@@ -72,11 +72,10 @@ def titled(n, seed=1):
 def pairs_of(spark, rows):
     items = spark.createDataFrame(rows, "ord long, title string, summary string, link string, published string").withColumn(
         "published_ts", F.to_timestamp("published"))
-    rule = (dedup.THRESHOLD, dedup.ALONE, int(dedup.WINDOW_HOURS * 3_600_000_000))
-    keys = dedup.stage(dedup._keys(items, AS_OF), "test-keys")
-    nothing = spark.createDataFrame([], "ord long")
-    suspects = dedup.stage(dedup._suspects(keys, nothing).select(*dedup._PARTNER), "test-suspects")
-    pairs = dedup.outside_pairs(items, suspects, dedup._partners(items, keys, nothing, AS_OF), rule)
+    keys = dedup.stage(dedup.key_table(items, AS_OF), "test-keys")
+    suspects = dedup.stage(dedup._suspects(keys, spark.createDataFrame([], "ord long")).select(*dedup.PARTNER), "test-suspects")
+    partners = keys.select(*dedup.PARTNER).unionByName(dedup.linkless_rows(items, AS_OF))
+    pairs = dedup.outside_pairs(items, suspects, partners, dedup.rule_of())
     return suspects.count(), pairs.count()
 
 

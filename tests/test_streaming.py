@@ -2,9 +2,16 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import pathlib
 
+import pytest
+
+from greedy import survivors
+from test_dedup import mixed, restated
+
+from feedloom.operators.dedup import deduplicate
 from feedloom.schema import with_published_ts
-from feedloom.streaming import ingest
+from feedloom.streaming import history, ingest
 
 AS_OF = dt.datetime(2024, 1, 16)
 
@@ -57,7 +64,7 @@ def test_a_shared_fingerprint_alone_does_not_block(spark, tmp_path):
         (landed / f"{o}.json").write_text(json.dumps({"ord": o, "title": t, "link": link, "published": p, "summary": summary}))
         kept = run(spark, landed, root)
     items = with_published_ts(spark.read.schema(ingest.ITEM).json(str(landed)))
-    assert kept == sorted(r.ord for r in ingest.deduplicate(items, AS_OF).collect()) == [1, 2]
+    assert kept == sorted(r.ord for r in deduplicate(items, AS_OF).collect()) == [1, 2]
 
 
 def test_batches_that_arrive_newest_first_equal_one_pass(spark, tmp_path):
@@ -67,7 +74,72 @@ def test_batches_that_arrive_newest_first_equal_one_pass(spark, tmp_path):
         land(landed, f"{n}.json", rows[n * 10:n * 10 + 10])
         kept = run(spark, landed, root)
     items = with_published_ts(spark.read.schema(ingest.ITEM).json(str(landed)))
-    assert kept == sorted(r.ord for r in ingest.deduplicate(items, AS_OF, scope="block").collect())
+    assert kept == sorted(r.ord for r in deduplicate(items, AS_OF).collect())
+
+
+def land_items(spark, folder, name, rows):
+    """``rows``: ord, title, summary, link, published."""
+    folder.mkdir(exist_ok=True)
+    fields = ("ord", "title", "summary", "link", "published")
+    (folder / name).write_text("\n".join(json.dumps(dict(zip(fields, r))) for r in rows))
+
+
+def test_a_similar_row_of_another_fingerprint_in_an_earlier_batch(spark, tmp_path):
+    """Row 1 shares its fingerprint with row 2, which it doesn't resemble, and falls to row 0, which has another; so row 3,
+    which it would block, stays."""
+    long = "<kkkkkkkkkkkkkkkkkkkkkkkkkkkkkkkkkkkk>go"
+    batches = [
+        [(0, long, "", "http://other/1", "2024-01-09 09:00:00"), (2, "go", "", "http://h/2", "2024-01-09 09:00:00")],
+        [(1, long, "", "http://h/1", "2024-01-09 08:00:00")],
+        [(3, "something else", "", "http://h/1#again", "2024-01-09 01:00:00")],
+    ]
+    landed, root = tmp_path / "landed", tmp_path / "out"
+    for n, rows in enumerate(batches):
+        land_items(spark, landed, f"{n}.json", rows)
+        kept = run(spark, landed, root)
+    assert kept == [0, 2, 3]
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_random_batches_equal_the_plain_pass(spark, tmp_path, seed):
+    """Chains of dependent rows dealt out over batches, whatever their times: a pass over the batches in turn."""
+    landed, root = tmp_path / "landed", tmp_path / "out"
+    rows = [
+        (i, t, s, link, "" if h is None else f"2024-01-{10 + h // 24:02d} {h % 24:02d}:00:00") for i, (t, s, link, h) in enumerate(mixed(seed, 60))
+    ]
+    turns = {}
+    for n in range(3):
+        part = rows[n * 20:n * 20 + 20]
+        turns |= {r[0]: n for r in part}
+        land_items(spark, landed, f"{n}.json", part)
+        kept = run(spark, landed, root)
+    items = with_published_ts(spark.read.schema(ingest.ITEM).json(str(landed)))
+    assert kept == sorted(survivors([{**r, "turn": turns[r["ord"]]} for r in restated(items)], scope="all"))
+
+
+def size_of(folders):
+    return sum(f.stat().st_size for _, paths in folders for p in paths for f in pathlib.Path(p).rglob("*.parquet"))
+
+
+def test_what_a_batch_reads_stays_flat(spark, tmp_path):
+    """Lookups of a few keys read a few folders, however many rows are kept; segments stay few."""
+    probe = spark.createDataFrame([(f"key-{i * 1000}",) for i in range(4)], "url string")
+    read, kept, segments = [], [], []
+    for n in range(20):
+        tables = history.History(spark, str(tmp_path), n, bucket_rows=50)
+        rows = spark.createDataFrame([(f"key-{n * 1000 + i}",) for i in range(1000)], "url string")
+        tables.add("urls", rows.coalesce(1), "url")
+        tables.commit()
+        now = history.History(spark, str(tmp_path))
+        read.append(size_of(now.folders("urls", probe, "url")))
+        kept.append(size_of(now.folders("urls")))
+        segments.append(len(now.segments("urls")))
+    found = history.History(spark, str(tmp_path)).read("urls", ingest._URLS, probe, "url")
+    assert found.join(probe, "url", "left_semi").count() == 4
+    assert history.History(spark, str(tmp_path)).read("urls", ingest._URLS).distinct().count() == 20_000
+    # A segment is read in at most as many folders as there are keys.
+    assert max(segments) <= 9 and max(read) <= 4 * 9 * 3000 and read[-1] < 0.25 * kept[-1]
+    assert len(list((tmp_path / "urls").iterdir())) <= max(segments) + 9
 
 
 def test_stream_dedup_within_watermark(spark, tmp_path):
