@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from feedloom.catalog.base import (
     AS_OF, AS_OF_SQL, Registry, dated_items, instant_sql, instant_text, with_items,
 )
-from feedloom.catalog.duplicates import FINGERPRINT, survivors_sql, walk_sql, with_copies
+from feedloom.catalog.duplicates import FINGERPRINT, keyed_sql, survivors_sql, walk_sql, with_copies
 from feedloom.catalog.rows import NEEDS, NEWEST, UNSUMMARISED, unsummarised
 from feedloom.catalog.scalars import (
     clean_sql, digest_date_sql, escape_sql, mentions_sql, norm_url_sql, page_text_sql, pages, score_sql, strip_sql, template_sql,
@@ -22,7 +22,7 @@ from feedloom.operators.joins import merge_summaries
 from feedloom.operators.ranking import assign_batches, number_sorted
 from feedloom.plans import curation
 from feedloom.schema import conform, with_published_ts
-from feedloom.session import stage_path
+from feedloom.session import stage, stage_path
 from feedloom.sources import storage
 from feedloom.streaming import ingest
 
@@ -157,6 +157,28 @@ def _(spark, sf):
     return done.select("ord", "generated_summary")
 
 
+def no_call(texts: list[str]) -> list[str]:
+    """Stand-in for a model that must not be called."""
+    raise RuntimeError(f"called for {len(texts)} texts")
+
+
+@add("c03_cache_roundtrip", with_items(summarised_sql(FIRST_WORDS), UNSUMMARISED, GATED))
+def _(spark, sf):
+    """Summaries go to the cache of a first run; a second run takes all of them from there."""
+    items = unsummarised(spark, sf)
+    made = summaries.batch_summarise(items, first_words)
+    cache = stage(summaries.fresh_cache_rows(made, 1), "summary-cache")
+    return summaries.batch_summarise(items, no_call, cache=cache).select("ord", "generated_summary")
+
+
+@add("c03_call_log", with_items(summarised_sql(FIRST_WORDS), UNSUMMARISED, GATED))
+def _(spark, sf):
+    """Half of the items are summarised by a run that logs its calls; the run over all calls for the others only."""
+    items, log = unsummarised(spark, sf), stage_path(spark, "calls")
+    summaries.batch_summarise(items.filter("batch_index % 2 = 0"), first_words, log=log, waves=2)
+    return summaries.batch_summarise(items, first_words, log=log, waves=2).select("ord", "generated_summary")
+
+
 @add("c03_summarise_pages", f"""
 WITH texts AS (SELECT page_id, url, {page_text_sql('html')} AS body FROM pages),
 landed AS (SELECT url, min(body) AS body FROM texts GROUP BY url)
@@ -335,6 +357,25 @@ def _(spark, sf):
     return spark.read.parquet(f"{root}/rows").select("norm_url")
 
 
+@add("t02_dedup_stream_newest", with_items(
+    """SELECT ord, norm_url FROM (SELECT ord, norm_url, row_number() OVER (PARTITION BY norm_url, session ORDER BY published_ts DESC, ord) AS rn
+       FROM sessions) WHERE rn = 1 UNION ALL SELECT ord, NULL FROM items WHERE link = '' OR published_ts IS NULL""",
+    keyed_sql(),
+    """gaps AS (SELECT *, lag(published_ts) OVER (PARTITION BY norm_url ORDER BY published_ts, ord) AS before
+       FROM keyed WHERE link <> '' AND published_ts IS NOT NULL)""",
+    """sessions AS (SELECT *, count(*) FILTER (WHERE before IS NULL OR published_ts >= before + INTERVAL 24 HOUR)
+       OVER (PARTITION BY norm_url ORDER BY published_ts, ord) AS session FROM gaps)"""))
+def _(spark, sf):
+    """Items arrive in any order; a later row of another time closes all sessions."""
+    root, folder = stage_path(spark, "dedup-stream-newest"), landed_items(spark, sf)
+    stream = with_published_ts(ingest.item_stream(spark, folder))
+    ingest.run_to_folder(ingest.dedup_stream_newest(stream), root).awaitTermination()
+    closing = spark.createDataFrame([(-1, "https://closing.example.org/", "2100-01-01 00:00:00")], "ord long, link string, published string")
+    closing.write.mode("append").json(folder)
+    ingest.run_to_folder(ingest.dedup_stream_newest(with_published_ts(ingest.item_stream(spark, folder))), root).awaitTermination()
+    return spark.read.parquet(f"{root}/rows").select("ord", "norm_url")
+
+
 @add("t02_dedup_stream_fingerprint", with_items(
     f"""SELECT DISTINCT {FINGERPRINT} AS fp FROM items WHERE link <> '' AND published_ts IS NOT NULL
        UNION ALL SELECT NULL FROM items WHERE link = '' OR published_ts IS NULL"""))

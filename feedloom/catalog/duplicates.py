@@ -96,8 +96,15 @@ def _(spark, sf):
 
 @add("d06_similarity")
 def _(spark, sf):
-    pairs = url_pairs(spark, sf).select("later_ord", "kept_ord", "later_title", "kept_title")
-    return dedup.with_similarity(pairs, "later_title", "kept_title").select("later_ord", "kept_ord", "similarity")
+    """Both ratios that the rule asks for, of whole texts."""
+    pairs = dedup.with_similarity(url_pairs(spark, sf), "later_summary", "kept_summary").withColumnRenamed("similarity", "summary_similarity")
+    return dedup.with_similarity(pairs, "later_title", "kept_title").select("later_ord", "kept_ord", "similarity", "summary_similarity")
+
+
+@add("d06_similar_titles")
+def _(spark, sf):
+    """All pairs of items, under one URL or not, whose titles are alike at the ratio that suffices alone."""
+    return dedup.similar_titles(dated_items(spark, sf).select("ord", "title"))
 
 
 # With thresholds of 1 similar means equal, which SQL can state; then the rule is a walk over the items, newest first.

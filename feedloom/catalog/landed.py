@@ -306,6 +306,19 @@ def _(spark, sf):
     return profiles.profile_posts(source, AS_OF, no_link).select("id", "link")
 
 
+@add("s11_read_config", """SELECT page_id // 50 AS config, CAST(row_number() OVER (PARTITION BY page_id // 50 ORDER BY page_id) - 1 AS INT) AS source_ord,
+  CAST(page_id AS VARCHAR) AS name, url, 'c' || CAST(page_id % 3 AS VARCHAR) AS category FROM pages""")
+def _(spark, sf):
+    """A configuration document for every fifty pages, and the feeds of each with their positions."""
+    folder, id_ = stage_path(spark, "config"), F.col("page_id")
+    feed = F.struct(id_.cast("string").alias("name"), "url", F.concat(F.lit("c"), (id_ % 3).cast("string")).alias("category"))
+    feeds = F.transform(F.array_sort(F.collect_list(F.struct("page_id", feed.alias("feed")))), lambda x: x["feed"])
+    pages(spark, sf).groupBy(F.floor(id_ / 50).alias("config")).agg(feeds.alias("rss_feeds")).write.partitionBy("config").json(folder)
+    found = config.read_config(spark, folder).withColumn("file", F.col("_metadata.file_path"))
+    number = F.regexp_extract("file", "config=([0-9]+)", 1).cast("long").alias("config")
+    return found.select(number, F.posexplode("rss_feeds").alias("source_ord", "row")).select("config", "source_ord", "row.*")
+
+
 @add("s11_valid_feeds", """SELECT page_id AS source_ord, title AS name, url, category FROM (
   SELECT page_id, regexp_extract(html, '<title>([^<]*)', 1) AS title, CASE WHEN page_id % 4 = 1 THEN substr(url, 6) ELSE url END AS url,
     CASE page_id % 5 WHEN 0 THEN '' WHEN 1 THEN repeat('c', 51) ELSE 'news' END AS category FROM pages)

@@ -146,6 +146,20 @@ def _(spark, sf):
     return items(spark, sf).select("ord", instant_text(dates.parse_published("published"), "at"))
 
 
+# All digits joined, and the first of the five letters that stands anywhere in the text.
+@add("f08_relative_age_reference", f"""
+SELECT doc_id, {instant_sql(f'''{AS_OF_SQL} - CASE WHEN doc_id % 6 = 0 OR n_chars % 5 = 0 THEN to_hours(n)
+  WHEN doc_id % 6 = 1 OR n_chars % 5 = 1 THEN to_days(n) WHEN doc_id % 6 = 2 OR n_chars % 5 = 2 THEN to_days(7 * n)
+  WHEN doc_id % 6 = 3 OR n_chars % 5 = 3 THEN to_days(30 * n) ELSE to_days(365 * n) END''')} AS at
+FROM (SELECT *, CAST(doc_id % 3 * 10 + n_chars % 10 AS INT) AS n FROM documents WHERE doc_id % 6 <> 5)""")
+def _(spark, sf):
+    units = F.array(*[F.lit(u) for u in _AGE_UNITS])
+    unit = lambda c, n: F.element_at(units, (F.col(c) % n + 1).cast("int"))
+    rows = table(spark, sf, "documents").filter("doc_id % 6 <> 5")
+    age = F.concat((F.col("doc_id") % 3).cast("string"), unit("doc_id", 6), F.lit(" + "), (F.col("n_chars") % 10).cast("string"), unit("n_chars", 5))
+    return rows.select("doc_id", instant_text(dates.relative_age(age, AS_OF, mode="reference"), "at"))
+
+
 _AGE_UNITS = ("h", "d", "w", "mo", "y", " ago")
 
 

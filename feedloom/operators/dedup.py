@@ -23,7 +23,7 @@ from feedloom.functions.text import content_words, process_text, strip, text_or_
 from feedloom.functions.urls import netloc, normalise_url
 from feedloom.operators.similar import candidate_pairs
 from feedloom.schema import with_published_ts
-from feedloom.session import absolute_path, stage
+from feedloom.session import absolute_path, publish, stage
 from feedloom.sources.storage import load_ordered_items
 
 THRESHOLD = 0.85
@@ -105,6 +105,31 @@ def with_similarity(df: DataFrame, later: str, kept: str) -> DataFrame:
     return df.withColumn("similarity", similarity_ratio(later, kept))
 
 
+def similar_titles(items: DataFrame, threshold: float = ALONE) -> DataFrame:
+    """``later_ord, kept_ord, similarity`` of all pairs of rows whose titles, case apart, have at least that ratio; the row
+    with the smaller ``ord`` is the kept one. Empty titles resemble nothing.
+
+    Equal titles are compared once, so the rows of a title that many share meet in the result only.
+    """
+    titles = items.select("ord", F.lower(text_or_empty("title")).alias("text")).filter("text <> ''")
+    titles = stage(titles, "titles")
+    distinct = stage(titles.groupBy("text").agg(F.min("ord").alias("number")), "distinct-titles")
+    bucket = _length_bucket(F.length("text"), threshold)
+    kept = distinct.select(F.col("number").alias("ord"), bucket.cast("string").alias("key"), F.lit(float(threshold)).alias("threshold"), "text")
+    near = _around(bucket)
+    later = distinct.select(F.col("number").alias("ord"), F.explode(near.cast("array<string>")).alias("key"), "text")
+    side = lambda s: distinct.select(F.col("number").alias(f"{s}_ord"), F.col("text").alias(f"{s}_text"))
+    pairs = candidate_pairs(later, kept).filter("later_ord <> kept_ord").join(side("later"), "later_ord").join(side("kept"), "kept_ord")
+    possible = pairs.filter(character_bound(F.col("later_text"), F.col("kept_text")) >= threshold - 1e-9)
+    alike = with_similarity(possible, "later_text", "kept_text").filter(F.col("similarity") >= threshold)
+    itself = distinct.select(F.col("text").alias("later_text"), F.col("text").alias("kept_text"), F.lit(1.0).alias("similarity"))
+    alike = alike.select("later_text", "kept_text", "similarity").unionByName(itself)
+    rows = lambda s: titles.select(F.col("ord").alias(f"{s}_ord"), F.col("text").alias(f"{s}_text"))
+    return alike.join(rows("later"), "later_text").join(rows("kept"), "kept_text").filter("kept_ord < later_ord").select(
+        "later_ord", "kept_ord", "similarity"
+    )
+
+
 # --- exact greedy pass -------------------------------------------------------------------------------
 
 
@@ -544,12 +569,13 @@ def dedup_report(items: DataFrame, dropped: DataFrame) -> DataFrame:
 def dedup_job(spark: SparkSession, source: str, target: str, as_of, multi_line: bool | None = None, **options) -> DataFrame:
     """Read JSON items, deduplicate, write JSON to ``target``; returns the report.
 
-    Items need no ``ord`` and no ``published_ts``. A record that can't be read is an error. The target must lie outside the source, which is never changed.
+    Items need no ``ord`` and no ``published_ts``. A record that can't be read is an error. The target must lie
+    outside the source, which is never changed, and is replaced when the result is whole.
     """
     inside = (absolute_path(spark, source) + "/", absolute_path(spark, target) + "/")
     if inside[0].startswith(inside[1]) or inside[1].startswith(inside[0]):
         raise ValueError(f"source and target are the same or nested: {source}, {target}")
     items = stage(with_published_ts(load_ordered_items(spark, source, multi_line, refuse=True)), "dedup-items")
     dropped = stage(dropped_rows(items, as_of, **{"reasons": False, **options}), "dropped")
-    items.join(dropped.select("ord"), "ord", "left_anti").write.mode("overwrite").json(target)
+    publish(spark, target, items.join(dropped.select("ord"), "ord", "left_anti").write.json)
     return dedup_report(items, dropped)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from feedloom.clock import days_before
 from feedloom.functions.text import strip, text_or_empty
+from feedloom.session import stage
 
 RELEVANT = 30
 
@@ -76,11 +77,13 @@ def batch_gate(df: DataFrame, needs: Column, gate: str = "any", batch: str = "ba
     """Add ``eligible``: with ``any``, one needy member opens its whole batch; with ``whole``, it opens the whole
     input; with ``row``, each row decides.
 
-    The window is bounded by the batch size, so no key can grow hot; the whole input is a scalar aggregate.
+    The window is bounded by the batch size, so no key can grow hot. The whole input is a scalar aggregate over a stage
+    table, so what leads to it is computed once.
     """
     if gate == "row":
         return df.withColumn("eligible", needs)
     if gate == "whole":
+        df = stage(df, "gated")
         return df.withColumn("eligible", df.agg(F.coalesce(F.bool_or(needs), F.lit(False))).scalar())
     return df.withColumn("eligible", F.bool_or(needs).over(Window.partitionBy(batch)))
 

@@ -13,16 +13,25 @@ def enrich_with_source(entries: DataFrame, sources: DataFrame, key: str = "sourc
 
 
 def with_video_statistics(videos: DataFrame, statistics: DataFrame, key: str = "video_id") -> DataFrame:
-    """Attach view, like and comment counts; videos without details keep nulls."""
+    """Attach view, like and comment counts; videos without details keep nulls.
+
+    A video landed with several rows of details takes the row that is last in text order, so it stays one row. Details are
+    combined before the shuffle.
+    """
     counts = {c: F.coalesce(F.col(c), F.lit("0")) for c in ("views", "likes", "comments")}
-    return videos.join(statistics.withColumns(counts), key, "left")
+    rest = [c for c in statistics.columns if c not in (key, *counts)]
+    one = statistics.withColumns(counts).groupBy(key).agg(F.max(F.struct(*counts, *rest)).alias("details"))
+    return videos.join(one, key, "left").select(*[F.col(c) for c in videos.columns], *[F.col(f"details.{c}").alias(c) for c in statistics.columns if c != key])
 
 
 def merge_summaries(items: DataFrame, summaries: DataFrame) -> DataFrame:
-    """Copy non-empty summaries onto their items by ``ord``; other items keep what they had."""
+    """Copy non-empty summaries onto their items by ``ord``; other items keep what they had.
+
+    Of several summaries of an item the last in text order counts, field by field, so an item stays one row.
+    """
     fields = ("ai_summary", "generated_summary")
-    new = summaries.select("ord", *[F.col(f).alias(f"new_{f}") for f in fields])
-    merged = {f: F.coalesce(F.nullif(F.col(f"new_{f}"), F.lit("")), F.col(f)) for f in fields}
+    new = summaries.groupBy("ord").agg(*[F.max(F.nullif(F.col(f), F.lit(""))).alias(f"new_{f}") for f in fields])
+    merged = {f: F.coalesce(F.col(f"new_{f}"), F.col(f)) for f in fields}
     return items.join(new, "ord", "left").withColumns(merged).drop(*[f"new_{f}" for f in fields])
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from feedloom.functions.text import content_hash, fallback_summary, prepare_for_summary, strip, text_or_empty
 from feedloom.operators.filters import batch_gate, needs_summary, summary_route
-from feedloom.session import stage
+from feedloom.session import path_exists, stage
 
 Summariser = Callable[[list[str]], list[str]]
 
@@ -33,6 +33,24 @@ def _call(work: DataFrame, summarise: Summariser, rows_per_call: int) -> DataFra
     return work.mapInPandas(run, schema)
 
 
+_RESULT = T.StructType([T.StructField(n, T.StringType()) for n in ("hash", "generated", "error")])
+
+
+def _call_logged(work: DataFrame, summarise: Summariser, rows_per_call: int, log: str, waves: int) -> DataFrame:
+    """As ``_call``, in waves that are appended to a log; what the log has is not called again, failed lists are.
+
+    A wave counts when its job ends, so a run that is killed loses the calls of one wave.
+    """
+    spark = work.sparkSession
+    logged = lambda: spark.read.schema(_RESULT).parquet(log) if path_exists(spark, log) else spark.createDataFrame([], _RESULT)
+    missing = stage(work.join(logged().filter("error IS NULL").select("hash"), "hash", "left_anti"), "summary-work")
+    for wave in range(waves):
+        part = missing.filter(F.pmod(F.xxhash64("hash"), F.lit(waves)) == wave)
+        _call(part, summarise, rows_per_call).write.mode("append").parquet(log)
+    best = F.max_by(F.struct("generated", "error"), F.struct(F.col("error").isNull(), "generated"))
+    return logged().join(work.select("hash"), "hash", "left_semi").groupBy("hash").agg(best.alias("r")).select("hash", "r.*")
+
+
 def batch_summarise(
     items: DataFrame,
     summarise: Summariser | None = None,
@@ -44,6 +62,8 @@ def batch_summarise(
     batch: str = "batch_index",
     rows_per_call: int = 3,
     max_length: int = 150,
+    log: str | None = None,
+    waves: int = 8,
 ) -> DataFrame:
     """Add ``generated_summary`` to the eligible rows of each batch (see ``batch_gate``).
 
@@ -51,7 +71,8 @@ def batch_summarise(
     from ``pages(link, text)`` when given. A text that occurs many times is summarised once: distinct hashes
     go through the cache and the callable, and results are joined back. Without a callable the summary is the
     prefix form of ``fallback_summary``, computed natively. Other rows pass through unchanged; a failed call
-    leaves its rows without a summary and says why in ``summary_error``.
+    leaves its rows without a summary and says why in ``summary_error``. With ``log``, a folder, results are kept there by
+    hash as they come, in ``waves`` jobs, and a later run calls for missing texts only, also after one that was killed.
     """
     gated = batch_gate(items, needs_summary(), gate, batch)
     routed = gated.withColumn("route", F.when(F.col("eligible"), summary_route(content, link)))
@@ -86,7 +107,10 @@ def batch_summarise(
         known = cache.select("hash", F.col("summary").alias("generated"), F.lit(None).cast("string").alias("error"))
         work = work.join(known.select("hash"), "hash", "left_anti")
     # Written once: a call is dear, and a lost executor must not repeat the finished ones.
-    results = stage(_call(work, summarise, rows_per_call), "summaries")
+    if log is None:
+        results = stage(_call(work, summarise, rows_per_call), "summaries")
+    else:
+        results = stage(_call_logged(work, summarise, rows_per_call, log, waves), "summaries")
     results = results if known is None else results.unionByName(known)
     joined = routed.join(results, "hash", "left").withColumnRenamed("error", "summary_error")
     short = F.when(~F.col("_long"), F.col("_text"))

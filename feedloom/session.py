@@ -98,6 +98,18 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     move(spark, target.toString(), path)
 
 
+def publish(spark: SparkSession, path: str, write) -> None:
+    """Run ``write(folder)`` for a folder beside ``path`` that readers overlook, and put it in the place of ``path`` when it is
+    whole. A job that fails or is killed while writing leaves what was there."""
+    parent, _, name = path.rstrip("/").rpartition("/")
+    folder = f"{parent}/_writing-{name.replace('=', '-')}-{uuid.uuid4().hex}"
+    try:
+        write(folder)
+        move(spark, folder, path)
+    finally:
+        remove(spark, folder)
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     """The text of a small file."""
     files, target = _file_system(spark, path)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, ty
 
 from feedloom.operators.ranking import dense_positions
 from feedloom.schema import ITEM
-from feedloom.session import path_exists
+from feedloom.session import path_exists, publish
 from feedloom.sources.json_records import json_records
 
 
@@ -60,9 +60,9 @@ def load_ordered_items(spark: SparkSession, path: str, multi_line: bool | None =
 
 
 def save_items(items: DataFrame, root: str, run_ts: str, fmt: str = "json") -> str:
-    """Write one snapshot under ``run_ts=…``; writing the same run again replaces it."""
+    """Write one snapshot under ``run_ts=…``; writing the same run again replaces it when the new one is whole."""
     path = f"{root}/run_ts={run_ts}"
-    items.write.mode("overwrite").option("ignoreNullFields", False).format(fmt).save(path)
+    publish(items.sparkSession, path, items.write.option("ignoreNullFields", False).format(fmt).save)
     return path
 
 
@@ -85,7 +85,7 @@ def latest_snapshot(spark: SparkSession, root: str, fmt: str = "json") -> DataFr
 def store_stage(df: DataFrame, root: str, name: str, run_ts: str) -> str:
     """Hand a frame to a later job as parquet; returns its URI."""
     uri = f"{root}/{name}/run_ts={run_ts}"
-    df.write.mode("overwrite").parquet(uri)
+    publish(df.sparkSession, uri, df.write.parquet)
     return uri
 
 
@@ -95,4 +95,4 @@ def retrieve_stage(spark: SparkSession, uri: str) -> DataFrame:
 
 def save_digest(digest: DataFrame, path: str) -> None:
     """Write the one-row digest as a single text file."""
-    digest.select(F.col("digest").alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    publish(digest.sparkSession, path, digest.select(F.col("digest").alias("value")).coalesce(1).write.text)

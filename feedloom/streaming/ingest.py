@@ -151,6 +151,22 @@ def dedup_stream_by_fingerprint(stream: DataFrame, window: str = "24 hours") ->
     return _first_arrivals(stream, "fp", fingerprint(), window)
 
 
+def dedup_stream_newest(stream: DataFrame, window: str = "24 hours") -> DataFrame:
+    """The newest row of every normalised URL (``norm_url``) among rows less than ``window`` apart, whenever they arrive.
+
+    Rows of a URL form sessions by event time; a session's newest row, ties by the smallest ``ord``, is emitted when the
+    watermark, ``window`` behind, has passed its end, so a late row counts as long as its session is open. Rows without a
+    link or a time pass at once, with a null key.
+    """
+    bounded = F.coalesce((text_or_empty("link") != "") & F.col("published_ts").isNotNull(), F.lit(False))
+    keyed = stream.filter(bounded).withColumn("norm_url", normalise_url("link")).withWatermark("published_ts", window)
+    fields = [F.col(c) for c in stream.columns]
+    newest = F.max_by(F.struct(*fields), F.struct("published_ts", -F.col("ord")))
+    sessions = keyed.groupBy(F.session_window("published_ts", window), "norm_url").agg(newest.alias("row"))
+    rest = stream.filter(~bounded).withColumn("norm_url", F.lit(None).cast("string"))
+    return sessions.select("row.*", "norm_url").union(rest)
+
+
 def run_to_folder(stream: DataFrame, root: str) -> StreamingQuery:
     """Append a stream's rows to ``root/rows`` and stop when the input is used up."""
     return (

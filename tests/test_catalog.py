@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ def con():
 
 def test_registry():
     assert ORACLES.keys() <= QUERIES.keys()
-    assert sorted(QUERIES.keys() - ORACLES.keys()) == ["d05_duplicate_pairs", "d06_similarity"]
+    assert sorted(QUERIES.keys() - ORACLES.keys()) == ["d05_duplicate_pairs", "d06_similar_titles", "d06_similarity"]
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -55,6 +56,20 @@ def test_similar_pairs(spark):
     for p in ratios:
         sides = items[p.later_ord]["title"].lower(), items[p.kept_ord]["title"].lower()
         assert p.similarity == pytest.approx(greedy.alike(*sides))
+        sides = items[p.later_ord]["summary"].lower(), items[p.kept_ord]["summary"].lower()
+        assert p.summary_similarity == pytest.approx(greedy.alike(*sides))
+
+
+def test_similar_titles(spark):
+    """The similarity join against every pair."""
+    titles = {r.ord: (r.title or "").lower() for r in dated_items(spark, SF_DIR).select("ord", "title").collect()}
+    want = {}
+    for later, a in titles.items():
+        for kept, b in titles.items():
+            if kept < later and a and b and SequenceMatcher(None, a, b).real_quick_ratio() >= 0.95 and (ratio := greedy.alike(a, b)) >= 0.95:
+                want[later, kept] = ratio
+    got = {(r.later_ord, r.kept_ord): r.similarity for r in QUERIES["d06_similar_titles"](spark, SF_DIR).collect()}
+    assert got.keys() == want.keys() and all(got[p] == pytest.approx(want[p]) for p in want)
 
 
 def test_entry(spark):

@@ -157,3 +157,13 @@ def test_fetch_and_filter_stats(spark):
         "rss_count": 2, "github_count": 0, "youtube_count": 1, "total_items": 3,
     }
     assert tuple(stats.filter_stats(df, F.col("origin") == "rss").first()) == (3, 2)
+
+
+def test_repeated_keys_do_not_multiply_rows(spark):
+    videos = spark.createDataFrame([("a", "x"), ("b", "y")], "video_id string, title string")
+    statistics = spark.createDataFrame([("a", "5", "1", None), ("a", "7", None, "2")], "video_id string, views string, likes string, comments string")
+    got = joins.with_video_statistics(videos, statistics).orderBy("video_id").collect()
+    assert [tuple(r) for r in got] == [("a", "x", "7", "0", "2"), ("b", "y", None, None, None)]
+    items = spark.createDataFrame([(0, None, None), (1, "old", None)], "ord long, ai_summary string, generated_summary string")
+    new = spark.createDataFrame([(0, "s", ""), (0, "", "g"), (1, "", "")], "ord long, ai_summary string, generated_summary string")
+    assert [tuple(r) for r in joins.merge_summaries(items, new).orderBy("ord").collect()] == [(0, "s", "g"), (1, "old", None)]

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -206,3 +207,14 @@ def test_digest_file(spark, tmp_path):
 def test_options_are_checked(bad):
     with pytest.raises(ValueError):
         curation.Options(**bad)
+
+
+def test_a_job_that_fails_while_writing_leaves_the_old_result(spark, tmp_path):
+    root = str(tmp_path / "runs")
+    items = conform(spark.createDataFrame([(1, "a"), (2, "b")], "ord long, title string"))
+    storage.save_items(items, root, "20240101_000000")
+    broken = items.withColumn("title", F.when(F.col("ord") == 2, F.raise_error(F.lit("lost"))).otherwise(F.col("title")))
+    with pytest.raises(Exception, match="lost"):
+        storage.save_items(broken, root, "20240101_000000")
+    assert [r.title for r in storage.latest_snapshot(spark, root).orderBy("ord").collect()] == ["a", "b"]
+    assert os.listdir(root) == ["run_ts=20240101_000000"]

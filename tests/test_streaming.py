@@ -155,3 +155,20 @@ def test_stream_dedup_within_watermark(spark, tmp_path):
     prints = tmp_path / "prints"
     ingest.run_to_folder(ingest.dedup_stream_by_fingerprint(items), str(prints)).awaitTermination()
     assert spark.read.parquet(f"{prints}/rows").count() == 3
+
+
+def test_newest_row_of_a_window_wins(spark, tmp_path):
+    """A row that arrives later and is newer wins, so does one that arrived before an older one; a day apart is another session."""
+    landed, root = tmp_path / "landed", tmp_path / "out"
+    batches = [
+        [(0, "a", "http://h/1", "2024-01-01 10:00:00"), (1, "b", "http://h/2", "2024-01-01 12:00:00"), (2, "c", "", "2024-01-01 01:00:00"), (3, "d", "http://h/9", "")],
+        [(4, "a", "http://h/1#x", "2024-01-01 20:00:00"), (5, "b", "http://h/2?utm_source=x", "2024-01-01 09:00:00"), (6, "b", "http://h/2", "2024-01-01 12:00:00")],
+        [(7, "a", "http://h/1", "2024-01-04 00:00:00")],
+        [(8, "z", "http://h/z", "2030-01-01 00:00:00")],
+    ]
+    for n, rows in enumerate(batches):
+        land(landed, f"{n}.json", rows)
+        items = with_published_ts(ingest.item_stream(spark, str(landed)))
+        ingest.run_to_folder(ingest.dedup_stream_newest(items), str(root)).awaitTermination()
+    got = {(r.norm_url, r.ord) for r in spark.read.parquet(f"{root}/rows").collect()}
+    assert got == {("http://h/1", 4), ("http://h/2", 1), ("http://h/1", 7), (None, 2), (None, 3)}

@@ -95,3 +95,44 @@ def test_cache_round_trip_by_content_and_by_link(spark):
     hits = cache_hits(rows, cache, "summary", "link").orderBy("ord").collect()
     assert [r.cached for r in hits] == [LONG[:5], "first", "secon", None] and hits[3].hash is None
     assert [r.ord for r in cache_misses(rows, cache, "summary", "link").collect()] == [hits[3].ord]
+
+
+def test_calls_survive_a_failed_job(spark, tmp_path):
+    """A worker that dies loses the calls of its wave only; the next run calls for what the log lacks."""
+    rows = frame(spark, *[(f"text {i} " * 30, None, "") for i in range(24)], ("", None, "http://b"))
+    calls, log = str(tmp_path / "calls"), str(tmp_path / "log")
+
+    def summarise(texts, deadly=None):
+        if deadly is not None and any(t.startswith(deadly) for t in texts):
+            raise SystemExit(1)
+        with open(calls, "a") as out:
+            out.writelines(f"{t.split()[1]}\n" for t in texts)
+        return [t[:7].upper() for t in texts]
+
+    wave = F.pmod(F.xxhash64(content_hash("summary")), F.lit(6))
+    last = rows.filter("ord < 24").select("ord", wave.alias("wave")).orderBy(F.desc("wave"), "ord").first().ord
+    with pytest.raises(Exception):
+        summaries.batch_summarise(rows, lambda texts: summarise(texts, f"text {last} "), gate="whole", rows_per_call=1, log=log, waves=6)
+    logged = spark.read.parquet(log).select("hash").collect()
+    assert 0 < len(logged) < 24
+    open(calls, "w").close()
+    done = results(summaries.batch_summarise(rows, summarise, gate="whole", rows_per_call=1, log=log, waves=6))
+    assert done[:24] == [f"TEXT {i} "[:7] for i in range(24)]
+    called = open(calls).read().split()
+    assert str(last) in called and len(called) == len(set(called)) == 24 - len(logged)
+    open(calls, "w").close()
+    summaries.batch_summarise(rows, summarise, gate="whole", log=log).collect()
+    assert open(calls).read() == ""
+
+
+def test_a_failed_list_is_called_again(spark, tmp_path):
+    rows = frame(spark, (LONG, None, ""), ("", None, "http://b"))
+    log = str(tmp_path / "log")
+
+    def failing(texts):
+        raise ValueError("no")
+
+    first = summaries.batch_summarise(rows, failing, log=log).orderBy("ord").first()
+    assert first.summary_error == "ValueError: no"
+    again = summaries.batch_summarise(rows, lambda texts: ["made"] * len(texts), log=log).orderBy("ord").first()
+    assert (again.generated_summary, again.summary_error) == ("made", None)
