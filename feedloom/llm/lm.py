@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from feedloom.llm.common import fold, slices
+from feedloom.llm.common import fold, output_schema, slices
 from feedloom.session import stage
 
 #: The end of a text, also what stands before its first word. White space can't be a word.
@@ -24,10 +24,8 @@ SMOOTHING = 0.1
 BITS_PER_ENTRY, HASHES = 8, 5
 #: Words whose exact counts every task gets: at most so many, none longer than so many bytes. The others are joined.
 HEAD_WORDS, HEAD_BYTES = 1 << 18, 64
-#: Bytes of pair filter broadcast at once; a larger filter is probed in several passes over the texts.
-SHARD_BYTES = 256 << 20
-#: Bytes of the word filter: beyond it, entries get fewer bits.
-WORD_FILTER_BYTES = 256 << 20
+#: Bytes of pair filter, and of word filter, broadcast at once; a larger filter is probed in several passes over the texts.
+SHARD_BYTES, WORD_SHARD_BYTES = 256 << 20, 256 << 20
 #: Pair counts that a task holds before it passes them on, and bytes of counts for each block.
 FLUSH, BLOCK_BYTES = 4 << 20, 16 << 20
 CACHE_WORDS = 250_000
@@ -85,6 +83,11 @@ def _pair_keys(hashes: np.ndarray) -> np.ndarray:
     return _mixed(before * MIX[2] + hashes)
 
 
+def _count_kind(n: int):
+    """Words come with the counts of the whole corpus, pairs with those of one task's few million tokens."""
+    return np.uint64 if n == 1 else np.uint32
+
+
 def _blob_rows(n: int, keys: np.ndarray, counts: np.ndarray, bits: int):
     """Rows of sorted keys and their counts, one for each bucket, the first ``bits`` bits of a key."""
     bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
@@ -94,7 +97,7 @@ def _blob_rows(n: int, keys: np.ndarray, counts: np.ndarray, bits: int):
     return pa.RecordBatch.from_pydict({
         "n": pa.array([n] * len(spans), pa.int32()), "bucket": pa.array([int(bucket[a]) for a, _ in spans], pa.int32()),
         "keys": pa.array([keys[a:b].tobytes() for a, b in spans], pa.binary()),
-        "counts": pa.array([counts[a:b].astype(np.uint32).tobytes() for a, b in spans], pa.binary()),
+        "counts": pa.array([counts[a:b].astype(_count_kind(n)).tobytes() for a, b in spans], pa.binary()),
     })
 
 
@@ -158,7 +161,7 @@ def _word_blobs(vocabulary: DataFrame, bits: int) -> DataFrame:
             keys = _mixed(np.array([xxhash.xxh64_intdigest(w) for w in batch.column("word").to_pylist()], np.uint64))
             order = np.argsort(keys)
             if len(keys):
-                yield _blob_rows(1, keys[order], np.minimum(batch.column("count").to_numpy()[order], (1 << 32) - 1), bits)
+                yield _blob_rows(1, keys[order], batch.column("count").to_numpy()[order], bits)
 
     return vocabulary.mapInArrow(run, BLOB_SCHEMA)
 
@@ -175,7 +178,8 @@ def _positions(keys: np.ndarray, level: int, size):
 def _block(table: pa.Table, bits_per_entry: float) -> pa.Table:
     """The filter block of one bucket: counts of equal keys are added, quantised, and their levels entered."""
     keys = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("keys")])
-    counts = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("counts")])
+    kind = _count_kind(table.column("n")[0].as_py())
+    counts = np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column("counts")])
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order].astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
@@ -261,12 +265,9 @@ def fit(texts: DataFrame, *, text: str = "text", bits_per_entry: int = BITS_PER_
     total = vocabulary.agg(F.sum("count").alias("n"), F.count("*").alias("v")).first()
     n, v = total.n or 0, total.v
     key_bits = max(8, math.ceil(math.log2(max(1, n * 9 / BLOCK_BYTES))))
-    # by concavity the levels of v words with n tokens add up to no more than this
-    entries = v * (1 + math.log2(n / v)) if v else 1
-    word_bits = min(bits_per_entry, WORD_FILTER_BYTES * 8 / max(1, entries))
 
     def block(table: pa.Table) -> pa.Table:
-        return _block(table, word_bits if table.column("n")[0].as_py() == 1 else bits_per_entry)
+        return _block(table, bits_per_entry)
 
     blobs = _word_blobs(vocabulary, key_bits).unionByName(_pair_blobs(texts, key_bits, text))
     return Model(n, v, key_bits, vocabulary, stage(blobs.groupBy("n", "bucket").applyInArrow(block, BLOCKS_SCHEMA), "lm-blocks"))
@@ -285,17 +286,40 @@ def _head(vocabulary: DataFrame) -> dict[bytes, int]:
     return {} if least is None else {bytes(r.word): r["count"] for r in short.where(F.col("class") >= least).select("word", "count").collect()}
 
 
-def _shards(blocks: DataFrame, key_bits: int) -> list[tuple[int, int]]:
-    """Ranges of buckets whose pair blocks together stay within ``SHARD_BYTES``."""
-    whole = blocks.where("n = 2").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("s"), F.coalesce(F.max("size"), F.lit(0)).alias("m")).first()
+def _shards(blocks: DataFrame, key_bits: int, n: int, most: int) -> list[tuple[int, int]]:
+    """Ranges of buckets whose blocks for words (``n`` 1) or pairs (2) together stay within ``most`` bytes."""
+    whole = blocks.where(F.col("n") == n).agg(F.coalesce(F.sum("size"), F.lit(0)).alias("s"), F.coalesce(F.max("size"), F.lit(0)).alias("m")).first()
     buckets = 1 << key_bits
     # no bucket holds more than the largest, so this many of them stay within the bound
-    each = buckets if whole.s <= SHARD_BYTES * 8 else max(1, SHARD_BYTES * 8 // whole.m)
+    each = buckets if whole.s <= most * 8 else max(1, most * 8 // whole.m)
     return [(at, min(each, buckets - at)) for at in range(0, buckets, each)]
 
 
+def _with_levels(rows: DataFrame, text: str, shared) -> DataFrame:
+    """``rows`` with ``levels``, a byte for each token: that of its word where this shard of the word filter has its bucket,
+    else what it was."""
+
+    def run(batches):
+        words, known = _Words(), np.empty(0, np.uint8)
+        for batch in batches:
+            for part in slices(batch, text, SLICE_BYTES):
+                if len(words.names) > CACHE_WORDS:
+                    words, known = _Words(), np.empty(0, np.uint8)
+                flat, begins = tokens(part.column(text).cast(pa.binary()).to_pylist())
+                numbers = words.numbers(flat)
+                known = np.concatenate([known, levels(shared.value, _mixed(words.hashes[len(known):])).astype(np.uint8)])
+                found, ends = known[numbers], np.append(begins, len(flat))
+                if "levels" in part.schema.names:
+                    found = np.maximum(found, np.frombuffer(b"".join(part.column("levels").to_pylist()), np.uint8))
+                made = [found[a:b].tobytes() for a, b in zip(ends, ends[1:])]
+                yield pa.RecordBatch.from_pydict({**{c: part.column(c) for c in part.schema.names if c != "levels"}, "levels": pa.array(made, pa.binary())})
+
+    return rows.mapInArrow(run, output_schema(rows, levels="binary"))
+
+
 def _pass(rows: DataFrame, text: str, model: Model, shared, with_base: bool, weight: float) -> DataFrame:
-    """One pass over the texts: the part of the score that one shard answers and, once, what the base score needs."""
+    """One pass over the texts: the part of the score that one shard answers and, once, what the base score needs. Levels of
+    words come from the rows, if they have them, else from the word filter."""
     n, v, key_bits = model.train_tokens, model.train_words, model.key_bits
 
     def run(batches):
@@ -311,15 +335,19 @@ def _pass(rows: DataFrame, text: str, model: Model, shared, with_base: bool, wei
                 fresh = words.names[len(known):]
                 if fresh:
                     known = np.concatenate([known, np.array([head.get(w, 0) for w in fresh], float)])
-                    guess = estimate(levels(word_filter, _mixed(words.hashes[len(counts):])))
+                    guess = np.zeros(len(fresh)) if word_filter is None else estimate(levels(word_filter, _mixed(words.hashes[len(counts):])))
                     counts = np.concatenate([counts, guess])
                     chance = np.concatenate([chance, (guess + SMOOTHING) / (n + SMOOTHING * (v + 1))])
                 keys, inverse = np.unique(_pair_keys(words.hashes[numbers]), return_inverse=True)
                 bucket = (keys >> np.uint64(64 - key_bits)).astype(np.int64)
                 here = (bucket >= pair_filter[1]) & (bucket < pair_filter[1] + pair_filter[2])
                 pair = estimate(levels(pair_filter, keys))[inverse]
-                history = np.roll(counts[numbers], 1)
-                log_p = np.log10((np.minimum(pair, history) + weight * chance[numbers]) / (history + weight))
+                own, odds = counts[numbers], chance[numbers]
+                if word_filter is None:
+                    own = estimate(np.frombuffer(b"".join(part.column("levels").to_pylist()), np.uint8).astype(np.int64))
+                    odds = (own + SMOOTHING) / (n + SMOOTHING * (v + 1))
+                history = np.roll(own, 1)
+                log_p = np.log10((np.minimum(pair, history) + weight * odds) / (history + weight))
                 score = np.add.reduceat(np.where(here[inverse], log_p, 0.0), begins) if len(begins) else np.empty(0)
                 lengths = np.diff(np.append(begins, len(flat)))
                 out = {"row": part.column("row"), "score": pa.array(score)}
@@ -351,13 +379,26 @@ def score(docs: DataFrame, model: Model, held_out: Column, *, key: str = "doc_id
     ``score`` adds the log10 probability of each token after the one before it: the pair's count, with ``weight`` times
     the token's own smoothed probability, over the history's count plus ``weight``. ``base_score`` uses exact counts:
     frequent words are looked up in a broadcast of bounded size, the others joined. A null text is empty and has one
-    token, its end. Texts are never shuffled.
+    token, its end. Texts are never shuffled. Every row is scored by itself, so repeated rows agree; an empty table gives an
+    empty one. Filters larger than their bounds are probed shard by shard, which changes no score.
+
+    ``score`` is the log10 of what the model gives each token; as quantised counts with false positives needn't add up, these
+    needn't sum to one over the vocabulary.
     """
     session = docs.sparkSession
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), held_out.alias("held_out"), F.col(text))
-    word_filter = tuple(gather(model.blocks, 1, model.key_bits, 0, 1 << model.key_bits))
+    held = lambda n, shard: tuple(gather(model.blocks, n, model.key_bits, *shard))
+    words, pairs = _shards(model.blocks, model.key_bits, 1, WORD_SHARD_BYTES), _shards(model.blocks, model.key_bits, 2, SHARD_BYTES)
+    if len(words) + len(pairs) > 2:
+        # Rows are told apart by number over several passes, so the numbers are fixed first.
+        rows = stage(rows, "lm-rows")
+    word_filter = held(1, words[0]) if len(words) == 1 else None
+    for shard in words if len(words) > 1 else []:
+        shared = session.sparkContext.broadcast(held(1, shard))
+        rows = stage(_with_levels(rows, text, shared), "lm-levels")
+        shared.destroy()
     head, base, scores = _head(model.vocabulary), None, []
-    for k, (first, count) in enumerate(_shards(model.blocks, model.key_bits)):
+    for k, (first, count) in enumerate(pairs):
         shared = session.sparkContext.broadcast((word_filter, tuple(gather(model.blocks, 2, model.key_bits, first, count)), {} if k else head))
         part = stage(_pass(rows, text, model, shared, k == 0, weight), "lm-scores")
         shared.destroy()

@@ -45,16 +45,56 @@ def test_no_documents(no_documents):
     assert lm.fit_and_score(no_documents).collect() == []
 
 
-def test_several_passes_give_the_same_scores(documents, monkeypatch):
+@pytest.mark.parametrize("bound, n, most", [("SHARD_BYTES", 2, 40_000), ("WORD_SHARD_BYTES", 1, 6_000)])
+def test_several_passes_give_the_same_scores(documents, monkeypatch, bound, n, most):
     model = lm.fit(documents)
     part = lm.fold("doc_id", 10)
     once = {r.doc_id: r for r in lm.score(documents, model, part == 0).collect()}
-    monkeypatch.setattr(lm, "SHARD_BYTES", 40_000)
-    assert len(lm._shards(model.blocks, model.key_bits)) > 1
+    monkeypatch.setattr(lm, bound, most)
+    assert len(lm._shards(model.blocks, model.key_bits, n, most)) > 1
     for r in lm.score(documents, model, part == 0).collect():
         assert math.isclose(r.score, once[r.doc_id].score, rel_tol=1e-9) and r.base_score == once[r.doc_id].base_score
 
 
+def quantised(count):
+    """The middle of the counts that share a power of two."""
+    return (3 * 2 ** (count.bit_length() - 1) - 1) / 2 if count else 0.0
+
+
+@pytest.mark.parametrize("table", ["documents", "odd_documents"])
+def test_scores_of_a_filter_without_false_answers(request, table):
+    """With bits to spare the filter gives every level exactly, so the scores are those of plainly quantised counts."""
+    docs = request.getfixturevalue(table)
+    rows = docs.collect()
+    one, two = collections.Counter(), collections.Counter()
+    for r in rows:
+        if zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % 10:
+            w = words(r.text)
+            one.update(w)
+            two.update(zip(["\n", *w], w))
+    n, v = sum(one.values()), len(one)
+
+    def log_p(h, x):
+        history = quantised(one[h])
+        return math.log10((min(quantised(two[h, x]), history) + 100 * (quantised(one[x]) + 0.1) / (n + 0.1 * (v + 1))) / (history + 100))
+
+    want = sorted((r.doc_id is None, r.doc_id or 0, sum(log_p(h, x) for h, x in zip(["\n", *words(r.text)], words(r.text)))) for r in rows)
+    part = lm.fold("doc_id", 10)
+    got = lm.score(docs, lm.fit(docs.where(part != 0), bits_per_entry=96), part == 0).collect()
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.score) for r in got)
+    assert [g[:2] for g in got] == [w[:2] for w in want] and np.allclose([g[2] for g in got], [w[2] for w in want], rtol=1e-9)
+
+
+def test_counts_beyond_32_bits():
+    import pyarrow as pa
+
+    keys, counts = np.array([5, 1 << 60], np.uint64), np.array([3 << 33, 7], np.int64)
+    rows = pa.Table.from_batches([lm._blob_rows(1, keys, counts, 1)])
+    block = lm._block(rows.slice(0, 1), 64)
+    held = (1, 0, 1, np.zeros(1, np.int64), np.array([block.column("size")[0].as_py()], np.uint64), np.frombuffer(block.column("bits")[0].as_py(), np.uint8))
+    assert lm.levels(held, keys).tolist() == [35, 3]
+
+
 def test_rare_words_are_joined(documents, monkeypatch):
     model = lm.fit(documents)
     part = lm.fold("doc_id", 10)
