@@ -10,6 +10,8 @@ from feedloom.catalog.base import (
 from feedloom.catalog.scalars import mentions_sql, score_sql, strip_sql
 from feedloom.functions import scoring
 from feedloom.operators import filters, joins, ranking, stats, unions
+from feedloom.session import stage_path
+from feedloom.sources import cache
 
 REGISTRY = Registry()
 add = REGISTRY.add
@@ -409,6 +411,24 @@ def _(spark, sf):
     return joins.cache_upsert(summary_cache(spark, sf).withColumnRenamed("cached", "summary"), fresh)
 
 
+@add("j05_cache_table", f"""WITH {CACHE_SQL},
+fresh AS (SELECT md5(text) AS hash, min(concat('new ', substr(text, 1, 100))) AS summary FROM documents WHERE lang = 'en' GROUP BY 1)
+SELECT coalesce(f.hash, c.hash) AS hash, coalesce(f.summary, c.cached) AS summary,
+  CAST(CASE WHEN f.hash IS NULL THEN 1 ELSE 2 END AS BIGINT) AS version, false AS written_again
+FROM cache c FULL JOIN fresh f ON f.hash = c.hash""")
+def _(spark, sf):
+    """The cache on disk after three writes: labelled documents, English ones with a higher version, and these once more."""
+    root = stage_path(spark, "cache")
+    labelled = summary_cache(spark, sf).withColumnRenamed("cached", "summary")
+    english = table(spark, sf, "documents").filter("lang = 'en'").groupBy(F.md5(F.col("text").cast("binary")).alias("hash")).agg(
+        F.min(F.concat(F.lit("new "), F.substring("text", 1, 100))).alias("summary"), F.lit(2).alias("version")
+    )
+    cache.write_cache(root, labelled)
+    cache.write_cache(root, english)
+    again = cache.write_cache(root, english)
+    return cache.read_cache(spark, root).withColumn("written_again", F.lit(again > 0))
+
+
 @add("j07_count_per_source", with_items(
     """SELECT s.source, count(i.ord) AS items FROM (SELECT DISTINCT source FROM documents
          UNION ALL SELECT DISTINCT concat('mirror of ', source) FROM documents) s

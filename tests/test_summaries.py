@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from feedloom.functions.text import content_hash
 from feedloom.operators import summaries
 from feedloom.operators.joins import cache_hits, cache_misses
+from feedloom.sources import cache
 
 FIELDS = "ord long, batch_index long, summary string, ai_summary string, generated_summary string, " \
          "description string, relevance_score double, link string"
@@ -136,3 +137,19 @@ def test_a_failed_list_is_called_again(spark, tmp_path):
     assert first.summary_error == "ValueError: no"
     again = summaries.batch_summarise(rows, lambda texts: ["made"] * len(texts), log=log).orderBy("ord").first()
     assert (again.generated_summary, again.summary_error) == ("made", None)
+
+
+def test_a_write_touches_only_its_folders(spark, tmp_path):
+    root = str(tmp_path / "cache")
+    files = lambda: {str(f): f.stat().st_mtime_ns for f in (tmp_path / "cache").rglob("*.parquet")}
+    rows = lambda *r: spark.createDataFrame(r, "hash string, summary string, version long")
+    assert cache.read_cache(spark, root).count() == 0
+    cache.write_cache(root, rows(*[(f"h{i}", f"s{i}", 1) for i in range(60)]))
+    before = files()
+    assert cache.write_cache(root, rows(("h3", "new", 2), ("h4", "old", 0), ("h5", "s5", 1))) == 1
+    after = files()
+    assert len(before.items() - after.items()) == 1
+    assert cache.write_cache(root, rows(("h3", "new", 2))) == 0 and files() == after
+    kept = {r["hash"]: (r["summary"], r["version"]) for r in cache.read_cache(spark, root).collect()}
+    assert kept == {f"h{i}": ("new", 2) if i == 3 else (f"s{i}", 1) for i in range(60)}
+    assert {r["hash"] for r in cache.read_cache(spark, root, rows(("h7", "", 0))).collect()} >= {"h7"}
