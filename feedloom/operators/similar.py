@@ -7,6 +7,7 @@ are at most a hundredth of it, and one more), so its blocks are also at most one
 characters holds n - q + 1 whole q-grams; hence at least M - (q - 1) times the blocks of the q-gram places of the kept text
 also stand in the later one. That number, ``needed``, gives two filters that lose no pair:
 
+* Part: of any ``needed - ENOUGH`` places left out, the others still share ``ENOUGH``; only those are looked at.
 * Count: a kept row that shares fewer places with all the few rows together goes, and so does a pair that does.
 * Prefix: of the n places it shares, any ``n - needed + 1`` include one that it shares with each row it resembles, so it is
   looked up under its rarest ones only.
@@ -25,6 +26,8 @@ from feedloom.session import stage
 GRAM_SIZES = (8, 5, 3, 2, 1)
 #: Share of a text's places that must be needed for a size of grams to be taken.
 NEEDED_SHARE = 0.4
+#: Places that two texts must share among those looked at.
+ENOUGH = 32
 #: Texts of this length are matched from rare characters only.
 LONG_TEXT = 200
 ROUNDING = 1e-6
@@ -55,8 +58,8 @@ def _needed(threshold: Column, low: Column, high: Column, length: Column, rare:
 
 
 def _places(kept: DataFrame) -> DataFrame:
-    """``ord, key, length, threshold, rare, q, needed, gram`` for each place of the texts of ``ord, key, threshold, text``,
-    in grams of the row's size."""
+    """``ord, key, length, threshold, rare, q, left, needed, gram`` for the places looked at of the texts of ``ord, key,
+    threshold, text``, in grams of the row's size; ``left`` places are left out, and ``needed`` of the others are shared."""
     length, threshold = F.length("text"), F.col("threshold")
     rows = kept.withColumn("rare", F.when(length >= LONG_TEXT, _rare_characters(F.col("text"))))
     low = length + F.ceil(length * threshold / (2 - threshold) - ROUNDING)
@@ -66,9 +69,10 @@ def _places(kept: DataFrame) -> DataFrame:
     chosen = F.coalesce(*[F.when(enough(q), F.struct(F.lit(q).alias("q"), F.greatest(needed[q], F.lit(1)).alias("needed"))) for q in GRAM_SIZES])
     rows = rows.select("ord", "key", length.alias("length"), "threshold", "rare", chosen.alias("c"), "text")
     grams = F.coalesce(*[F.when(F.col("c.q") == q, _grams(F.col("text"), q)) for q in GRAM_SIZES])
-    return rows.select("ord", "key", "length", "threshold", "rare", "c.*", F.explode(grams).alias("g")).withColumn(
-        "gram", F.xxhash64("key", "q", "g")
-    ).drop("g")
+    rows = rows.select("ord", "key", "length", "threshold", "rare", "c.*", grams.alias("all")).withColumn("left", F.greatest(F.col("needed") - ENOUGH, F.lit(0)))
+    looked_at = F.slice("all", F.lit(1), F.greatest(F.size("all") - F.col("left"), F.lit(0)).cast("int"))
+    rows = rows.select("ord", "key", "length", "threshold", "rare", "q", "left", (F.col("needed") - F.col("left")).alias("needed"), F.explode(looked_at).alias("g"))
+    return rows.withColumn("gram", F.xxhash64("key", "q", "g")).drop("g")
 
 
 def _gram_sets(later: DataFrame) -> DataFrame:
@@ -88,19 +92,19 @@ def candidate_pairs(later: DataFrame, kept: DataFrame) -> DataFrame:
     sets = stage(_gram_sets(later), "similar-sets")
     grams = sets.select("ord", F.explode("grams").alias("gram"))
     holders = grams.groupBy("gram").agg(F.count("*").alias("holders"))
-    matched = _places(kept).join(holders, "gram").groupBy("ord", "key", "length", "threshold", "rare", "q", "needed").agg(
+    matched = _places(kept).join(holders, "gram").groupBy("ord", "key", "length", "threshold", "rare", "q", "left", "needed").agg(
         F.sort_array(F.collect_list(F.struct("holders", "gram"))).alias("places")
     ).filter(F.size("places") >= F.col("needed"))
     matched = stage(matched.withColumn("places", F.transform("places", lambda p: p["gram"])), "similar-places")
-    rarest = F.array_distinct(F.slice("places", F.lit(1), F.size("places") - F.col("needed") + 1))
+    rarest = F.array_distinct(F.slice("places", F.lit(1), (F.size("places") - F.col("needed") + 1).cast("int")))
     met = matched.select(F.col("ord").alias("kept_ord"), "key", F.explode(rarest).alias("gram")).join(
         grams.withColumnRenamed("ord", "later_ord"), "gram").select("later_ord", "kept_ord", "key").distinct()
-    kept_side = matched.select(F.col("ord").alias("kept_ord"), "key", F.col("length").alias("kept_length"), "threshold", "rare", "q", "places")
+    kept_side = matched.select(F.col("ord").alias("kept_ord"), "key", F.col("length").alias("kept_length"), "threshold", "rare", "q", "left", "places")
     later_side = sets.select(F.col("ord").alias("later_ord"), "key", "q", "length", "grams")
     both = F.col("length") + F.col("kept_length")
     # Each gram that the later text lacks stands at one place at least.
     shared = F.size("places") - F.size(F.array_except("places", "grams"))
     needed = _needed(F.col("threshold"), both, both, F.col("kept_length"), F.col("rare"), F.col("q"))
     pairs = met.join(kept_side, ["kept_ord", "key"]).join(later_side, ["later_ord", "key", "q"])
-    fits = (ratio_bound(F.col("length"), F.col("kept_length")) >= F.col("threshold")) & (shared >= needed)
+    fits = (ratio_bound(F.col("length"), F.col("kept_length")) >= F.col("threshold")) & (shared >= needed - F.col("left"))
     return pairs.filter(fits).select("later_ord", "kept_ord").distinct()
