@@ -309,7 +309,8 @@ def search(embeddings: DataFrame, is_query, *, k: int = 10, key: str = "vec_id",
 
     Vectors that are null, zero, of a length other than the usual, or hold a null or non-finite component take no part,
     nor do rows without a key. Equal vectors are one node of the forest; as only the ``k + 1`` smallest of its keys can
-    be among the nearest, no other is kept with it.
+    be among the nearest, no other is kept with it. Repeated query rows are answered each, and rows that share a key are
+    one key. Without queries or candidates the result is empty; other columns aren't read.
     """
     rows = embeddings.select(whole_key(embeddings, key).alias("id"), F.col(vector).alias("vec"), is_query.alias("is_query"))
     dim = dimension(rows, "vec") or 1

@@ -300,7 +300,8 @@ def encode(docs: DataFrame, path: str, *, text: str = "text", output: str = "ids
     """``docs`` with the token ids of ``text`` in ``output``, as the tokenizer file at ``path`` gives them without added
     special tokens; special tokens written in a text are themselves. A null or empty text has no ids. With ``decoded``
     the ids are decoded into that column in the same pass. A column named like an output is replaced. The tables, a few
-    MB of fixed size, are broadcast; no row is shuffled.
+    MB of fixed size, are broadcast; no row is shuffled. Every row is encoded by itself, so repeated rows get equal ids and
+    an empty table gives an empty one; a very long text is worked on by itself.
     """
     tables = docs.sparkSession.sparkContext.broadcast(load_tables(path))
     added = {output: "array<int>"} | ({decoded: "string"} if decoded else {})
@@ -322,7 +323,8 @@ def encode(docs: DataFrame, path: str, *, text: str = "text", output: str = "ids
 
 def decode(encoded: DataFrame, path: str, *, ids: str = "ids", output: str = "decoded") -> DataFrame:
     """``encoded`` with the text of ``ids`` in ``output``: the tokens joined by spaces, special ones too, as the
-    tokenizer gives it. Null ids give a null text. A column named like the output is replaced.
+    tokenizer gives it. Null ids give a null text, none an empty one. A column named like the output is replaced;
+    repeated rows agree, and an empty table gives an empty one.
     """
     tokens = encoded.sparkSession.sparkContext.broadcast(_names(path))
 

@@ -172,7 +172,8 @@ def near_duplicates(embeddings: DataFrame, *, key: str = "vec_id", vector: str =
     that are null, zero, of a length other than the usual, or hold a null or non-finite component link with nothing, nor do
     rows without a key. Equal
     vectors are one representative with a count, however many they are, so their links are counted, not listed. Rows
-    that share a key are vectors of their own.
+    that share a key are vectors of their own. Whole-numbered keys come back as long ones, others as they are. An empty table
+    gives an empty one; other columns aren't read.
     """
     rows = embeddings.select(whole_key(embeddings, key).alias("id"), F.col(label).alias("label"), F.col(vector).alias("vec"))
     dim = dimension(rows, "vec")

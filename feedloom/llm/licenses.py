@@ -123,7 +123,8 @@ def detections(rows: DataFrame, ordered: list[Rule] | None = None) -> DataFrame:
 def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", phrases: dict[str, str] = BASE, ordered: list[Rule] | None = None) -> DataFrame:
     """Labels of every document: ``key, n_words, n_base, first_word, last_word, base_labels, labels, score``.
 
-    Labels are arrays in code point order. The score is that of the strongest kind of detection, 0 without any; a base
+    Null and empty texts have no words, labels or places. Repeated rows and ids are scanned each; an empty table gives an empty
+    one, and columns other than key and text aren't read. Labels are arrays in code point order. The score is that of the strongest kind of detection, 0 without any; a base
     place counts as a notice.
     """
     rows = searched(docs, key=key, text=text, phrases=phrases, ordered=ordered)

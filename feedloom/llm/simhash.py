@@ -142,7 +142,8 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     a key take part and get their component's smallest key, null if no row has one. ``kept`` marks one row of each
     component, of those with its smallest key the one with the smallest ``row``; rows are numbered if it isn't given.
 
-    Texts are read once and never shuffled. Documents with equal fingerprints are one node, however many they are.
+    An empty table gives an empty one; columns other than those named aren't read. Texts are read once and never shuffled.
+    Documents with equal fingerprints are one node, however many they are.
     """
     number = F.monotonically_increasing_id() if row is None else F.col(row)
     prints = stage(with_fingerprint(docs.select(F.col(key).alias("key"), number.alias("row"), F.col(text).alias("text")), shingle=shingle), "simhash")

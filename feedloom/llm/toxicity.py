@@ -138,7 +138,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", te
 
 
 def score(docs: DataFrame, model: Classifier, *, text: str = "text", output: str = "score") -> DataFrame:
-    """``docs`` without the text, with the probability of label 1 in ``output``. Null texts count as empty."""
+    """``docs`` without the text, with the probability of label 1 in ``output``. Null and empty texts have
+    that of a text without any kept n-gram. Every row is scored by itself, so repeated rows agree, and an empty table gives
+    an empty one. A column named like the output is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(tuple(model))
 
     def run(batches):

@@ -45,7 +45,7 @@ def plan_records(pages: DataFrame, *, key: str, uri: str, text: str, least_bytes
     Of pages with equal payloads of at least ``least_bytes`` bytes, those with the largest key are responses and the
     others revisit it. A null text is an empty payload. A null key is smaller than any other; pages that share the
     largest key are all responses. Only payloads that occur more than once take part in a join, so a table without
-    repeats isn't shuffled.
+    repeats isn't shuffled. A payload may have any length that fits into memory; an empty table has no records.
     """
     records = pages.select(
         F.col(key).alias("key"), F.col(uri).alias("uri"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("payload")
@@ -168,7 +168,7 @@ def read_archives(spark: SparkSession, path: str, *, payloads: bool = True) -> D
     """One row for each record of the archives under ``path``.
 
     Block and payload digests are recomputed: ``verified`` tells whether they and the lengths agree. Broken framing
-    raises an error. ``payloads=False`` leaves the payloads out once they are checked.
+    raises an error. A folder without records gives an empty table. ``payloads=False`` leaves the payloads out once they are checked.
     """
     schema = pa.schema([
         ("record_id", pa.string()), ("record_type", pa.string()), ("target_uri", pa.string()), ("refers_to", pa.string()),
