@@ -24,8 +24,10 @@ SMOOTHING = 0.1
 BITS_PER_ENTRY, HASHES = 8, 5
 #: Words whose exact counts every task gets: at most so many, none longer than so many bytes. The others are joined.
 HEAD_WORDS, HEAD_BYTES = 1 << 18, 64
-#: Bytes of pair filter, and of word filter, broadcast at once; a larger filter is probed in several passes over the texts.
+#: Bytes of pair filter, and of word filter, broadcast at once. A larger word filter is probed in several passes over the texts.
 SHARD_BYTES, WORD_SHARD_BYTES = 256 << 20, 256 << 20
+#: Keys are sent to the parts of a larger pair filter: bytes of filter that a task holds, and bytes of keys for each task.
+PROBED_BYTES, TASK_BYTES = 64 << 20, 256 << 20
 #: Pair counts that a task holds before it passes them on, and bytes of counts for each block.
 FLUSH, BLOCK_BYTES = 4 << 20, 16 << 20
 CACHE_WORDS = 250_000
@@ -317,60 +319,154 @@ def _with_levels(rows: DataFrame, text: str, shared) -> DataFrame:
     return rows.mapInArrow(run, output_schema(rows, levels="binary"))
 
 
-def _pass(rows: DataFrame, text: str, model: Model, shared, with_base: bool, weight: float) -> DataFrame:
-    """One pass over the texts: the part of the score that one shard answers and, once, what the base score needs. Levels of
-    words come from the rows, if they have them, else from the word filter."""
-    n, v, key_bits = model.train_tokens, model.train_words, model.key_bits
+#: What is known of a document before its pairs are.
+BASE = {
+    "held_out": "boolean", "n_tokens": "long", "head_known": "long", "head_log": "double", "tail_words": "array<binary>", "tail_times": "array<int>",
+}
+#: Pairs of a slice of texts: where each text begins, the place of each token's pair among the different ones, the levels of
+#: both words of these, and their keys for each part of the filter.
+PAIRS = "begins array<int>, places binary, history binary, own binary, n_pairs long, parts array<struct<part: int, start: int, keys: binary>>"
+
+
+def _log_p(pair: np.ndarray, history: np.ndarray, own: np.ndarray, model: tuple[int, int], weight: float) -> np.ndarray:
+    """log10 of the probability of a word after another, from the levels of the pair, the other and the word."""
+    n, v = model
+    odds = (estimate(own) + SMOOTHING) / (n + SMOOTHING * (v + 1))
+    before = estimate(history)
+    return np.log10((np.minimum(estimate(pair), before) + weight * odds) / (before + weight))
+
+
+def _pass(rows: DataFrame, text: str, model: Model, shared, weight: float, each: int | None = None) -> DataFrame:
+    """The pass over the texts: what the base score needs and ``score``, a row for each text. Levels of words come from the rows,
+    if they have them, else from the word filter.
+
+    With ``each``, the buckets of a part of the pair filter, the pairs aren't looked up: a row for each slice of texts holds
+    ``documents`` and ``PAIRS``."""
+    totals, key_bits = (model.train_tokens, model.train_words), model.key_bits
 
     def run(batches):
         word_filter, pair_filter, head = shared.value
-        words, known = _Words(), np.empty(0)
-        counts, chance = np.empty(0), np.empty(0)
+        words, exact, known = _Words(), np.empty(0), np.empty(0, np.int64)
         for batch in batches:
             for part in slices(batch, text, SLICE_BYTES):
                 if len(words.names) > CACHE_WORDS:
-                    words, known, counts, chance = _Words(), np.empty(0), np.empty(0), np.empty(0)
+                    words, exact, known = _Words(), np.empty(0), np.empty(0, np.int64)
                 flat, begins = tokens(part.column(text).cast(pa.binary()).to_pylist())
                 numbers = words.numbers(flat)
-                fresh = words.names[len(known):]
-                if fresh:
-                    known = np.concatenate([known, np.array([head.get(w, 0) for w in fresh], float)])
-                    guess = np.zeros(len(fresh)) if word_filter is None else estimate(levels(word_filter, _mixed(words.hashes[len(counts):])))
-                    counts = np.concatenate([counts, guess])
-                    chance = np.concatenate([chance, (guess + SMOOTHING) / (n + SMOOTHING * (v + 1))])
-                keys, inverse = np.unique(_pair_keys(words.hashes[numbers]), return_inverse=True)
-                bucket = (keys >> np.uint64(64 - key_bits)).astype(np.int64)
-                here = (bucket >= pair_filter[1]) & (bucket < pair_filter[1] + pair_filter[2])
-                pair = estimate(levels(pair_filter, keys))[inverse]
-                own, odds = counts[numbers], chance[numbers]
+                if fresh := words.names[len(exact):]:
+                    guess = np.zeros(len(fresh), np.int64) if word_filter is None else levels(word_filter, _mixed(words.hashes[len(exact):]))
+                    known = np.concatenate([known, guess])
+                    exact = np.concatenate([exact, np.array([head.get(w, 0) for w in fresh], float)])
+                own = known[numbers]
                 if word_filter is None:
-                    own = estimate(np.frombuffer(b"".join(part.column("levels").to_pylist()), np.uint8).astype(np.int64))
-                    odds = (own + SMOOTHING) / (n + SMOOTHING * (v + 1))
-                history = np.roll(own, 1)
-                log_p = np.log10((np.minimum(pair, history) + weight * odds) / (history + weight))
-                score = np.add.reduceat(np.where(here[inverse], log_p, 0.0), begins) if len(begins) else np.empty(0)
-                lengths = np.diff(np.append(begins, len(flat)))
-                out = {"row": part.column("row"), "score": pa.array(score)}
-                if with_base:
-                    c = known[numbers]
-                    tail = np.flatnonzero(c == 0)
-                    doc = np.repeat(np.arange(len(begins)), lengths)[tail]
-                    pairs, times = np.unique(doc * len(words.names) + numbers[tail], return_counts=True)
-                    bounds = np.searchsorted(pairs, np.arange(len(begins) + 1) * len(words.names))
-                    out |= {
-                        "key": part.column("key"), "held_out": part.column("held_out"), "n_tokens": pa.array(lengths),
-                        "head_known": pa.array(np.add.reduceat((c > 0).astype(np.int64), begins)),
-                        "head_log": pa.array(np.add.reduceat(np.where(c > 0, np.log10(c + SMOOTHING), 0.0), begins)),
-                        "tail_words": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array([words.names[k] for k in (pairs % len(words.names)).tolist()], pa.binary())),
-                        "tail_times": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(times, pa.int32())),
-                    }
-                yield pa.RecordBatch.from_pydict(out)
-
-    schema = "row long, score double"
-    if with_base:
-        key = rows.schema["key"].dataType.simpleString()
-        schema += f", key {key}, held_out boolean, n_tokens long, head_known long, head_log double, tail_words array<binary>, tail_times array<int>"
-    return rows.mapInArrow(run, schema)
+                    own = np.frombuffer(b"".join(part.column("levels").to_pylist()), np.uint8).astype(np.int64)
+                keys, first, inverse = np.unique(_pair_keys(words.hashes[numbers]), return_index=True, return_inverse=True)
+                history, latest = np.roll(own, 1)[first], own[first]
+                lengths, c = np.diff(np.append(begins, len(flat))), exact[numbers]
+                tail = np.flatnonzero(c == 0)
+                doc = np.repeat(np.arange(len(begins)), lengths)[tail]
+                rare, times = np.unique(doc * len(words.names) + numbers[tail], return_counts=True)
+                bounds = np.searchsorted(rare, np.arange(len(begins) + 1) * len(words.names))
+                out = {
+                    "row": part.column("row"), "key": part.column("key"), "held_out": part.column("held_out"), "n_tokens": pa.array(lengths),
+                    "head_known": pa.array(np.add.reduceat((c > 0).astype(np.int64), begins)),
+                    "head_log": pa.array(np.add.reduceat(np.where(c > 0, np.log10(c + SMOOTHING), 0.0), begins)),
+                    "tail_words": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array([words.names[k] for k in (rare % len(words.names)).tolist()], pa.binary())),
+                    "tail_times": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(times, pa.int32())),
+                }
+                if each is None:
+                    log_p = _log_p(levels(pair_filter, keys), history, latest, totals, weight)
+                    yield pa.RecordBatch.from_pydict(out | {"score": pa.array(np.add.reduceat(log_p[inverse], begins))})
+                    continue
+                number = (keys >> np.uint64(64 - key_bits)).astype(np.int64) // each
+                cuts = np.flatnonzero(np.diff(number, prepend=-1)).tolist()
+                parts = [{"part": int(number[a]), "start": a, "keys": keys[a:b].tobytes()} for a, b in zip(cuts, [*cuts[1:], len(keys)])]
+                documents = pa.StructArray.from_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in out.values()], list(out))
+                yield pa.RecordBatch.from_pydict({
+                    "documents": pa.ListArray.from_arrays(pa.array([0, len(documents)], pa.int32()), documents),
+                    "begins": pa.array([begins.tolist()], pa.list_(pa.int32())), "places": pa.array([inverse.astype(np.uint32).tobytes()], pa.binary()),
+                    "history": pa.array([history.astype(np.uint8).tobytes()], pa.binary()), "own": pa.array([latest.astype(np.uint8).tobytes()], pa.binary()),
+                    "n_pairs": pa.array([len(keys)]),
+                    "parts": pa.array([parts], pa.list_(pa.struct([("part", pa.int32()), ("start", pa.int32()), ("keys", pa.binary())]))),
+                })
+
+    base = {"row": "long", "key": rows.schema["key"].dataType.simpleString(), **BASE}
+    if each is None:
+        return rows.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in base.items()) + ", score double")
+    return rows.mapInArrow(run, f"documents array<struct<{', '.join(f'{c}: {t}' for c, t in base.items())}>>, {PAIRS}")
+
+
+def _pair_levels(held: DataFrame, model: Model, each: int, parts: int) -> DataFrame:
+    """``slice, start, levels`` for the keys of all slices.
+
+    Blocks of a part of the filter and the keys sent to it meet in a task, blocks first; keys pass through, so a task holds one
+    part and never all keys. A part that gets many keys is copied to several tasks."""
+    n_keys = held.agg(F.coalesce(F.sum("n_pairs"), F.lit(0)).alias("n")).first().n
+    copies, key_bits = max(1, math.ceil(n_keys * 8 / (parts * TASK_BYTES))), model.key_bits
+    asked = held.select("slice", F.explode("parts").alias("p")).select(
+        F.col("p.part").alias("part"), F.pmod("slice", F.lit(copies)).cast("int").alias("copy"), "slice", F.col("p.start").alias("start"),
+        F.lit(0).cast("long").alias("size"), F.col("p.keys").alias("data"),
+    )
+    blocks = model.blocks.where("n = 2").select(
+        F.floor(F.col("bucket") / each).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"),
+        F.lit(-1).cast("long").alias("slice"), F.col("bucket").alias("start"), "size", F.col("bits").alias("data"),
+    )
+    met = blocks.unionByName(asked).repartition(parts * copies, "part", "copy").sortWithinPartitions("part", "copy", "slice")
+
+    def run(batches):
+        at, blocks, held = None, [], None
+        for batch in batches:
+            made = []
+            for part, copy, number, start, size, data in zip(*[batch.column(c) for c in ("part", "copy", "slice", "start", "size", "data")]):
+                if at != (part.as_py(), copy.as_py()):
+                    at, blocks, held = (part.as_py(), copy.as_py()), [], None
+                if number.as_py() < 0:
+                    blocks.append((start.as_py(), size.as_py(), data.as_py()))
+                    continue
+                if held is None:
+                    held, blocks = _assembled(key_bits, at[0] * each, each, blocks), []
+                found = levels(held, np.frombuffer(data.as_buffer(), np.uint64)).astype(np.uint8)
+                made.append((number, start, found.tobytes()))
+            if made:
+                number, start, found = zip(*made)
+                yield pa.RecordBatch.from_pydict({
+                    "slice": pa.array([x.as_py() for x in number], pa.int64()), "start": pa.array([x.as_py() for x in start], pa.int32()),
+                    "levels": pa.array(found, pa.binary()),
+                })
+
+    return met.mapInArrow(run, "slice long, start int, levels binary")
+
+
+def _assembled(key_bits: int, first: int, count: int, blocks: list[tuple[int, int, bytes]]) -> Filter:
+    """The filter made of ``bucket, size, bits`` of some of ``count`` buckets."""
+    sizes, starts, total = np.zeros(count, np.uint64), np.zeros(count, np.int64), 0
+    for bucket, size, _ in blocks:
+        sizes[bucket - first], starts[bucket - first] = size, total
+        total += size
+    return Filter(key_bits, first, count, starts, sizes, np.frombuffer(b"".join(bits for *_, bits in blocks) or bytes(1), np.uint8))
+
+
+def _probed(rows: DataFrame, text: str, model: Model, shared, weight: float, shards: list[tuple[int, int]]) -> DataFrame:
+    """The same rows as those of ``_pass`` for a pair filter of any size, after one pass over the texts: the different keys of
+    each slice go to the parts of the filter, and their levels come back to the slice."""
+    totals, each = (model.train_tokens, model.train_words), shards[0][1]
+    base = _pass(rows, text, model, shared, weight, each)
+    held = stage(base.select(F.monotonically_increasing_id().alias("slice"), "*"), "lm-slices")
+
+    def finish(one: pa.Table, answers: pa.Table) -> pa.Table:
+        slice_ = one.to_pylist()[0]
+        history, own = (np.frombuffer(slice_[c], np.uint8).astype(np.int64) for c in ("history", "own"))
+        pair = np.zeros(len(own), np.int64)
+        for start, found in zip(answers.column("start").to_pylist(), answers.column("levels").to_pylist()):
+            pair[start:start + len(found)] = np.frombuffer(found, np.uint8)
+        log_p = _log_p(pair, history, own, totals, weight)
+        score = np.add.reduceat(log_p[np.frombuffer(slice_["places"], np.uint32)], slice_["begins"])
+        return pa.table({"row": pa.array(slice_["rows"], pa.int64()), "score": pa.array(score)})
+
+    pairs = held.select("slice", F.col("documents.row").alias("rows"), "begins", "places", "history", "own")
+    found = _pair_levels(held, model, each, len(shards))
+    scores = pairs.groupBy("slice").cogroup(found.groupBy("slice")).applyInArrow(finish, "row long, score double")
+    return held.select(F.explode("documents").alias("d")).select("d.*").join(scores, "row")
 
 
 def score(docs: DataFrame, model: Model, held_out: Column, *, key: str = "doc_id", text: str = "text", weight: float = 100.0) -> DataFrame:
@@ -380,7 +476,8 @@ def score(docs: DataFrame, model: Model, held_out: Column, *, key: str = "doc_id
     the token's own smoothed probability, over the history's count plus ``weight``. ``base_score`` uses exact counts:
     frequent words are looked up in a broadcast of bounded size, the others joined. A null text is empty and has one
     token, its end. Texts are never shuffled. Every row is scored by itself, so repeated rows agree; an empty table gives an
-    empty one. Filters larger than their bounds are probed shard by shard, which changes no score.
+    empty one. Filters larger than their bounds change no score: keys of pairs are sent to the parts
+    of theirs, those of words looked up part by part.
 
     ``score`` is the log10 of what the model gives each token; as quantised counts with false positives needn't add up, these
     needn't sum to one over the vocabulary.
@@ -389,32 +486,23 @@ def score(docs: DataFrame, model: Model, held_out: Column, *, key: str = "doc_id
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), held_out.alias("held_out"), F.col(text))
     held = lambda n, shard: tuple(gather(model.blocks, n, model.key_bits, *shard))
     words, pairs = _shards(model.blocks, model.key_bits, 1, WORD_SHARD_BYTES), _shards(model.blocks, model.key_bits, 2, SHARD_BYTES)
-    if len(words) + len(pairs) > 2:
-        # Rows are told apart by number over several passes, so the numbers are fixed first.
-        rows = stage(rows, "lm-rows")
     word_filter = held(1, words[0]) if len(words) == 1 else None
     for shard in words if len(words) > 1 else []:
         shared = session.sparkContext.broadcast(held(1, shard))
         rows = stage(_with_levels(rows, text, shared), "lm-levels")
         shared.destroy()
-    head, base, scores = _head(model.vocabulary), None, []
-    for k, (first, count) in enumerate(pairs):
-        shared = session.sparkContext.broadcast((word_filter, tuple(gather(model.blocks, 2, model.key_bits, first, count)), {} if k else head))
-        part = stage(_pass(rows, text, model, shared, k == 0, weight), "lm-scores")
-        shared.destroy()
-        base = part if k == 0 else base
-        scores.append(part.select("row", "score"))
+    shared = session.sparkContext.broadcast((word_filter, held(2, pairs[0]) if len(pairs) == 1 else None, _head(model.vocabulary)))
+    if len(pairs) == 1:
+        base = stage(_pass(rows, text, model, shared, weight), "lm-scores")
+    else:
+        base = stage(_probed(rows, text, model, shared, weight, _shards(model.blocks, model.key_bits, 2, min(SHARD_BYTES, PROBED_BYTES))), "lm-scores")
+    shared.destroy()
     tail = base.select("row", F.explode(F.arrays_zip("tail_words", "tail_times")).alias("t")).select("row", F.col("t.tail_words").alias("word"), F.col("t.tail_times").alias("times"))
     found = tail.join(model.vocabulary, "word", "left").withColumn("count", F.coalesce("count", F.lit(0)))
     by_row = found.groupBy("row").agg(
         F.sum(F.when(F.col("count") > 0, F.col("times")).otherwise(0)).alias("tail_known"), F.sum(F.col("times") * F.log10(F.col("count") + SMOOTHING)).alias("tail_log")
     )
     joined = base.drop("tail_words", "tail_times").join(by_row, "row", "left")
-    if len(scores) > 1:
-        added = scores[0]
-        for more in scores[1:]:
-            added = added.union(more)
-        joined = joined.drop("score").join(added.groupBy("row").agg(F.sum("score").alias("score")), "row")
     scale = math.log10(model.train_tokens + SMOOTHING * (model.train_words + 1))
     return joined.select(
         F.col("key").alias(key), "held_out", "n_tokens", (F.col("head_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),

@@ -56,6 +56,22 @@ def test_several_passes_give_the_same_scores(documents, monkeypatch, bound, n, m
         assert math.isclose(r.score, once[r.doc_id].score, rel_tol=1e-9) and r.base_score == once[r.doc_id].base_score
 
 
+@pytest.mark.parametrize("table", ["documents", "odd_documents"])
+@pytest.mark.parametrize("task_bytes", [1 << 28, 1000])
+def test_keys_sent_to_the_parts_of_the_filter(request, monkeypatch, table, task_bytes):
+    """One pass over the texts however many parts the filter has, each copied to several tasks or not."""
+    docs = request.getfixturevalue(table)
+    part, model = lm.fold("doc_id", 10), lm.fit(docs)
+    rows = lambda: sorted((repr(tuple(r)[:-1]), r.score) for r in lm.score(docs, model, part == 0).collect())
+    once, passes = rows(), []
+    monkeypatch.setattr(lm, "SHARD_BYTES", 2_000)
+    monkeypatch.setattr(lm, "TASK_BYTES", task_bytes)
+    monkeypatch.setattr(lm, "_pass", lambda *args, known=lm._pass: passes.append(1) or known(*args))
+    many = rows()
+    assert len(lm._shards(model.blocks, model.key_bits, 2, 2_000)) > 5 and len(passes) == 1
+    assert [r[0] for r in many] == [r[0] for r in once] and np.allclose([r[1] for r in many], [r[1] for r in once], rtol=1e-12)
+
+
 def quantised(count):
     """The middle of the counts that share a power of two."""
     return (3 * 2 ** (count.bit_length() - 1) - 1) / 2 if count else 0.0
