@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from feedloom.functions.text import text_or_empty
 from feedloom.functions.urls import normalise_url
 from feedloom.operators.dedup import (
-    ALONE, THRESHOLD, WINDOW_HOURS, fingerprint, key_table, linkless_rows, rule_of, settle, spot,
+    ALONE, THRESHOLD, WINDOW_HOURS, fingerprint, key_table, linkless_rows, rule_of, settle, spot, text_digest,
 )
 from feedloom.operators.ranking import dense_positions
 from feedloom.schema import ITEM
@@ -32,6 +32,7 @@ _THIN = T.StructType(
     ]
 )
 _TEXTS = T.StructType([T.StructField("row_id", T.LongType()), T.StructField("title", T.StringType()), T.StructField("summary", T.StringType())])
+_PARTNERS = T.StructType([*_THIN, T.StructField("title", T.StringType())])
 _URLS = T.StructType([T.StructField("url", T.StringType())])
 
 
@@ -59,8 +60,13 @@ def _key_rows(thin: DataFrame) -> DataFrame:
 
 
 def _partner_rows(thin: DataFrame) -> DataFrame:
+    """All kept rows as partners. Histories of older runs lack the hashes of linkless rows."""
     order = spot(F.col("batch"), F.col("at"), F.col("row_id"))
-    return thin.select(F.col("row_id").alias("ord"), "at", order.alias("spot"), F.coalesce("site", F.lit("")).alias("site"), "title_len", "summary_len")
+    title = F.coalesce("title_md5", text_digest(F.lower(text_or_empty("title"))))
+    return thin.select(
+        F.col("row_id").alias("ord"), "at", order.alias("spot"), F.coalesce("site", F.lit("")).alias("site"),
+        title.alias("title_md5"), "summary_md5", "title_len", "summary_len",
+    )
 
 
 def ingest(
@@ -94,14 +100,14 @@ def ingest(
         both = stage(keys.unionByName(_key_rows(kept)), "batch-and-kept")
         own = _as_items(rows).select("ord", "title", "summary")
         near, whole = history.read("items", _TEXTS, found, "fp"), history.read("items", _TEXTS)
-        always = linkless_rows(_as_items(rows), as_of, turn).unionByName(_partner_rows(history.read("items", _THIN)))
+        always = linkless_rows(_as_items(rows), as_of, turn).unionByName(_partner_rows(history.read("items", _PARTNERS)))
         dropped = settle(
             own.unionByName(near.withColumnRenamed("row_id", "ord")), both, always, rule, reasons=False,
             judged=F.col("spot.back_turn") == -batch_id, all_items=own.unionByName(whole.withColumnRenamed("row_id", "ord")),
         )
         linkless = linkless_rows(_as_items(rows), as_of, turn).select(
-            F.col("ord").alias("row_id"), "at", *[F.lit(None).cast(_THIN[c].dataType).alias(c) for c in ("url", "site", "fp", "title_md5", "summary_md5")],
-            "title_len", "summary_len",
+            F.col("ord").alias("row_id"), "at", *[F.lit(None).cast(_THIN[c].dataType).alias(c) for c in ("url", "site", "fp")],
+            "title_md5", "summary_md5", "title_len", "summary_len",
         )
         linked = both.filter(F.col("spot.back_turn") == -batch_id).join(dropped.select("ord"), "ord", "left_anti")
         thin = linked.withColumnRenamed("ord", "row_id").select(*linkless.columns).unionByName(linkless).withColumn("batch", turn.cast("long"))
