@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from feedloom.catalog.base import AS_OF
 from feedloom.functions.similarity import character_bound, reaches
 from feedloom.operators import dedup
-from feedloom.operators.similar import candidate_pairs
+from feedloom.operators.similar import candidate_pairs, segment_pairs
 
 LETTERS = "e" * 12 + "t" * 9 + "a" * 8 + "o" * 7 + "i" * 7 + "n" * 7 + "s" * 6 + "h" * 6 + "r" * 6 + "dlcumwfgypbvkxjqz"
 
@@ -104,3 +104,17 @@ def test_character_bound(spark):
     pairs = spark.createDataFrame([(a, b) for a in texts for b in texts], "a string, b string")
     for r in pairs.withColumn("bound", character_bound(F.col("a"), F.col("b"))).collect():
         assert r.bound == pytest.approx(SequenceMatcher(None, r.a, r.b).quick_ratio() if r.a and r.b else 0.0)
+
+
+@pytest.mark.parametrize("threshold", [0.8, 0.85, 0.95, 1.0])
+def test_no_pair_is_lost_by_segments(spark, threshold):
+    pick = random.Random(int(threshold * 1000))
+    texts = ["a" * 50, "ab" * 30, "é" * 220, "中文" * 3, "x y" * 90, "🙂🙂b🙂"]
+    for n in [1, 2, 3, 5, 9, 20, 45, 60, 99, 100, 110, 199, 200, 260]:
+        text = text_of(pick, n)
+        texts += [edited(pick, text, share) for share in (0, 0.01, 0.03, 0.05, 0.09, 0.14, 0.2)] + [text[n // 20:] + text[:n // 20]]
+    texts = sorted({t for t in texts if t})
+    got = segment_pairs(spark.createDataFrame(list(enumerate(texts)), "ord long, text string"), threshold).collect()
+    found = {(r.later_ord, r.kept_ord) for r in got}
+    assert len(found) == len(got)
+    assert {(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts) if i != j and reaches(a, b, threshold)} <= found
