@@ -22,6 +22,8 @@ from feedloom.session import stage
 
 #: While a split looks for its place, this many characters of objects in a row settle it.
 SETTLED = 4 << 20
+#: So many pieces are walked at a time.
+PIECES = 256
 #: Rows of edges come after the records of their split.
 EDGE_PLACE = 1 << 40
 
@@ -183,7 +185,8 @@ def _walk_splits(fields: set[str]):
                 [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()),
                  pa.array(columns[3], pa.int32()), pa.array(columns[4], pa.string())], ["file", "start", "place", "kind", "text"])
 
-        for batch in batches:
+        # All that is made of a batch is made of a few pieces at a time; in text, walk and rows they take several times the room.
+        for batch in (whole.slice(k, PIECES) for whole in batches for k in range(0, whole.num_rows, PIECES)):
             pieces = [(p or b"").decode("utf-8", "replace") for p in batch.column("value").cast(pa.binary()).to_pylist()]
             origin = list(zip(*(batch.column(c).to_pylist() for c in ("file", "start", "length", "size"))))
             at = 0

@@ -119,3 +119,24 @@ def test_other_bytes(spark, tmp_path):
     assert [(r.ord, r.title) for r in got] == [(1, "bad � byte"), (2, "5")]
     (tmp_path / "b.json").write_text("")
     assert storage.load_items(spark, str(tmp_path / "b.json")).count() == 0
+
+
+def test_a_batch_is_walked_in_small_parts():
+    """One Arrow batch of 40 MB: what is made of it at a time stays far smaller than the batch."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from feedloom.sources.json_records import _walk_splits
+
+    n, body = 10_000, "x" * 4000
+    values = [""] + [f'"id": "{i}", "title": "{body}"}}\n' for i in range(n)]
+    size = sum(map(len, values)) + n
+    batch = pa.RecordBatch.from_pydict({
+        "value": values, "file": ["f"] * len(values), "start": [0] * len(values), "length": [size] * len(values), "size": [size] * len(values)})
+    del values
+    tracemalloc.start()
+    found = sum(out.num_rows - out.column("kind").to_pylist().count(3) for out in _walk_splits({"id", "title"})(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == n and peak < 15_000_000
