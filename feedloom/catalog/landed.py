@@ -359,9 +359,9 @@ def _(spark, sf):
 
 @add("s12_load_without_ord", with_items("SELECT row_number() OVER (ORDER BY ord) - 1 AS ord, id FROM items"))
 def _(spark, sf):
-    """Items as crawlers leave them, in one ordered file without positions."""
+    """Items as crawlers leave them, in ordered files without positions."""
     folder = stage_path(spark, "plain")
-    conform(dated_items(spark, sf)).orderBy("ord").drop("ord", "published_ts").coalesce(1).write.json(folder)
+    conform(dated_items(spark, sf)).orderBy("ord").drop("ord", "published_ts").write.json(folder)
     return storage.load_ordered_items(spark, folder).select("ord", "id")
 
 
