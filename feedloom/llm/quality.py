@@ -24,8 +24,6 @@ from feedloom.llm.factors import extended, repeated, word_names
 from feedloom.llm.ngrams import sample
 from feedloom.session import stage
 
-#: Trusted documents to learn from, at most. The raw corpus is counted whole.
-SAMPLE = 16_000
 BUCKETS = 1 << 14
 SMOOTHING, UNIT = 1, 1000
 #: One trusted document in so many lies below the threshold.
@@ -106,12 +104,13 @@ def _texts(part, text: str) -> list[bytes]:
     return [t or b"" for t in part.column(text).cast(pa.binary()).to_pylist()]
 
 
-def flag_trusted(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", label: str = "quality", most: int = SAMPLE, output: str = "trusted") -> DataFrame:
-    """``docs`` with a flag on those that some row of ``labels`` gives label 1, at most ``most`` ids, those with the smallest
-    hashes. The ids, at most ``most`` by that bound, are broadcast. Null ids are never trusted; repeated ones all are."""
+def flag_trusted(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", label: str = "quality", most: int | None = None, output: str = "trusted") -> DataFrame:
+    """``docs`` with a flag on all that some row of ``labels`` gives label 1; with ``most``, on so many ids of them, those with
+    the smallest hashes. Null ids are never trusted; repeated ones all are. Ids beyond what Spark broadcasts are met by a
+    join, which deals the documents out by id."""
     trusted = labels.where((F.col(label) == 1) & F.col(key).isNotNull()).select(F.col(key).cast("string").alias("_trusted_key")).distinct()
-    drawn = F.broadcast(sample(trusted, "_trusted_key", most))
-    flagged = docs.join(drawn, F.col(key).cast("string") == F.col("_trusted_key"), "left")
+    trusted = trusted if most is None else sample(trusted, "_trusted_key", most)
+    flagged = docs.join(trusted, F.col(key).cast("string") == F.col("_trusted_key"), "left")
     return flagged.withColumn(output, F.col("_trusted_key").isNotNull()).drop("_trusted_key")
 
 

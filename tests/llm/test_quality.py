@@ -114,3 +114,13 @@ def test_parts_do_not_show(spark, documents, parts):
     labels = spark.read.parquet(f"{SF_DIR}/labels.parquet")
     rows = quality.fit_and_judge(documents.repartition(parts), labels).collect()
     assert sorted(rows) == sorted(quality.fit_and_judge(documents, labels).collect())
+
+
+def test_all_trusted_documents_count(spark):
+    """More of them than the 16,000 that were once drawn: each is flagged, and each is in the counts."""
+    docs = spark.range(20_000).selectExpr("id AS doc_id", "'word' AS text")
+    labels = spark.range(20_000).selectExpr("id AS doc_id", "CAST(id % 20 <> 0 AS INT) AS quality")
+    flagged = quality.flag_trusted(docs, labels)
+    assert flagged.where("trusted").count() == 19_000
+    model = quality.learn(flagged)
+    assert model.raw.sum() == 20_000 and model.trusted.sum() == 19_000
