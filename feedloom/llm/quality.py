@@ -18,6 +18,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import IntegralType
 
 from feedloom.llm.common import output_schema, slices
 from feedloom.llm.factors import extended, repeated, word_names
@@ -31,6 +32,8 @@ ONE_IN = 500
 LEAST_WORDS, MOST_REPEATED_PERCENT, WINDOW = 10, 20, 5
 PAIR_FACTOR, PAIR_SALT = 31, 7
 SLICE_BYTES = 1 << 20
+#: Rows of trusted ids that are broadcast, some 50 MB in memory: 33 million ids that lie close, or half a million of any kind.
+BROADCAST_ROWS = 1 << 19
 
 TOKEN = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+")
 SYMBOLS = b"#*$%&|<>"
@@ -104,13 +107,34 @@ def _texts(part, text: str) -> list[bytes]:
     return [t or b"" for t in part.column(text).cast(pa.binary()).to_pylist()]
 
 
+def _trusted_words(trusted: DataFrame) -> DataFrame:
+    """``_word, _bits``: whole ids as bits of words of 64 neighbouring ones."""
+    number = F.col("_trusted_key").cast("long")
+    return trusted.groupBy(F.shiftright(number, 6).alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), _place(number))).alias("_bits"))
+
+
+def _place(number):
+    return number.bitwiseAND(63).cast("int")
+
+
 def flag_trusted(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", label: str = "quality", most: int | None = None, output: str = "trusted") -> DataFrame:
     """``docs`` with a flag on all that some row of ``labels`` gives label 1; with ``most``, on so many ids of them, those with
-    the smallest hashes. Null ids are never trusted; repeated ones all are. Ids beyond what Spark broadcasts are met by a
-    join, which deals the documents out by id."""
+    the smallest hashes. Null ids are never trusted; repeated ones all are.
+
+    Whole ids are packed as bits, 64 neighbouring ones to a row, others are a row each. Up to ``BROADCAST_ROWS`` such rows are
+    broadcast, so that no text is moved; beyond that a join deals the documents out by id."""
     trusted = labels.where((F.col(label) == 1) & F.col(key).isNotNull()).select(F.col(key).cast("string").alias("_trusted_key")).distinct()
     trusted = trusted if most is None else sample(trusted, "_trusted_key", most)
-    flagged = docs.join(trusted, F.col(key).cast("string") == F.col("_trusted_key"), "left")
+    packed = all(isinstance(df.schema[key].dataType, IntegralType) for df in (docs, labels))
+    rows = stage(_trusted_words(trusted) if packed else trusted, "trusted-ids")
+    if rows.count() <= BROADCAST_ROWS:
+        rows = F.broadcast(rows)
+    if packed:
+        number = F.col(key).cast("long")
+        flagged = docs.join(rows, F.shiftright(number, 6) == F.col("_word"), "left")
+        bit = F.call_function("shiftright", F.col("_bits"), _place(number)).bitwiseAND(1)
+        return flagged.withColumn(output, F.coalesce(bit == 1, F.lit(False))).drop("_word", "_bits")
+    flagged = docs.join(rows, F.col(key).cast("string") == F.col("_trusted_key"), "left")
     return flagged.withColumn(output, F.col("_trusted_key").isNotNull()).drop("_trusted_key")
 
 

@@ -11,6 +11,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from conftest import SF_DIR
 from feedloom.llm import quality
@@ -124,3 +125,33 @@ def test_all_trusted_documents_count(spark):
     assert flagged.where("trusted").count() == 19_000
     model = quality.learn(flagged)
     assert model.raw.sum() == 20_000 and model.trusted.sum() == 19_000
+
+
+@pytest.mark.parametrize("most_rows", [quality.BROADCAST_ROWS, 0])
+@pytest.mark.parametrize("kind", ["long", "int", "string"])
+def test_trusted_ids_of_any_kind(spark, monkeypatch, kind, most_rows):
+    """Negative, scattered, repeated, null and unknown ids, broadcast or joined."""
+    monkeypatch.setattr(quality, "BROADCAST_ROWS", most_rows)
+    ids = [-2147483648, -65, -64, -63, -1, 0, 1, 1, 63, 64, 65, 2147483647, None, None]
+    docs = spark.createDataFrame([(i, "word") for i in ids], "doc_id long, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+    good = {-2147483648, -64, 1, 63, 64, 2147483647, 77}
+    labels = spark.createDataFrame([(i, int(i in good)) for i in {*ids, 77} - {None}] + [(None, 1), (1, 0)], "doc_id long, quality int")
+    labels = labels.withColumn("doc_id", F.col("doc_id").cast(kind))
+    rows = quality.flag_trusted(docs, labels).collect()
+    assert len(rows) == len(ids)
+    assert all(r.trusted == (r.doc_id is not None and int(r.doc_id) in good) for r in rows)
+
+
+def test_texts_are_not_moved_for_the_flag(spark):
+    """Ids beyond Spark's own limit for a broadcast; 20,000 of them take some 300 rows."""
+    docs = spark.range(20_000).selectExpr("id AS doc_id", "'word' AS text")
+    labels = spark.range(20_000).selectExpr("id AS doc_id", "CAST(id % 20 <> 0 AS INT) AS quality")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1k")
+    try:
+        flagged = quality.flag_trusted(docs, labels)
+        assert flagged.where("trusted").count() == 19_000
+        plan = flagged._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
