@@ -23,7 +23,7 @@ from feedloom.llm.common import output_schema, slices
 WORD_END = "</w>"
 #: Stands for the word end inside a word; no byte is written as this character.
 END = "\n"
-#: Distinct words, and chunks between white space, kept by a task before it starts anew.
+#: Distinct words, and chunks between white space, kept by a task before it forgets all but the most used half.
 CACHE_WORDS = 150_000
 #: Bytes of text encoded at once.
 SLICE_BYTES = 1 << 20
@@ -206,14 +206,31 @@ class Encoder:
         self.tables, self.letters = tables, byte_letters()
         self.whole = Tokenizer.from_str(tables["source"])
         self.special = re.compile("|".join(map(re.escape, sorted(tables["special"], key=len, reverse=True)))) if tables["special"] else None
-        self._forget()
-
-    def _forget(self) -> None:
         self.fresh: list[tuple[bool, str]] = []
         self.plain, self.mapped = _Numbers(True, self.fresh), _Numbers(False, self.fresh)
         # special tokens: as chunks of byte letters they can't be words, as no word mixes signs and letters
         self.words = {t: [i] for t, i in self.tables["special"].items()}
-        self.flat, self.starts, self.counts = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.flat, self.starts, self.counts, self.uses = np.empty(0, np.int32), *(np.empty(0, np.int64) for _ in range(3))
+
+    def _trim(self) -> None:
+        """Forget all chunks but those used most, at most half as many as may be kept, and all words but theirs."""
+        often = np.argsort(-self.uses, kind="stable")[:CACHE_WORDS // 2]
+        often = np.sort(often[self.uses[often] > 1])
+        number = np.full(len(self.uses), -1)
+        number[often] = np.arange(len(often))
+        number, words = number.tolist(), self.words
+        self.words = {t: [i] for t, i in self.tables["special"].items()}
+        for known in (self.plain, self.mapped):
+            kept = {chunk: number[n] for chunk, n in known.items() if number[n] >= 0}
+            known.clear()
+            known.update(kept)
+            known.base = len(often)
+            self.words.update((w, words[w]) for chunk in kept for w in self._spell(known.plain, chunk))
+        counts = self.counts[often]
+        starts = np.cumsum(counts) - counts
+        self.flat = self.flat[np.repeat(self.starts[often] - starts, counts) + np.arange(counts.sum())]
+        # halved, so that what was common long ago gives way
+        self.starts, self.counts, self.uses = starts, counts, self.uses[often] // 2
 
     def _chunks(self, text: str):
         """Number tables and chunks of a text's parts in order."""
@@ -259,13 +276,14 @@ class Encoder:
         flat = np.fromiter(itertools.chain.from_iterable(tokens), np.int32, int(counts.sum()))
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(counts) - counts])
         self.flat, self.counts = np.concatenate([self.flat, flat]), np.concatenate([self.counts, counts])
+        self.uses = np.concatenate([self.uses, np.zeros(len(counts), np.int64)])
         self.fresh.clear()
         self.plain.base = self.mapped.base = len(self.counts)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Offsets and token ids of all texts; a null text is empty."""
         if max(len(self.words), len(self.counts)) > CACHE_WORDS:
-            self._forget()
+            self._trim()
         numbers, bounds = [], [0]
         for text in texts:
             for known, chunks in self._chunks(text) if text else ():
@@ -274,6 +292,7 @@ class Encoder:
         if self.fresh:
             self._learn()
         numbers = np.array(numbers, np.int64)
+        self.uses += np.bincount(numbers, minlength=len(self.uses))
         counts = self.counts[numbers]
         ends = np.concatenate([[0], np.cumsum(counts)])
         ids = self.flat[np.repeat(self.starts[numbers] - ends[:-1], counts) + np.arange(ends[-1])]

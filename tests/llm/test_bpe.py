@@ -65,6 +65,19 @@ def test_odd_texts(tables, monkeypatch):
     check(encoder, [f"fresh words {k}" for k in range(50)])
 
 
+def test_common_words_stay_known(tables, monkeypatch):
+    """When the words exceed what is kept, those that occur again and again aren't tokenised anew; the rare ones go."""
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 100)
+    encoder, learned = bpe.Encoder(tables), []
+    tokenise = encoder._tokenise
+    monkeypatch.setattr(encoder, "_tokenise", lambda words: (learned.extend(words), tokenise(words)))
+    common = "the quick brown fox's tail, É été <|endoftext|> é"
+    for k in range(20):
+        check(encoder, [f"{common} {common}", " ".join(f"rare{chr(97 + k)}{chr(97 + i)}" for i in range(26)) * 2])
+        assert len(encoder.counts) <= 150 and len(encoder.words) <= 160
+    assert learned.count("quick") == learned.count("tail") == 1
+
+
 def test_query(spark, documents):
     from conftest import SF_DIR
 
