@@ -7,7 +7,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from feedloom.functions.text import content_hash, fallback_summary, prepare_for_summary, strip, text_or_empty
+from feedloom.functions.text import content_hash, fallback_summary, holds_at_least, prepare_for_summary, text_or_empty
 from feedloom.operators.filters import batch_gate, needs_summary, summary_route
 from feedloom.session import path_exists, stage
 
@@ -43,7 +43,10 @@ def _call_logged(work: DataFrame, summarise: Summariser, rows_per_call: int, log
     """
     spark = work.sparkSession
     logged = lambda: spark.read.schema(_RESULT).parquet(log) if path_exists(spark, log) else spark.createDataFrame([], _RESULT)
-    missing = stage(work.join(logged().filter("error IS NULL").select("hash"), "hash", "left_anti"), "summary-work")
+    # Written once: each wave, and the look-up in the log, would work out all texts and hashes again.
+    missing = work = stage(work, "summary-work")
+    if path_exists(spark, log):
+        missing = stage(work.join(logged().filter("error IS NULL").select("hash"), "hash", "left_anti"), "summary-missing")
     for wave in range(waves):
         part = missing.filter(F.pmod(F.xxhash64("hash"), F.lit(waves)) == wave)
         _call(part, summarise, rows_per_call).write.mode("append").parquet(log)
@@ -74,8 +77,10 @@ def batch_summarise(
     leaves its rows without a summary and says why in ``summary_error``. With ``log``, a folder, results are kept there by
     hash as they come, in ``waves`` jobs, and a later run calls for missing texts only, also after one that was killed.
     """
-    gated = batch_gate(items, needs_summary(), gate, batch)
-    routed = gated.withColumn("route", F.when(F.col("eligible"), summary_route(content, link)))
+    # What a summary takes of the content is worked out before the rows meet in their batches, so that the content needn't go along.
+    before = {"_route": summary_route(content, link), "_prefix": fallback_summary(content, max_length), "_hash": content_hash(content)}
+    gated = batch_gate(items.withColumns(before), needs_summary(), gate, batch)
+    routed = gated.withColumn("route", F.when(F.col("eligible"), F.col("_route")))
     if pages is not None:
         # A page landed more than once counts once, whichever order the copies are read in.
         landed = pages.groupBy(F.col(link).alias("_link")).agg(F.min("text").alias("_page"))
@@ -84,21 +89,22 @@ def batch_summarise(
         routed = routed.withColumn("_link", wanted).join(landed, "_link", "left").drop("_link")
     else:
         routed = routed.withColumn("_page", F.lit(None).cast("string"))
-    source = F.when(F.col("route") == "content", F.col(content)).when(F.col("route") == "url", F.col("_page"))
-    routed = routed.withColumn("_text", source).drop("_page")
+    from_content, from_page = F.col("route") == "content", F.col("route") == "url"
+    prefix = F.when(from_content, F.col("_prefix")).when(from_page & F.col("_page").isNotNull(), fallback_summary("_page", max_length))
     if summarise is None:
-        made = routed.withColumns(
-            {"_made": fallback_summary("_text", max_length), "summary_error": F.lit(None).cast("string"), "_long": F.lit(False)}
-        ).withColumn("_made", F.when(F.col("_text").isNotNull(), F.col("_made")))
+        made = routed.withColumns({"_made": prefix, "summary_error": F.lit(None).cast("string")})
         return _finish(made, content, link)
 
-    long_enough = F.length(strip("_text")) >= 100
+    # The content is long, or it wouldn't be the source.
+    long_enough = from_content | (from_page & holds_at_least("_page", 100))
     routed = routed.withColumn("_long", F.coalesce(long_enough, F.lit(False)))
+    text_hash = F.when(from_content, F.col("_hash")).otherwise(content_hash("_page"))
     # Rows without a call get a key of their own, so they do not pile up under null in the join.
     own_key = F.concat(F.lit("row-"), F.col("ord").cast("string"))
-    routed = routed.withColumn("hash", F.when(F.col("_long"), content_hash("_text")).otherwise(own_key))
+    routed = routed.withColumn("hash", F.when(F.col("_long"), text_hash).otherwise(own_key))
     work = (
         routed.filter("_long")
+        .withColumn("_text", F.when(from_content, F.col(content)).otherwise(F.col("_page")))
         .groupBy("hash").agg(F.any_value("_text").alias("_text"))
         .select("hash", prepare_for_summary("_text").alias("text"))
     )
@@ -113,8 +119,8 @@ def batch_summarise(
         results = stage(_call_logged(work, summarise, rows_per_call, log, waves), "summaries")
     results = results if known is None else results.unionByName(known)
     joined = routed.join(results, "hash", "left").withColumnRenamed("error", "summary_error")
-    short = F.when(~F.col("_long"), F.col("_text"))
-    failed = F.when(F.col("summary_error").isNotNull(), fallback_summary("_text", max_length))
+    short = F.when(~F.col("_long") & from_page, F.col("_page"))
+    failed = F.when(F.col("summary_error").isNotNull(), prefix)
     return _finish(joined.withColumn("_made", F.coalesce("generated", failed, short)).drop("generated", "hash"), content, link)
 
 
@@ -125,7 +131,7 @@ def _finish(made: DataFrame, content: str, link: str) -> DataFrame:
         "generated_summary": F.coalesce("_made", "generated_summary"),
         "summary_key": F.when(F.col("_made").isNotNull() & F.col("summary_error").isNull(), key),
     })
-    return done.drop("_made", "_text", "_long", "eligible", "route")
+    return done.drop("_made", "_route", "_prefix", "_hash", "_page", "_long", "eligible", "route")
 
 
 def fresh_cache_rows(summarised: DataFrame, version) -> DataFrame:

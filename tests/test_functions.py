@@ -210,3 +210,11 @@ def test_competitor_may_span_fields(spark):
 def test_topic(spark):
     df = spark.createDataFrame([("My CoPilot", ""), ("x", "code completion"), ("x", None)], "title string, summary string")
     assert [r[0] for r in df.select(scoring.is_on_topic("title", "summary")).collect()] == [True, True, False]
+
+
+@settings(max_examples=20, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.text(alphabet="ab\n \t\x1c\x85\xa0\u2028é中🙂", max_size=14) | st.none(), max_size=40))
+def test_holds_at_least(evaluate, values):
+    values = [*values, None, "", " ", "a", "ab", " abcde ", "a   e", " a   e ", "  🙂🙂🙂🙂  ", "  🙂🙂🙂🙂🙂  ", "a" + " " * 9, "\n\na\n\n\nb\n"]
+    want = evaluate(lambda c: F.length(text.strip(c)) >= 5, values)
+    assert evaluate(lambda c: text.holds_at_least(c, 5), values) == want

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from feedloom.functions.text import content_hash
 from feedloom.operators import summaries
 from feedloom.operators.joins import cache_hits, cache_misses
+from feedloom.session import stage
 from feedloom.sources import cache
 
 FIELDS = "ord long, batch_index long, summary string, ai_summary string, generated_summary string, " \
@@ -153,3 +154,19 @@ def test_a_write_touches_only_its_folders(spark, tmp_path):
     kept = {r["hash"]: (r["summary"], r["version"]) for r in cache.read_cache(spark, root).collect()}
     assert kept == {f"h{i}": ("new", 2) if i == 3 else (f"s{i}", 1) for i in range(60)}
     assert {r["hash"] for r in cache.read_cache(spark, root, rows(("h7", "", 0))).collect()} >= {"h7"}
+
+
+def test_content_does_not_travel_with_the_batches(items):
+    """What the summary takes of the content is worked out before the shuffle by batch."""
+    done = summaries.batch_summarise(items).select("ord", "generated_summary")
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert "substring(" in plan and "substring(" not in plan[:plan.index("Window")]
+
+
+def test_logged_texts_are_worked_out_once(items, tmp_path, monkeypatch):
+    """The waves and the look-up in the log read the hashes from a table; before, the latter worked out all batches again."""
+    staged = []
+    monkeypatch.setattr(summaries, "stage", lambda df, name: (staged.append((name, df._jdf.queryExecution().optimizedPlan().toString())), stage(df, name))[1])
+    for made in ("first", "second"):
+        summaries.batch_summarise(items, lambda texts: [made] * len(texts), log=str(tmp_path / "log"), waves=2).collect()
+    assert [n for n, plan in staged if "Window" in plan] == ["summary-work", "summary-work"]
