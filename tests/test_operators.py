@@ -167,3 +167,16 @@ def test_repeated_keys_do_not_multiply_rows(spark):
     items = spark.createDataFrame([(0, None, None), (1, "old", None)], "ord long, ai_summary string, generated_summary string")
     new = spark.createDataFrame([(0, "s", ""), (0, "", "g"), (1, "", "")], "ord long, ai_summary string, generated_summary string")
     assert [tuple(r) for r in joins.merge_summaries(items, new).orderBy("ord").collect()] == [(0, "s", "g"), (1, "old", None)]
+
+
+def test_positions_move_rows_once(spark):
+    """The range sort is the only shuffle of the rows; a partition's offset is sent to them."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        placed = ranking.dense_positions(spark.range(1000).selectExpr("id * 7 AS ord"))
+        plan = placed._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert [r.pos for r in placed.orderBy("ord").collect()] == list(range(1000))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
