@@ -5,12 +5,14 @@ import json
 import pathlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from greedy import survivors
 from test_dedup import mixed, restated
 
+from feedloom.catalog.composites import ingested_in_turn
 from feedloom.operators.dedup import deduplicate
-from feedloom.schema import with_published_ts
+from feedloom.schema import conform, with_published_ts
 from feedloom.streaming import history, ingest
 
 AS_OF = dt.datetime(2024, 1, 16)
@@ -117,6 +119,44 @@ def test_random_batches_equal_the_plain_pass(spark, tmp_path, seed):
     assert kept == sorted(survivors([{**r, "turn": turns[r["ord"]]} for r in restated(items)], scope="all"))
 
 
+@pytest.mark.parametrize("seed", [2, 3])
+def test_random_batches_that_look_at_few_rows_of_a_url(spark, tmp_path, monkeypatch, seed):
+    """One row of each URL, two more, then all: the same as a pass over all rows, however often more have to be looked at."""
+    monkeypatch.setattr(ingest, "FIRST_OF_URL", 1)
+    monkeypatch.setattr(ingest, "MORE_OF_URL", 2)
+    monkeypatch.setattr(ingest, "MOST_OF_URL", 2)
+    test_random_batches_equal_the_plain_pass(spark, tmp_path, seed)
+
+
+def test_rows_that_fall_by_their_url_are_not_fingerprinted(spark, tmp_path, monkeypatch):
+    """The newest row of /1 blocks its others. All but the oldest row of /2 repeat it, so that one is kept and blocks the row of
+    /3, and the row of /4 that repeats it as well. A later batch of known URLs gets no fingerprints at all."""
+    keyed, key_table = [], ingest.key_table
+    monkeypatch.setattr(ingest, "key_table", lambda items, *rest: keyed.append(items.count()) or key_table(items, *rest))
+    time = lambda n: f"2024-01-09 {23 - n // 60:02d}:{59 - n % 60:02d}:00"
+    rows = [(n, "the same title", "", "http://h/1", time(n)) for n in range(300)]
+    rows += [(300 + n, "the same title", "", "http://h/2", time(300 + n)) for n in range(70)]
+    rows += [(370, "another thing", "", "http://h/2", time(370)), (371, "another thing", "", "http://h/3", time(371)), (372, "the same title", "", "http://h/4", time(372))]
+    landed, root = tmp_path / "landed", tmp_path / "out"
+    land_items(spark, landed, "0.json", rows)
+    assert run(spark, landed, root) == [0, 370]
+    assert sum(keyed) <= 4 + 71 + 2
+    land_items(spark, landed, "1.json", [(400 + n, f"news {n}", "", f"http://h/{n % 2 + 1}#again", "2024-01-09 01:00:00") for n in range(30)])
+    keyed.clear()
+    assert run(spark, landed, root) == [0, 370] and sum(keyed) == 0
+
+
+def test_landing_in_turn_reads_the_items_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    count = F.udf(lambda published: seen.add(1) or published)
+    published = count(F.concat(F.lit("2024-01-"), F.lpad((F.col("id") % 15 + 1).cast("string"), 2, "0"), F.lit(" 00:00:00")))
+    title = F.concat(F.lit("title "), F.expr("repeat(char(65 + id), 9)"))
+    rows = spark.range(30).select(
+        F.col("id").alias("ord"), F.concat(F.lit("http://h/"), "id").alias("link"), title.alias("title"), published.alias("published"))
+    assert sorted(r.ord for r in ingested_in_turn(spark, conform(with_published_ts(rows))).collect()) == list(range(30))
+    assert seen.value == 30
+
+
 def size_of(folders):
     return sum(f.stat().st_size for _, paths in folders for p in paths for f in pathlib.Path(p).rglob("*.parquet"))
 
