@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from feedloom.catalog.base import AS_OF
 from feedloom.functions.similarity import character_bound, reaches
 from feedloom.operators import dedup
-from feedloom.operators.similar import candidate_pairs, segment_pairs
+from feedloom.operators.similar import _marks, candidate_pairs, segment_pairs
 
 LETTERS = "e" * 12 + "t" * 9 + "a" * 8 + "o" * 7 + "i" * 7 + "n" * 7 + "s" * 6 + "h" * 6 + "r" * 6 + "dlcumwfgypbvkxjqz"
 
@@ -118,3 +118,30 @@ def test_no_pair_is_lost_by_segments(spark, threshold):
     found = {(r.later_ord, r.kept_ord) for r in got}
     assert len(found) == len(got)
     assert {(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts) if i != j and reaches(a, b, threshold)} <= found
+
+
+def test_titles_of_common_words_meet_in_few_pairs(spark):
+    """Titles of 40 words share their segments with many others; of the pairs that meet, few are left beside the similar ones."""
+    pick = random.Random(11)
+    words = [text_of(pick, n).replace(" ", "e") for n in range(3, 11) for _ in range(5)]
+    texts = [" ".join(pick.choice(words) for _ in range(20))[:100] for _ in range(1500)]
+    texts += [edited(pick, text, share) for text in texts[:60] for share in (0.01, 0.03, 0.05)]
+    texts = sorted(set(texts))
+    found = {(r.later_ord, r.kept_ord) for r in segment_pairs(spark.createDataFrame(list(enumerate(texts)), "ord long, text string"), 0.95).collect()}
+    want = {(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts) if i != j and reaches(a, b, 0.95)}
+    assert want <= found and len(found) <= len(want) + 0.2 * len(texts)
+
+
+def test_an_edit_changes_one_mark(spark):
+    pick = random.Random(12)
+    rows = []
+    for _ in range(200):
+        text, edits = text_of(pick, pick.randint(1, 130)), pick.randint(0, 12)
+        other = text
+        for _ in range(edits):
+            at = pick.randrange(len(other) + 1)
+            other = other[:at] + (pick.choice(LETTERS + "é中🙂 ") + other[at:] if pick.random() < 0.5 else other[at + 1:])
+        rows.append((text, other, edits))
+    marks = spark.createDataFrame(rows, "a string, b string, edits int").select(_marks(F.col("a")).alias("a"), _marks(F.col("b")).alias("b"), "edits")
+    differing = [(bin((r.a ^ r.b) & (1 << 64) - 1).count("1"), r.edits) for r in marks.collect()]
+    assert all(bits <= edits for bits, edits in differing) and any(bits > 6 for bits, _ in differing)
